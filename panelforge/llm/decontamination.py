@@ -110,9 +110,14 @@ def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int, *key: str)
     return near.filter(F.abs(F.col("pos") - F.col("other")) <= within).select(*key, "a", "b", "pos", "other")
 
 
+def _keys(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """Two numbers that name a row by its id and text, none of them null."""
+    return F.coalesce(F.xxhash64(id_col), F.lit(0)), F.xxhash64(text, id_col)
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    length: int = 13, share: int = 20,
+    length: int = 13, share: int = 20, keys: bool = False,
 ) -> DataFrame:
     """One row per input row: ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted as strings), ``contaminated``.
 
@@ -121,8 +126,8 @@ def contamination(
     ``share`` is hit. Null texts have no words; items without words match nothing; rows that are
     equal in id and text have equal results. Other columns are ignored.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = own.withColumns({"k1": F.coalesce(F.xxhash64("id"), F.lit(0)), "k2": F.xxhash64("text", "id")})
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = own.withColumns(dict(zip(("k1", "k2"), _keys(F.col("id"), F.col("text")), strict=True)))
     grams, owners = phrases(items, item_col, item_text, length)
     hits = checkpointed(phrase_matches(own, grams, "k1", "k2"))
     w = Window.partitionBy("k1", "k2").orderBy("start", "size")
@@ -134,10 +139,21 @@ def contamination(
     sizes = _split(own, "text").select("id", "k1", "k2", "n_words")
     out = sizes.join(covered.join(held, ["k1", "k2"]), ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    items_held = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
-    ).withColumn("n_items", F.size("items").cast("long"))
+        "id", "n_words", n_hit.alias("n_hit"), F.size(items_held).cast("long").alias("n_items"), items_held.alias("items"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *["k1", "k2"] * keys,
+    )
+
+
+def decontaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = 13, share: int = 20,
+) -> DataFrame:
+    """``docs`` without the contaminated rows (see :func:`contamination`), all columns kept."""
+    judged = contamination(docs, items, id_col, text_col, item_col, item_text, length, share, keys=True)
+    bad = checkpointed(judged.filter("contaminated").select(F.col("k1").alias("panelforge_k1"), F.col("k2").alias("panelforge_k2")).distinct())
+    keyed = docs.withColumns(dict(zip(("panelforge_k1", "panelforge_k2"), _keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), strict=True)))
+    return keyed.join(_small(bad), ["panelforge_k1", "panelforge_k2"], "left_anti").drop("panelforge_k1", "panelforge_k2")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from .common import checkpointed
 
 SEED = 42
 NEAR = 8
+_LAST = (1 << 63) - 1
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -41,15 +42,17 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id and fp (a signed long with the fingerprint's bits) of every row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, with_hash: bool = False) -> DataFrame:
+    """id and fp (a signed long with the fingerprint's bits) of every row; on demand also a hash of the text."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), *[F.xxhash64(text, F.lit(1)).alias("hash")] * with_hash)
+    return own.mapInArrow(run, "id long, fp long" + ", hash long" * with_hash)
 
 
 def _signed(x: int) -> int:
@@ -133,15 +136,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id link others but name no component while another id can; a component of
     null ids only is null.
     """
-    marked = fingerprints(docs, id_col, text_col, shingle)
-    groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    found = checkpointed(components(links(groups.select("fp"), near)))
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    groups, found = _groups(marked, near)
     roots = found.join(groups, found["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = found.join(roots, "root").select(F.col("node").alias("fp"), "component")
     named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
+def _groups(marked: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints with their least id, and (node, root) of those that link."""
+    groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    return groups, checkpointed(components(links(groups.select("fp"), near)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, near: int = NEAR) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    Of rows with that id (null last) the one whose text has the smallest hash stays, of equal rows one.
+    """
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle, with_hash=True))
+    _, found = _groups(marked, near)
+    rooted = marked.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("panelforge_id"), F.col("hash").alias("panelforge_hash"))
+    stay = rooted.groupBy("root").agg(F.min(place).alias("s")).select("s.*")
+    keyed = docs.withColumns({"panelforge_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), "panelforge_hash": F.xxhash64(F.col(f"`{text_col}`"), F.lit(1))})
+    kept = keyed.join(stay, ["panelforge_id", "panelforge_hash"], "left_semi")
+    return kept.dropDuplicates(["panelforge_id", "panelforge_hash"]).drop("panelforge_id", "panelforge_hash")
+
+
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
