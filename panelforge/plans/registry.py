@@ -1,0 +1,4 @@
+"""All queries by name, and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
