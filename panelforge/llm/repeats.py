@@ -175,7 +175,7 @@ def repeats(
     result: str, hot: int, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Run the three passes. ``carry`` columns come back unchanged in the struct ``carried``."""
-    n = pieces(docs.select(id_col, text_col), shard_bytes)
+    n = pieces(docs, shard_bytes)  # of the whole table: a projection is guessed too small
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), carried.alias("carried"),
