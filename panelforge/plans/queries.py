@@ -178,7 +178,7 @@ def backtest_metrics(spark, sf_dir):
 
 def _daily_return(spark, sf_dir):
     df = feat.compute(_bars(spark, sf_dir), ["RET1"])
-    return df.groupBy("trade_date").agg(F.greatest(F.lit(-0.02), F.least(F.lit(0.02), F.round(F.avg("RET1"), 8))).alias("r")).withColumn("index_name", F.lit("all"))
+    return df.groupBy("trade_date").agg(F.greatest(F.lit(-0.02), F.least(F.lit(0.02), F.round(F.avg("RET1") / 1000, 8))).alias("r")).withColumn("index_name", F.lit("all"))
 
 
 def monthly_returns(spark, sf_dir):

@@ -60,7 +60,7 @@ bk AS (SELECT formula, trade_date, len(list_filter(list_slice(edges, 2, len(edge
 bm AS (SELECT formula, trade_date, bucket, avg(forward_return) AS m FROM bk GROUP BY ALL),
 br AS (SELECT *, {rank_of('m', 'formula', 'trade_date')} AS r, row_number() OVER (PARTITION BY formula, trade_date ORDER BY bucket) AS k, count(*) OVER (PARTITION BY formula, trade_date) AS c FROM bm),
 mono AS (SELECT formula, avg(s) AS monotonicity_score FROM (SELECT formula, trade_date, CASE WHEN stddev_pop(r) > 0 THEN corr(r, k) END AS s FROM br WHERE c >= 3 GROUP BY ALL) GROUP BY formula)"""
-_DAILY = f"{FEATURES}, dr AS (SELECT trade_date, greatest(-0.02, least(0.02, round(avg(RET1), 8))) AS r, 'all' AS index_name FROM feat GROUP BY trade_date)"
+_DAILY = f"{FEATURES}, dr AS (SELECT trade_date, greatest(-0.02, least(0.02, round(avg(RET1) / 1000, 8))) AS r, 'all' AS index_name FROM feat GROUP BY trade_date)"
 _TRADES = """t0 AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ts_code, strftime(l_shipdate, '%Y%m%d') AS trade_date, l_orderkey * 100 + l_linenumber AS seq, CASE WHEN l_linenumber % 2 = 1 THEN 'buy' ELSE 'sell' END AS side, l_extendedprice / l_quantity AS price, l_partkey FROM lineitem WHERE l_quantity > 0),
 t1 AS (SELECT * FROM t0 QUALIFY row_number() OVER (PARTITION BY ts_code, trade_date, seq ORDER BY l_partkey, price) = 1),
 t2 AS (SELECT *, coalesce(sum(CASE WHEN side = 'sell' THEN 1 ELSE 0 END) OVER (PARTITION BY ts_code ORDER BY trade_date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM t1),
