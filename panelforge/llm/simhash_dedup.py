@@ -5,9 +5,9 @@ both. Emitting the whole ball of radius 2 in 64 bits costs 2081 rows a fingerpri
 input here, so the ball is hashed on projections first: of three bit blocks, the two with the
 fewest differences hold at most half of four differences, so fingerprints within four bits share
 a variant within ONE bit on one of three 42- or 43-bit projections (131 rows a fingerprint).
-Neighbours in a bucket are compared directly; members of a bucket with more than ``NEAR`` on a
-side of them go on to the whole 64-bit ball, where a bucket needs no comparison (all its members
-are within four bits) and a link to the first one loses nothing. Only distinct fingerprints take
+Neighbours in a bucket are compared directly; members of a bucket that is too large for that and
+not connected by then go on to the whole 64-bit ball, where a bucket needs no comparison (all its
+members are within four bits) and a link to the first one loses nothing. Only distinct fingerprints take
 part, so copies never meet in a bucket.
 """
 
@@ -73,11 +73,12 @@ def _variants(fps: DataFrame, flips: list[int]) -> DataFrame:
     return fps.withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
 
 
-def links(fps: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints that link, enough of them to connect all within 4 bits.
+def connected(fps: DataFrame, near: int = NEAR) -> DataFrame:
+    """(node, root) for the distinct fingerprints ``fp`` that link; the root is the smallest of its component.
 
-    ``fps`` holds distinct ``fp``. Pairs found through the projections are verified; a pair that
-    only the whole ball can show is replaced by links of both to the ball's first member.
+    In a bucket, each fingerprint is compared with the ``near`` before it. Where a bucket is larger
+    than that, pairs further apart may be missed, which matters only if its members aren't
+    connected by then: those of buckets that hold two components go on to the whole ball.
     """
     parts = []
     for k, (mask, flips) in enumerate(_projections()):
@@ -85,22 +86,22 @@ def links(fps: DataFrame, near: int = NEAR) -> DataFrame:
     spread = parts[0].unionByName(parts[1]).unionByName(parts[2])
     w = Window.partitionBy("k", "key").orderBy("fp")
     seen = spread.select(
-        "fp", F.array(*[F.lag("fp", i).over(w) for i in range(1, near + 1)]).alias("others"),
+        "fp", "k", "key", F.array(*[F.lag("fp", i).over(w) for i in range(1, near + 1)]).alias("others"),
         (F.lag("fp", near + 1).over(w).isNotNull() | F.lead("fp", near + 1).over(w).isNotNull()).alias("crowded"),
     )
-    seen = seen.select(
-        "fp", "crowded",
-        F.filter("others", lambda o: o.isNotNull() & (F.bit_count(o.bitwiseXOR(F.col("fp"))) <= 4)).alias("others"),
-    ).filter(F.col("crowded") | (F.size("others") > 0))
-    seen = checkpointed(seen)
-    direct = seen.select(F.explode("others").alias("a"), F.col("fp").alias("b"))
-    crowded = seen.filter("crowded").select("fp").distinct()
+    close = F.filter("others", lambda o: o.isNotNull() & (F.bit_count(o.bitwiseXOR(F.col("fp"))) <= 4))
+    seen = checkpointed(seen.withColumn("others", close).filter(F.col("crowded") | (F.size("others") > 0)))
+    found = checkpointed(components(seen.select(F.explode("others").alias("a"), F.col("fp").alias("b")).distinct()))
+    crowd = seen.filter("crowded").select("k", "key", "fp").join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    split = crowd.groupBy("k", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    apart = checkpointed(crowd.join(split, ["k", "key"], "left_semi").select("fp").distinct())
+    if apart.isEmpty():
+        return found
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else they'd be coalesced before the ball spreads them
     ball = [0, *(_signed(1 << i) for i in range(64)), *(_signed(1 << i | 1 << j) for i in range(64) for j in range(i))]
-    v = Window.partitionBy("key").orderBy("fp")
-    star = _variants(crowded.repartition(tasks, "fp"), ball).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    star = star.select(F.first("fp").over(v).alias("a"), F.col("fp").alias("b"))
-    return direct.unionByName(star).filter("a <> b").distinct()
+    star = _variants(apart.repartition(tasks, "fp"), ball).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    star = star.select(F.first("fp").over(Window.partitionBy("key").orderBy("fp")).alias("a"), F.col("fp").alias("b"))
+    return components(star.filter("a <> b").distinct().unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _groups(marked: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints with their least id, and (node, root) of those that link."""
     groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    return groups, checkpointed(components(links(groups.select("fp"), near)))
+    return groups, checkpointed(connected(groups.select("fp"), near))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, near: int = NEAR) -> DataFrame:
