@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.schema import require_columns
 
-W = Window.partitionBy("ts_code").orderBy("trade_date")
+def by_code():
+    """The window that all features share; made on demand, as it needs a session."""
+    return Window.partitionBy("ts_code").orderBy("trade_date")
 
 
 def frame(n: int):
     """The row and the ``n - 1`` before it."""
-    return W.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def full(x: Column, n: int, value: Column) -> Column:
@@ -36,8 +38,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def returns(k: int) -> Column:
-    c = F.last("close", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
-    return ratio(c, F.lag(c, k).over(W)) - 1
+    c = F.last("close", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    return ratio(c, F.lag(c, k).over(by_code())) - 1
 
 
 def _downside() -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .features import NAMES, W, mean, std
+from .features import NAMES, by_code, mean, std
 
 MAX_TOKENS = 8
 TINY = 1e-12
@@ -33,7 +33,7 @@ class Operator:
 
 def _decay(x: Column) -> Column:
     total = sum(range(1, 21))
-    return sum((F.lag(x, 20 - i).over(W) if i < 20 else x) * F.lit(i / total) for i in range(1, 21))
+    return sum((F.lag(x, 20 - i).over(by_code()) if i < 20 else x) * F.lit(i / total) for i in range(1, 21))
 
 
 def _zscore(x: Column) -> Column:
@@ -44,7 +44,7 @@ def _zscore(x: Column) -> Column:
 OPERATORS = {o.name: o for o in (
     Operator("ADD", 2, 0, lambda a, b: a + b, True), Operator("SUB", 2, 0, lambda a, b: a - b), Operator("MUL", 2, 0, lambda a, b: a * b, True),
     Operator("DIV", 2, 0, lambda a, b: F.when(F.abs(b) > TINY, a / b)), Operator("NEG", 1, 0, lambda a: -a), Operator("ABS", 1, 0, F.abs), Operator("SIGN", 1, 0, F.signum),
-    Operator("DELTA5", 1, 5, lambda a: a - F.lag(a, 5).over(W)), Operator("DECAY_LINEAR20", 1, 20, _decay), Operator("ZSCORE20", 1, 20, _zscore),
+    Operator("DELTA5", 1, 5, lambda a: a - F.lag(a, 5).over(by_code())), Operator("DECAY_LINEAR20", 1, 20, _decay), Operator("ZSCORE20", 1, 20, _zscore),
 )}
 
 

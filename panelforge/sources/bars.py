@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelforge.schema import KEY
 
-BY_CODE = Window.partitionBy("ts_code").orderBy("trade_date")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +25,7 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
     ).agg(F.min_by(price, first).alias("raw_open"), F.max(price).alias("raw_high"), F.min(price).alias("raw_low"), F.sum("l_quantity").alias("volume"), (cents / F.lit(100.0)).alias("amount"))
     out = out.withColumn("raw_close", F.col("amount") / F.col("volume"))
     raw = ("raw_open", "raw_high", "raw_low", "raw_close")
-    return out.select(*KEY, *[F.col(c).alias(c[4:]) for c in raw], *raw, "volume", "amount").withColumn("pre_close", F.lag("raw_close").over(BY_CODE))
+    return out.select(*KEY, *[F.col(c).alias(c[4:]) for c in raw], *raw, "volume", "amount").withColumn("pre_close", F.lag("raw_close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
 
 
 def scan_bars(bars: DataFrame, start: str, end: str, symbols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
