@@ -5,7 +5,7 @@ both. Emitting the whole ball of radius 2 in 64 bits costs 2081 rows a fingerpri
 input here, so the ball is hashed on projections first: of three bit blocks, the two with the
 fewest differences hold at most half of four differences, so fingerprints within four bits share
 a variant within ONE bit on one of three 42- or 43-bit projections (131 rows a fingerprint).
-Neighbours in a bucket are compared directly; members of a bucket that is too large for that and
+Neighbours in a bucket are compared directly; members of buckets that are too large for that and
 not connected by then go on to the whole 64-bit ball, where a bucket needs no comparison (all its
 members are within four bits) and a link to the first one loses nothing. Only distinct fingerprints take
 part, so copies never meet in a bucket.
@@ -21,7 +21,8 @@ from xxhash import xxh64_intdigest
 from .common import checkpointed
 
 SEED = 42
-NEAR = 8
+#: How many neighbours in a bucket each fingerprint is compared with: at first, and where components meet.
+NEAR, WIDE = 8, 1024
 _LAST = (1 << 63) - 1
 
 
@@ -73,28 +74,34 @@ def _variants(fps: DataFrame, flips: list[int]) -> DataFrame:
     return fps.withColumn("flip", F.explode(F.array(*[F.lit(f).cast("long") for f in flips])))
 
 
-def connected(fps: DataFrame, near: int = NEAR) -> DataFrame:
+def connected(fps: DataFrame, near: int = NEAR, wide: int = WIDE) -> DataFrame:
     """(node, root) for the distinct fingerprints ``fp`` that link; the root is the smallest of its component.
 
-    In a bucket, each fingerprint is compared with the ``near`` before it. Where a bucket is larger
-    than that, pairs further apart may be missed, which matters only if its members aren't
-    connected by then: those of buckets that hold two components go on to the whole ball.
+    In a bucket, each fingerprint is compared with the ``near`` before it. In a larger bucket,
+    pairs further apart may be missed, which matters only if they aren't connected by then. So
+    buckets that hold several components are looked at again, each member with the ``wide`` before
+    it; members of still larger ones that still hold several go on to the whole ball.
     """
     parts = []
     for k, (mask, flips) in enumerate(_projections()):
         parts.append(_variants(fps, flips).select("fp", F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(F.col("flip")).alias("key")))
     spread = parts[0].unionByName(parts[1]).unionByName(parts[2])
     w = Window.partitionBy("k", "key").orderBy("fp")
-    seen = spread.select(
-        "fp", "k", "key", F.array(*[F.lag("fp", i).over(w) for i in range(1, near + 1)]).alias("others"),
-        (F.lag("fp", near + 1).over(w).isNotNull() | F.lead("fp", near + 1).over(w).isNotNull()).alias("crowded"),
-    )
+    larger = lambda n: F.lag("fp", n + 1).over(w).isNotNull() | F.lead("fp", n + 1).over(w).isNotNull()
+    seen = spread.select("fp", "k", "key", F.array(*[F.lag("fp", i).over(w) for i in range(1, near + 1)]).alias("others"), larger(near).alias("crowded"))
     close = F.filter("others", lambda o: o.isNotNull() & (F.bit_count(o.bitwiseXOR(F.col("fp"))) <= 4))
     seen = checkpointed(seen.withColumn("others", close).filter(F.col("crowded") | (F.size("others") > 0)))
     found = checkpointed(components(seen.select(F.explode("others").alias("a"), F.col("fp").alias("b")).distinct()))
-    crowd = seen.filter("crowded").select("k", "key", "fp").join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    split = crowd.groupBy("k", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    apart = checkpointed(crowd.join(split, ["k", "key"], "left_semi").select("fp").distinct())
+    mixed = _mixed(seen.filter("crowded"), found)
+    if mixed.isEmpty():
+        return found
+    before = F.collect_list(F.struct("fp", "root")).over(w.rowsBetween(-wide, -1))
+    again = mixed.select("fp", "k", "key", "root", before.alias("others"), larger(wide).alias("crowded"))
+    close = F.filter("others", lambda o: (o["root"] != F.col("root")) & (F.bit_count(o["fp"].bitwiseXOR(F.col("fp"))) <= 4))
+    again = checkpointed(again.select("fp", "k", "key", "root", "crowded", F.array_distinct(F.transform(close, lambda o: o["root"])).alias("others")))
+    known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = checkpointed(components(again.select(F.explode("others").alias("a"), F.col("root").alias("b")).distinct().unionByName(known)))
+    apart = checkpointed(_mixed(again.filter("crowded"), found).select("fp").distinct())
     if apart.isEmpty():
         return found
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else they'd be coalesced before the ball spreads them
@@ -104,6 +111,14 @@ def connected(fps: DataFrame, near: int = NEAR) -> DataFrame:
     return components(star.filter("a <> b").distinct().unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
+def _mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (k, key, fp, root) of the buckets that hold more than one component."""
+    crowd = crowd.select("k", "key", "fp").join(found, F.col("fp") == F.col("node"), "left").select("k", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    crowd = checkpointed(crowd)
+    split = crowd.groupBy("k", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return checkpointed(crowd.join(split, ["k", "key"], "left_semi"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node.
 

@@ -125,8 +125,8 @@ def clusters(fps: list[int]) -> dict[int, int]:
     return {f: find(f) for f in fps}
 
 
-@pytest.mark.parametrize("near", [1, 8])
-def test_components_of_crowded_fingerprints(spark, near):
+@pytest.mark.parametrize(("near", "wide"), [(1, 1), (1, 6), (8, 1024)])
+def test_components_of_crowded_fingerprints(spark, near, wide):
     pick = random.Random(near)
     fps = {pick.getrandbits(63) for _ in range(60)}
     for _ in range(4):
@@ -137,7 +137,7 @@ def test_components_of_crowded_fingerprints(spark, near):
                 x ^= 1 << pick.randrange(63)
             fps.add(x)
     fps = sorted(fps)
-    found = {r["node"]: r["root"] for r in simhash_dedup.connected(spark.createDataFrame([(f,) for f in fps], "fp long"), near).collect()}
+    found = {r["node"]: r["root"] for r in simhash_dedup.connected(spark.createDataFrame([(f,) for f in fps], "fp long"), near, wide).collect()}
     assert {f: found.get(f, f) for f in fps} == clusters(fps)
 
 
