@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import checkpointed, table
 
 CAPACITY = 2048
-#: Words whose ids a task remembers.
-_CACHED = 300_000
+#: Words whose ids a Python worker remembers, twice: the words in use and those used before them.
+_CACHED = 200_000
 #: Pieces of one length that one task ranks, about.
 _RANKED = 50_000
 
@@ -32,21 +33,30 @@ class _Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.before = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        out = self.before.get(word)
+        if out is None:
+            out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= _CACHED:
+            self.before = dict(self)
             self.clear()
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
 
+@cache
+def _ids(path: str) -> _Ids:
+    """One per Python worker: a worker runs many tasks, and most of their words are the same."""
+    return _Ids(path)
+
+
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32. ``tokenizer`` is a file that every executor has."""
 
     def run(batches):
-        ids = _Ids(tokenizer)
+        ids = _ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
