@@ -21,32 +21,20 @@ from .common import join_names, mix
 from .repeats import Distinct, Rows, WINDOWS, FLAGS, flags_of, least_windows, repeats
 
 ROUNDS = 2
-_CACHED = 1 << 18
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-class _Names(dict):
-    """Names of words; forgets all when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        self[word] = name = xxh64_intdigest(word, 11)
-        return name
-
-
 class Words:
     """The words of a shard, one after the other, and their names."""
 
     def __init__(self, rows: Rows):
-        names = _Names()
         self.words = [t.split() for t in rows.texts]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
         self.names = np.empty(self.first[-1], np.uint64)
         for i, w in enumerate(self.words):
             if w:
-                self.names[self.first[i] : self.first[i + 1]] = np.fromiter(map(names.__getitem__, w), np.uint64, len(w))
+                self.names[self.first[i] : self.first[i + 1]] = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
         self.row = np.repeat(np.arange(len(self.n)), self.n)
 
     def starts(self, length: int) -> np.ndarray:
