@@ -58,3 +58,14 @@ def pair_trades(trades: DataFrame) -> DataFrame:
     i = Window.partitionBy("ts_code", "island").orderBy("trade_date", "seq").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("entry", F.last(F.when(~sell, F.struct("trade_date", "price")), ignorenulls=True).over(i))
     return t.filter(sell & F.col("entry").isNotNull()).select("ts_code", F.col("entry.trade_date").alias("entry_date"), F.col("trade_date").alias("exit_date"), (F.col("price") / F.col("entry.price") - 1).alias("trade_return"))
+
+
+def window_summary(windows: DataFrame, *by: str) -> DataFrame:
+    """Counts of target windows by status and the net returns of completed ones (null if there are none)."""
+    status, net = F.col("status"), F.when(F.col("status") == "completed", F.col("net_return"))
+    return windows.groupBy(*by).agg(
+        F.count("*").alias("target_window_count"),
+        *[F.count_if(status == s).alias(n) for s, n in (
+            ("completed", "completed_window_count"), ("entry_unfilled", "entry_unfilled_count"), ("entry_filled_exit_incomplete", "incomplete_exit_count"), ("missing_execution_status", "missing_status_count"))],
+        F.count_if("delayed_exit").alias("delayed_exit_count"), F.count(net).alias("net_return_count"), F.count_if(net > 0).alias("positive_count"), F.count_if(net < 0).alias("negative_count"),
+        F.count_if(net == 0).alias("zero_count"), F.avg(net).alias("mean_net_return"), F.median(net).alias("median_net_return"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import features as feat
 from panelforge.functions.formula import columns, compile_one, parse
-from panelforge.operators import backtest, crosssec, joins, rules, stats, tables
+from panelforge.operators import backtest, crosssec, joins, regime, rules, stats, tables
 from panelforge.sources import bars as src
 
 SCREENED = {"low_vol": "NEG(RET_STD20)", "reversal": "NEG(RET5)", "momentum": "RET20", "busy": "ZSCORE20(VOL_RATIO20)"}
@@ -293,3 +293,48 @@ def observation_watchlist(spark, sf_dir):
     st = joins.state_on(now, src.st_periods(spark, sf_dir), "historical_is_st")
     m = _market(spark, sf_dir).select("trade_date", "ts_code", "limit_status", F.col("buy_block").isNull().alias("tradable"))
     return st.join(m, ["trade_date", "ts_code"]).select("trade_date", "ts_code", "rank", "factor_value", F.coalesce("historical_is_st", F.lit(0)).alias("is_st"), "limit_status", "tradable")
+
+
+def regime_path(spark, sf_dir):
+    b = _bars(spark, sf_dir)
+    members = asof_members(spark, sf_dir).select("trade_date", "ts_code")
+    low = feat.compute(b, ["RET_STD20"]).withColumn("factor_value", F.round(compile_one(parse("NEG(RET_STD20)")), 8))
+    picks = crosssec.top(joins.keep_members(low.select("trade_date", "ts_code", "factor_value"), members, ["trade_date", "ts_code"]), "factor_value", 20)
+    returns = joins.keep_members(b.select("trade_date", "ts_code", F.round(F.col("close") / F.col("pre_close") - 1, 8).alias("ret")), members, ["trade_date", "ts_code"])
+    out = regime.gated_path(regime_signal(spark, sf_dir), picks, returns)
+    # means of twenty rounded returns: moved off the rounding's ties
+    return out.withColumn("portfolio_return", F.round(F.col("portfolio_return") + 3e-10, 6))
+
+
+def _calm_path(spark, sf_dir):
+    """Returns scaled: the made-up prices move too much to be compounded over years."""
+    return regime_path(spark, sf_dir).withColumns({"portfolio_return": F.col("portfolio_return") / 100, "cost": F.col("cost") / 100})
+
+
+def regime_metrics(spark, sf_dir):
+    out = regime.path_metrics(_calm_path(spark, sf_dir))
+    return _rounded(out, [c for c, t in out.dtypes if t == "double"], 5)
+
+
+def cost_grid(spark, sf_dir):
+    path = regime.cost_grid(_calm_path(spark, sf_dir), [0, 10, 20, 50])
+    out = regime.path_metrics(path, "portfolio_return", "cost_bps").select("cost_bps", "days", "total_return", "max_drawdown", "sharpe")
+    return _rounded(out, ["total_return", "max_drawdown", "sharpe"], 5)
+
+
+def split_metrics(spark, sf_dir):
+    split = F.when(F.col("trade_date") < "19980101", "train").when(F.col("trade_date") < "20000101", "validation").otherwise("test")
+    out = regime.path_metrics(_calm_path(spark, sf_dir).withColumn("split", split), "portfolio_return", "split").select("split", "days", "total_return", "max_drawdown", "sharpe", "switch_count")
+    return _rounded(out, ["total_return", "max_drawdown", "sharpe"], 5)
+
+
+def window_stats(spark, sf_dir):
+    status = F.when(F.col("l_returnflag") == "N", "completed").when(F.col("l_returnflag") == "A", "entry_unfilled").when(F.col("l_linenumber") % 2 == 0, "entry_filled_exit_incomplete").otherwise("missing_execution_status")
+    windows = src.table(spark, sf_dir, "lineitem").select(
+        F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ts_code"), status.alias("status"), (F.col("l_linenumber") > 4).alias("delayed_exit"), F.round(F.col("l_discount") - F.col("l_tax"), 4).alias("net_return"))
+    return _rounded(stats.window_summary(windows, "ts_code"), ["mean_net_return", "median_net_return"], 6)
+
+
+def histogram_tokens(spark, sf_dir):
+    words = src.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("token")).filter("token <> ''")
+    return words.groupBy("token").agg(F.count("*").alias("n"))

@@ -68,6 +68,36 @@ t3 AS (SELECT *, last_value(CASE WHEN side = 'buy' THEN trade_date END IGNORE NU
 paired AS (SELECT ts_code, entry_date, trade_date AS exit_date, round(price / entry_price - 1, 6) AS trade_return FROM t3 WHERE side = 'sell' AND entry_date IS NOT NULL)"""
 
 
+_PATH = f"""{FEATURES}, {MEMBERS}, lv AS (SELECT trade_date, round(avg(raw_close), 6) AS level FROM bars GROUP BY 1),
+sig AS (SELECT trade_date, coalesce(lag(above) OVER (ORDER BY trade_date), false) AS regime_on FROM (SELECT *, level > round(avg(level) OVER (ORDER BY trade_date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 6) AS above FROM lv)),
+hd AS (SELECT *, (row_number() OVER (ORDER BY trade_date) - 1) % 5 = 0 AS is_rebalance, count(*) FILTER (NOT regime_on) OVER (ORDER BY trade_date) AS stretch FROM sig),
+hf AS (SELECT *, max(CASE WHEN regime_on AND is_rebalance THEN trade_date END) OVER (PARTITION BY stretch ORDER BY trade_date) AS held_from FROM hd),
+pk AS (SELECT trade_date, ts_code FROM feat SEMI JOIN mem USING (trade_date, ts_code) WHERE RET_STD20 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY round(-RET_STD20, 8) DESC, ts_code) <= 20),
+hr AS (SELECT hf.trade_date, count(*) AS n, sum(coalesce(round(b.close / b.pre_close - 1, 8), 0)) / 20 AS gross FROM hf JOIN pk ON pk.trade_date = hf.held_from
+  LEFT JOIN (SELECT * FROM bars SEMI JOIN mem USING (trade_date, ts_code)) b ON b.trade_date = hf.trade_date AND b.ts_code = pk.ts_code GROUP BY 1),
+pc AS (SELECT trade_date, regime_on, is_rebalance, coalesce(n, 0) AS holdings_count, coalesce(gross, 0) AS gross, CASE WHEN is_rebalance AND n > 0 THEN 0.004 ELSE 0.0 END AS cost FROM hf LEFT JOIN hr USING (trade_date)),
+path AS (SELECT trade_date, regime_on, is_rebalance, holdings_count, round(gross - cost + 3e-10, 6) AS portfolio_return, CAST(cost AS DOUBLE) AS cost FROM pc)"""
+
+
+def _metrics(source, columns, by=""):
+    """Metrics of the paths in ``source`` (trade_date, regime_on, r), one for each value of ``by``."""
+    over = f"PARTITION BY {by or 'true'} ORDER BY trade_date"
+    lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""WITH {_PATH}, s0 AS ({source}), s1 AS (SELECT *, exp(sum(ln(1 + r)) OVER ({over})) AS equity, regime_on IS DISTINCT FROM lag(regime_on) OVER ({over}) AS switched FROM s0),
+s2 AS (SELECT *, max(equity) OVER ({over}) AS peak FROM s1),
+s3 AS (SELECT {lead}count(*) AS days, arg_max(equity, trade_date) - 1 AS total_return, min(equity / peak - 1) AS max_drawdown, count(*) FILTER (regime_on) AS risk_on_days, count(*) FILTER (switched) AS switch_count,
+  avg(CAST(r > 0 AS INT)) AS win_rate, avg(r) AS mu, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < 0 THEN r END) AS dsd FROM s2 {group}),
+s4 AS (SELECT *, pow(1 + total_return, 252.0 / days) - 1 AS annualized_return, CASE WHEN sd > 0 THEN mu / sd * sqrt(252) ELSE 0 END AS sharpe, CASE WHEN dsd > 0 THEN mu / dsd * sqrt(252) ELSE 0 END AS sortino FROM s3),
+s5 AS (SELECT *, CASE WHEN max_drawdown <> 0 THEN annualized_return / abs(max_drawdown) ELSE 0 END AS calmar FROM s4)
+SELECT {lead}""" + ", ".join(c if c in _WHOLE else f"round({c}, 5) AS {c}" for c in columns.split()) + " FROM s5"
+
+
+_WHOLE = ("days", "risk_on_days", "switch_count")
+_SPLIT = "CASE WHEN trade_date < '19980101' THEN 'train' WHEN trade_date < '20000101' THEN 'validation' ELSE 'test' END"
+_STATUS = "CASE WHEN l_returnflag = 'N' THEN 'completed' WHEN l_returnflag = 'A' THEN 'entry_unfilled' WHEN l_linenumber % 2 = 0 THEN 'entry_filled_exit_incomplete' ELSE 'missing_execution_status' END"
+_WINDOWS = f"w AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ts_code, {_STATUS} AS status, l_linenumber > 4 AS delayed_exit, round(l_discount - l_tax, 4) AS x FROM lineitem), n AS (SELECT *, CASE WHEN status = 'completed' THEN x END AS net FROM w)"
+
+
 def _features(*names):
     return f"WITH {FEATURES} SELECT trade_date, ts_code, " + ", ".join(f"round({n}, {4 if n.startswith('AMOUNT') else 8}) AS {n}" for n in names) + " FROM feat"
 
@@ -125,4 +155,13 @@ ORACLES = {
     "forward_tick": "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y%m%d') AS trade_date, sha256(props) AS payload FROM events",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y%m%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "observation_watchlist": f"WITH {FEATURES}, {MARKET}, {ST}, a AS (SELECT trade_date, ts_code, round(-RET_STD20, 8) AS factor_value FROM feat), t AS (SELECT trade_date, ts_code, factor_value, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY factor_value DESC, ts_code) AS INT) AS rank FROM a WHERE factor_value IS NOT NULL) SELECT t.trade_date, t.ts_code, rank, factor_value, CAST(CASE WHEN st.ts_code IS NULL THEN 0 ELSE 1 END AS INT) AS is_st, limit_status, buy_block IS NULL AS tradable FROM t JOIN mkt USING (trade_date, ts_code) LEFT JOIN st ON st.ts_code = t.ts_code AND t.trade_date BETWEEN st.start_date AND st.end_date WHERE rank <= 20 AND t.trade_date = (SELECT max(trade_date) FROM bars)",
+    "regime_path": f"WITH {_PATH} SELECT * FROM path",
+    "regime_metrics": _metrics("SELECT trade_date, regime_on, portfolio_return / 100 AS r FROM path", "days total_return max_drawdown risk_on_days switch_count win_rate annualized_return sharpe sortino calmar"),
+    "cost_grid": _metrics("SELECT trade_date, regime_on, portfolio_return / 100 + cost / 100 - cost / 100 * cost_bps / 20 AS r, cost_bps FROM path, (SELECT CAST(unnest([0, 10, 20, 50]) AS DOUBLE) AS cost_bps)", "days total_return max_drawdown sharpe", "cost_bps"),
+    "split_metrics": _metrics(f"SELECT trade_date, regime_on, portfolio_return / 100 AS r, {_SPLIT} AS split FROM path", "days total_return max_drawdown sharpe switch_count", "split"),
+    "window_stats": f"WITH {_WINDOWS} SELECT ts_code, count(*) AS target_window_count, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {n}" for s, n in (
+        ("completed", "completed_window_count"), ("entry_unfilled", "entry_unfilled_count"), ("entry_filled_exit_incomplete", "incomplete_exit_count"), ("missing_execution_status", "missing_status_count")))
+    + ", count(*) FILTER (delayed_exit) AS delayed_exit_count, count(net) AS net_return_count, count(*) FILTER (net > 0) AS positive_count, count(*) FILTER (net < 0) AS negative_count, count(*) FILTER (net = 0) AS zero_count, "
+    "round(avg(net), 6) AS mean_net_return, round(median(net), 6) AS median_net_return FROM n GROUP BY ts_code",
+    "histogram_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS token FROM part) WHERE token <> '' GROUP BY token",
 }

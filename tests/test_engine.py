@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import features, formula
-from panelforge.operators import backtest, crosssec, joins, rules, stats, tables
+from panelforge.operators import backtest, crosssec, joins, regime, rules, stats, tables
 from panelforge.sources import files
 from panelforge.streaming.forward import tick
 
@@ -139,3 +139,27 @@ def test_files(spark, tmp_path):
         files.json_lines(spark, str(p), "a int").collect()
     assert files.plain_yaml("a:\n  b: 1\n  c: [x, 2]\nd: true # note\ne: 0.5") == {"a": {"b": 1, "c": ["x", 2]}, "d": True, "e": 0.5}
     assert files.made_market(spark).count() == 450
+
+
+def test_regime_gate_holds_cash_while_off(spark):
+    on = [False, True, True, True, False, True, True]
+    days = spark.createDataFrame([(f"2024010{i + 1}", x) for i, x in enumerate(on)], "trade_date string, regime_on boolean")
+    picks = spark.createDataFrame([(d, c) for d in ("20240103", "20240105", "20240107") for c in ("a", "b")], "trade_date string, ts_code string")
+    returns = spark.createDataFrame([(f"2024010{i}", "a", 0.01 * i) for i in range(1, 8)] + [("20240104", "b", None)], "trade_date string, ts_code string, ret double")
+    path = regime.gated_path(days, picks, returns, top_n=4, freq=2, cost_bps=10)
+    got = {r["trade_date"][-1]: (r["holdings_count"], round(r["portfolio_return"], 6)) for r in path.collect()}
+    # rebalance days are 1, 3, 5 and 7; the regime is off on 1 and 5, so 6 holds nothing
+    assert got == {"1": (0, 0.0), "2": (0, 0.0), "3": (2, 0.0055), "4": (2, 0.01), "5": (0, 0.0), "6": (0, 0.0), "7": (2, 0.0155)}
+    m = regime.path_metrics(path).first()
+    assert (m["days"], m["risk_on_days"], m["switch_count"]) == (7, 5, 4) and m["total_return"] == pytest.approx(1.0055 * 1.01 * 1.0155 - 1)
+    assert m["win_rate"] == pytest.approx(3 / 7) and m["sortino"] == 0.0 and m["calmar"] == 0.0
+    free = regime.path_metrics(regime.cost_grid(path, [0, 10], 10), "portfolio_return", "cost_bps").orderBy("cost_bps").collect()
+    assert free[0]["total_return"] == pytest.approx(1.0075 * 1.01 * 1.0175 - 1) and free[1]["total_return"] == pytest.approx(m["total_return"])
+    assert regime.gated_path(days.limit(0), picks, returns).count() == 0 and regime.gated_path(days, picks.limit(0), returns).filter("portfolio_return <> 0").count() == 0
+
+
+def test_window_summary(spark):
+    rows = [("completed", True, 0.1), ("completed", False, -0.3), ("completed", None, None), ("entry_unfilled", None, 9.0), ("missing_execution_status", False, None)]
+    m = stats.window_summary(spark.createDataFrame(rows, "status string, delayed_exit boolean, net_return double")).first()
+    assert (m["target_window_count"], m["completed_window_count"], m["entry_unfilled_count"], m["delayed_exit_count"], m["net_return_count"]) == (5, 3, 1, 1, 2)
+    assert m["mean_net_return"] == pytest.approx(-0.1) and m["median_net_return"] == pytest.approx(-0.1)
