@@ -78,6 +78,28 @@ def test_suffix_array_and_prefixes():
         assert lcp[k] == min(n, 50)
 
 
+@pytest.mark.parametrize("tail", [b"", b"\0\0\0", b"\0" * 90])
+def test_texts_that_differ_after_byte_80(tail):
+    """The order is full, so no common prefix is carried to an unrelated neighbour."""
+    for seed in range(20):
+        pick = random.Random(seed)
+        shared = bytes(pick.choice(b"ab") for _ in range(80))
+        texts = [shared + b"z" * 20, shared + b"a" * 20, *[bytes(pick.choice(b"ab") for _ in range(90)) for _ in range(30)], b"ab" * 56 + tail]
+        raw = b"".join(texts)
+        text = np.frombuffer(raw, np.uint8)
+        sa, _ = suffix_dedup.suffix_array(text, 50)
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        lcp = suffix_dedup.common_prefixes(text, sa, 50).tolist()
+        for k in range(1, len(sa)):
+            a, b = raw[sa[k - 1] :][:50], raw[sa[k] :][:50]
+            assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        end = np.cumsum([len(t) for t in texts])
+        usable = np.arange(len(raw)) + 50 <= np.repeat(end, [len(t) for t in texts])
+        at, of = suffix_dedup.window_classes(text, usable, 50)
+        strings = {(c, raw[a : a + 50]) for a, c in zip(at.tolist(), of.tolist(), strict=True)}
+        assert len(strings) == len({c for c, _ in strings}) == len({s for _, s in strings})
+
+
 def test_merging_of_small_suffix_arrays_by_binary_search():
     pick = random.Random(1)
     texts = sorted({bytes(pick.choice(b"ab") for _ in range(70)) for _ in range(60)} | {b"q" * 60 + bytes([i]) * 20 for i in range(1, 30)})
