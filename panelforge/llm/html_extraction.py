@@ -21,10 +21,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|select|iframe|object|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Raw-text elements, dropped with what they hold; all others are left to the cut.
+_DROPPED = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in "script style textarea title".split()}
+#: Elements inside a line that part words.
+_PARTING = frozenset("br option optgroup text desc".split())
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that end a block of text.
 BLOCK_TAGS = frozenset(
@@ -91,18 +95,26 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # raw-text elements without an end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
                 linked += len(piece.split())
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        ending = m[2] or m[5]
-        if tag == "br":
+        ending = m[1] or m[4]
+        if tag in _DROPPED:
+            # an unclosed one ends at its own tag, as a self-closed one does
+            if not ending and tag not in endless and not (m[3] or m[6] or "").endswith("/"):
+                if end := _DROPPED[tag].search(page, at):
+                    at = end.end()
+                else:
+                    endless.add(tag)
+        elif tag in _PARTING:
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if ending else 1
@@ -119,7 +131,7 @@ def blocks(page: str) -> list[Block]:
                 if tag != "p" and stack[-1][0] == "p":
                     stack.pop()
                 number += 1
-                stack.append((tag, number, stack[-1][2] | _marks(tag, m[4] or m[7] or "")))
+                stack.append((tag, number, stack[-1][2] | _marks(tag, m[3] or m[6] or "")))
                 in_link = 0
         elif tag in BOILER_TAGS or tag == "span":
             # buttons and marked spans belong to a block but not to its text's kind
@@ -127,7 +139,7 @@ def blocks(page: str) -> list[Block]:
                 if inline and inline[-1][0] == tag:
                     close()
                     inline.pop()
-            elif marks := _marks(tag, m[4] or m[7] or ""):
+            elif marks := _marks(tag, m[3] or m[6] or ""):
                 close()
                 inline.append((tag, marks))
     if at < len(page):

@@ -116,6 +116,22 @@ def test_extraction(spark):
     assert out[1] == "Head & tail\nOne two three.\nBold text here." and out[2] == out[3] == "" and not re.search("<b>", out[4])
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a</p><noscript><p>b</p></noscript><p>c</p>", ["a", "b", "c"]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", ["Let x=2 be."]),
+    ("<p>a</p><svg width='1'/><p>b</p><math/><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><svg><path d='M0'><p>b</p><iframe src=x><p>c</p>", ["a", "b", "c"]),
+    ("<video-player><p>a</p></video-player><title-bar>b</title-bar><object-x><p>c</p><script-x><p>d</p>", ["a", "b", "c", "d"]),
+    ("<p>Pick <select><option>one<option>two</select></p><template><p>t</p></template>", ["Pick one two", "t"]),
+    ("<p>a<object>b</object> <canvas>c</canvas> <audio>d</audio> <video>e</video></p>", ["ab c d e"]),
+    ("<p>a</p><SCRIPT>var x='<p>no</p>'</Script ><style>p{}</style\n><p>b</p><textarea><p>no</textarea><title>no</title>", ["a", "b"]),
+    ("<p>a</p><script src=x /><p>b</p><script><p>c</p><style><script><p>d</p>", ["a", "b", "c", "d"]),
+    ("<p>a</p><script>var x = 1</script", ["a"]),
+])
+def test_only_raw_text_elements_are_dropped(page, want):
+    assert [b.text for b in html_extraction.blocks(page)] == want
+
+
 def test_search(spark):
     pick = np.random.default_rng(6)
     x = pick.normal(size=(400, 8))
