@@ -95,19 +95,20 @@ def phrase_matches(docs: DataFrame, grams: DataFrame, *key: str) -> DataFrame:
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int, *key: str) -> DataFrame:
     """Places where the terms ``a`` and ``b`` of a pair stand at most ``within`` words apart.
 
-    For each place of ``a`` the nearest ``b`` before and after is taken, so the rows grow with the
-    places of ``a`` only. Returns ``key`` columns, ``a``, ``b``, ``pos`` and ``other``.
+    All such places are matched: blocks of ``within`` words make the join an equi-join, so the rows
+    grow with the places and their matches. Returns ``key`` columns, ``a``, ``b``, ``pos`` and ``other``.
     """
     wanted = pairs.select(F.col("a").alias("term")).unionByName(pairs.select(F.col("b").alias("term"))).distinct()
     index = checkpointed(postings(docs, _small(wanted), *key))
-    left = index.join(_small(pairs), F.col("term") == F.col("a")).select(*key, "a", "b", "pos", F.lit(True).alias("left"))
-    right = index.join(_small(pairs), F.col("term") == F.col("b")).select(*key, "a", "b", "pos", F.lit(False).alias("left"))
-    w = Window.partitionBy(*key, "a", "b").orderBy("pos", F.col("left").cast("int"))
-    before = F.last(F.when(~F.col("left"), F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(~F.col("left"), F.col("pos")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    near = left.unionByName(right).withColumns({"before": before, "after": after}).filter("left")
-    near = near.withColumn("other", F.when(F.col("after").isNull() | (F.col("pos") - F.col("before") <= F.col("after") - F.col("pos")), F.col("before")).otherwise(F.col("after")))
-    return near.filter(F.abs(F.col("pos") - F.col("other")) <= within).select(*key, "a", "b", "pos", "other")
+    pairs, block = pairs.select("a", "b").distinct(), F.floor(F.col("pos") / max(within, 1))
+    left = index.join(_small(pairs), F.col("term") == F.col("a")).select(*key, "a", "b", "pos", block.alias("block"))
+    right = index.join(_small(pairs), F.col("term") == F.col("b")).select(
+        *[F.col(k).alias(f"{k}_b") for k in key], F.col("a").alias("first"), F.col("b").alias("second"), F.col("pos").alias("other"), F.explode(F.sequence(block - 1, block + 1)).alias("near"),
+    )
+    on = (F.col("a") == F.col("first")) & (F.col("b") == F.col("second")) & (F.col("block") == F.col("near")) & (F.abs(F.col("pos") - F.col("other")) <= within)
+    for k in key:
+        on &= F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    return left.join(right, on).select(*key, "a", "b", "pos", "other")
 
 
 def _keys(id_col: Column, text: Column) -> tuple[Column, Column]:

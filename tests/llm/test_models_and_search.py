@@ -25,6 +25,16 @@ def test_proximity(spark):
     assert sorted((r["doc_id"], r["pos"], r["other"]) for r in out) == [(1, 0, 3), (2, 1, 0)]
 
 
+def test_proximity_returns_all_places(spark):
+    texts = {1: "a b b x x x b a", 2: "b a a b", None: "a b", 3: "b x x x x x a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for within in (1, 3, 5):
+        out = decontamination.proximity_matches(docs, spark.createDataFrame([("a", "b")], "a string, b string"), within, "doc_id").collect()
+        words = {i: t.split() for i, t in texts.items()}
+        want = [(str(i), p, q) for i, w in words.items() for p, x in enumerate(w) for q, y in enumerate(w) if (x, y) == ("a", "b") and abs(p - q) <= within]
+        assert sorted((str(r["doc_id"]), r["pos"], r["other"]) for r in out) == sorted(want)
+
+
 def test_packing(spark):
     texts = [None, "", "Hello  wörld's <|endoftext|>x", "a b c " * 1500, "tail " * 700, "\x1fodd space"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, "x")]
