@@ -12,13 +12,8 @@ from panelforge.sources import bars as src
 SCREENED = {"low_vol": "NEG(RET_STD20)", "reversal": "NEG(RET5)", "momentum": "RET20", "busy": "ZSCORE20(VOL_RATIO20)"}
 
 
-def _grain(sf_dir: str) -> str:
-    """The smallest tables have a few codes a day only."""
-    return "week" if sf_dir.rstrip("/").endswith("sf0.001") else "day"
-
-
-def _bars(spark, sf_dir):
-    return src.bars(spark, sf_dir, _grain(sf_dir))
+def _bars(spark, sf_dir, grain="day"):
+    return src.bars(spark, sf_dir, grain)
 
 
 def _rounded(df, names, digits=8):
@@ -92,8 +87,8 @@ def percentile_composite(spark, sf_dir):
     return _rounded(df.select("trade_date", "ts_code", "score"), ["score"], 6)
 
 
-def topn_by_date(spark, sf_dir):
-    df = feat.compute(_bars(spark, sf_dir), ["RET_STD20"])
+def topn_by_date(spark, sf_dir, grain="day"):
+    df = feat.compute(_bars(spark, sf_dir, grain), ["RET_STD20"])
     df = df.withColumn("factor_value", F.round(compile_one(parse("NEG(RET_STD20)")), 8)).select("trade_date", "ts_code", "factor_value")
     return crosssec.top(df, "factor_value", 20)
 

@@ -163,3 +163,14 @@ def test_window_summary(spark):
     m = stats.window_summary(spark.createDataFrame(rows, "status string, delayed_exit boolean, net_return double")).first()
     assert (m["target_window_count"], m["completed_window_count"], m["entry_unfilled_count"], m["delayed_exit_count"], m["net_return_count"]) == (5, 3, 1, 1, 2)
     assert m["mean_net_return"] == pytest.approx(-0.1) and m["median_net_return"] == pytest.approx(-0.1)
+
+
+def test_bars_do_not_depend_on_the_path(spark, tmp_path):
+    from panelforge.plans import queries
+
+    small = tmp_path / "sf0.001"
+    small.mkdir()
+    days = spark.sql("select 1L l_orderkey, id + 1 l_linenumber, 7L l_suppkey, date_add(date'2024-01-01', cast(id as int)) l_shipdate, 2.0D l_quantity, 10.0D + id l_extendedprice from range(5)")
+    days.write.parquet(str(small / "lineitem.parquet"))
+    assert queries.bars_daily(spark, str(small)).count() == 5
+    assert queries._bars(spark, str(small), "week").count() == 1
