@@ -10,46 +10,121 @@ buckets of a length, so a length that many pieces share is no single task.
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import zlib
 from collections import defaultdict
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, trim
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers, twice: the words in use and those used before them.
-_CACHED = 200_000
+#: Pieces whose ids a Python worker remembers, twice: those in use and those used before them.
+_CACHED = 100_000
+#: Bytes of text that are tokenised together.
+_SLICE = 2 << 20
 #: Pieces of one length that one task ranks, about.
-_RANKED = 50_000
+_RANKED = 2_000
+#: Words of letters that one call encodes.
+_TOGETHER = 10_000
+#: Letters that the tokenizer's normalizer leaves as they are (a-z and those of Latin-1).
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_LETTERS = re.compile(f"[{_SMALL}]+").fullmatch
+#: ASCII punctuation (no apostrophe) that is a word of its own behind a letter or digit.
+_TAIL = "".join(c for c in string.punctuation if c != "'")
 
 
-class _Ids(dict):
-    """Little-endian ids of a white-space-free word. The tokenizer drops white space, so words are independent."""
+def _laid(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[start : start + size]`` of every row, one after the other."""
+    end = np.cumsum(size)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)]
+
+
+class Ids:
+    """Token ids of white-space-free words.
+
+    The tokenizer drops white space and lower-cases, so words are independent and upper case ASCII
+    letters don't matter; punctuation behind an ASCII letter or digit is matched by itself. Words
+    that may hold a special token are left as they are.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        self.letters = Tokenizer(self.tokenizer.model)  # for runs of small letters, which the rest of the pipeline leaves as they are
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        odd = [x for x in parts if not _LETTERS(x)]
+        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
+        parts = [x for x in parts if x not in out]
+        for i in range(0, len(parts), _TOGETHER):
+            some = parts[i : i + _TOGETHER]
+            made = self.letters.encode(" ".join(some), add_special_tokens=False)
+            ids, end = np.array(made.ids, "<u4").tobytes(), (np.cumsum(np.bincount(made.word_ids, minlength=len(some))) * 4).tolist()
+            out |= {x: ids[a:b] for x, a, b in zip(some, [0, *end], end, strict=False)}
+        return out
 
-        self.tokenizer, self.before = Tokenizer.from_file(path), {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = self.before.get(word)
-        if out is None:
-            out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= _CACHED:
-            self.before = dict(self)
-            self.clear()
-        self[word] = out
+    def _of(self, parts: pa.Array) -> list[bytes]:
+        parts = parts.to_pylist()
+        known, before = self.known, self.before
+        made = self._new([x for x in parts if x not in known and x not in before])
+        out = [made[x] if x in made else known[x] if x in known else before[x] for x in parts]
+        if len(known) + len(made) > _CACHED:
+            self.known, self.before = {}, known
+        self.known.update(zip(parts, out, strict=True))
         return out
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: all their ids, and each one's first id and number of ids."""
+        special = pc.match_substring(words, "<|")
+        low = pc.if_else(special, words, pc.ascii_lower(words))
+        core = pc.ascii_rtrim(low, characters=_TAIL)
+        plain = pc.and_(pc.match_substring_regex(core, f"[0-9{_SMALL}]$"), pc.invert(special))
+        core = pc.if_else(plain, core, low)
+        tail = pc.replace_substring_regex(pc.if_else(plain, low, ""), f"^.*[^{re.escape(_TAIL)}]", "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids = self._of(both.dictionary)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        at = both.indices.to_numpy().reshape(2, -1).T.reshape(-1)  # a word's core and tail in turn
+        many = size[at].reshape(-1, 2).sum(axis=1)
+        return _laid(flat, start[at], size[at]), np.cumsum(many) - many, many
+
+    def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), each followed by ``end_id``, and where each text's ids end."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        last = lists.offsets.to_numpy()
+        words = lists.values.slice(last[0], last[-1] - last[0]).dictionary_encode()
+        flat, start, size = self.words(words.dictionary)
+        flat, start, size = np.append(flat, np.uint32(end_id)), np.append(start, len(flat)), np.append(size, 1)
+        code = np.insert(words.indices.to_numpy(), last[1:] - last[0], len(size) - 1)
+        ends = np.cumsum(size[code])[last[1:] - last[0] + np.arange(len(texts))]
+        return np.ascontiguousarray(_laid(flat, start[code], size[code]), "<u4"), ends
+
 
 @cache
-def _ids(path: str) -> _Ids:
+def _ids(path: str) -> Ids:
     """One per Python worker: a worker runs many tasks, and most of their words are the same."""
-    return _Ids(path)
+    return Ids(path)
+
+
+def slices(texts: pa.Array, most: int):
+    """(first, after last) of stretches of about ``most`` bytes, of one text at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    of = np.cumsum(size, dtype=np.int64) // most
+    edge = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(size)] if len(size) else [0]
+    return zip(edge, edge[1:], strict=False)
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -57,16 +132,21 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capac
 
     def run(batches):
         ids = _ids(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                data = b"".join(map(ids.__getitem__, (text or b"").split())) + end
-                rows += [(doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)) for k in range(0, len(data), step) for part in [data[k : k + step]]]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            for i, j in slices(b.column(1), _SLICE):
+                flat, ends = ids.documents(b.column(1).slice(i, j - i), end_id)
+                first = np.append(0, ends[:-1])
+                many = -(-(ends - first) // capacity)
+                doc = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(ends[doc] - first[doc] - start, capacity)
+                data, at = memoryview(flat.tobytes()), (first[doc] + start) * 4
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["id", "piece", "start", "length", "ids_crc32"])
+            trim()
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return own.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
