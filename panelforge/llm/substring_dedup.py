@@ -2,12 +2,13 @@
 
 Recompression replaces, round after round, runs of one symbol and then adjacent pairs (left
 symbol from one half of the alphabet, right symbol from the other) by new symbols. A new symbol's
-name here is a hash of what it replaces, so every executor gives equal runs and pairs the same
+name is a function of what it replaces, so every executor gives equal runs and pairs the same
 name without a dictionary, and whether a pair is replaced depends on the pair alone: the inside
 of a passage is parsed alike wherever it stands. Each symbol keeps the range of words that its
 parse depends on. A window's interior symbols are those whose range lies in the window; the
-highest of them is the window's key. Windows with a key that other documents hold are compared
-by their 96-bit names (:mod:`panelforge.llm.repeats` moves them).
+highest of them is the window's key. Spark gathers the symbols of all documents
+(:mod:`panelforge.llm.repeats`): windows whose highest symbol another document shares are
+candidates, and these are verified on their words. A clash of names makes a candidate, no match.
 """
 
 from __future__ import annotations
@@ -18,30 +19,43 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .common import join_names, mix
-from .repeats import Distinct, Rows, WINDOWS, FLAGS, flags_of, least_windows, repeats
+from .repeats import Rows, Runs, covered, outside, repeats
 
+#: Symbols of later rounds depend on more than a window's words, but for few.
 ROUNDS = 2
+#: Uses of a key from which its windows have keys of their own.
+HOT_USES = 100_000
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 class Words:
-    """The words of a shard, one after the other, and their names."""
+    """The words of a shard, one after the other and parted by one space, and their names."""
 
     def __init__(self, rows: Rows):
-        self.words = [t.split() for t in rows.texts]
-        self.n = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.names = np.empty(self.first[-1], np.uint64)
-        for i, w in enumerate(self.words):
+        lines, names, sizes, n = [], [], [], []
+        for t in rows.texts:
+            w = t.split()
+            n.append(len(w))
             if w:
-                self.names[self.first[i] : self.first[i + 1]] = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
+                lines.append(b" ".join(w))
+                names.append(np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w)))
+                sizes.append(np.fromiter(map(len, w), np.int32, len(w)))
+        self.line = b" ".join(lines)
+        self.names = np.concatenate(names) if names else np.zeros(0, np.uint64)
+        self.n = np.array(n, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes) + 1, dtype=np.int64)]) if sizes else np.zeros(1, np.int64)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), self.n)
 
     def starts(self, length: int) -> np.ndarray:
         """Where a window of ``length`` words of one document starts."""
         size = np.maximum(self.n - length + 1, 0)
         return np.arange(size.sum()) + np.repeat(self.first[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
 
+    def text(self, a: int, b: int) -> bytes:
+        """Words [a, b), parted by one space."""
+        return self.line[self.at[a] : max(self.at[a], self.at[b] - 1)]
+
 
 def span_names(names: np.ndarray, length: int) -> np.ndarray:
     """The name of the ``length`` words from each position on."""
@@ -60,7 +74,7 @@ def span_names(names: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-_FAR = 1 << 40
+_FAR = np.int32(1 << 30)
 
 
 class Symbols:
@@ -74,13 +88,13 @@ class Symbols:
 
     @classmethod
     def words(cls, names: np.ndarray, doc: np.ndarray) -> Symbols:
-        at = np.arange(len(names))
+        at = np.arange(len(names), dtype=np.int32)
         return cls(names, at, at + 1, at, at + 1, doc)
 
     def _reach(self) -> tuple[np.ndarray, np.ndarray]:
         """lo and hi with the left and the right neighbour's range."""
         same = self.doc[1:] == self.doc[:-1]
-        lo, hi = np.full(len(self.lo), -_FAR), np.full(len(self.hi), _FAR)
+        lo, hi = np.full(len(self.lo), -_FAR, np.int32), np.full(len(self.hi), _FAR, np.int32)
         lo[1:] = np.where(same, np.minimum(self.lo[1:], self.lo[:-1]), -_FAR)
         hi[:-1] = np.where(same, np.maximum(self.hi[1:], self.hi[:-1]), _FAR)
         return lo, hi
@@ -117,92 +131,101 @@ class Symbols:
         return self._grouped(~joined, names, lo, hi)
 
 
-def window_keys(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, their keys, and the windows' names (64 and 32 bits)."""
+def window_keys(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts and their keys: the highest symbol that depends on the window's words only."""
     starts = words.starts(length)
     if not len(starts):
-        return starts, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint32)
+        return starts, np.zeros(0, np.uint64)
     names = words.names
-    whole = span_names(names, length)
     hashed = np.concatenate([[np.uint64(0)], np.cumsum(mix(names), dtype=np.uint64)])
-    best = np.zeros(len(whole), np.uint64)
+    best = np.zeros(len(names) - length + 1, np.uint64)
     symbols = Symbols.words(names, words.row)
     for level in range(1, ROUNDS + 1):
         symbols = symbols.runs().pairs(level)
-        at = np.flatnonzero(symbols.hi - symbols.lo <= length)
+        at = np.flatnonzero(symbols.hi.astype(np.int64) - symbols.lo <= length)
         lo, hi, start = symbols.lo[at], symbols.hi[at], symbols.start[at]
         # the words depended on go into the key, which makes it rare
         key = join_names(symbols.names[at], hashed[hi] - hashed[lo])
-        rank = (key >> np.uint64(2)) | np.uint64(level << 62)
         here = np.zeros(len(names), np.uint64)
-        here[start] = rank
+        here[start] = (key >> np.uint64(2)) | np.uint64(level << 62)
         before, after = np.zeros(len(names), np.int16), np.full(len(names), length + 1, np.int16)
         before[start], after[start] = start - lo, hi - start
         for back in range(length):  # the window that starts so many words before the symbol
             part = np.where((before[back:] <= back) & (after[back:] <= length - back), here[back:], np.uint64(0))[: len(best)]
             np.maximum(best[: len(part)], part, out=best[: len(part)])
-    key = np.where(best == 0, whole >> np.uint64(2), best)[starts]  # no interior symbol (runs of a word): the window itself
-    return starts, mix(key), whole[starts], (mix(whole ^ hashed[length:][: len(whole)] - hashed[: len(whole)]) >> np.uint64(32)).astype(np.uint32)[starts]
+    best = best[starts]
+    none = np.flatnonzero(best == 0)  # no interior symbol (runs of a word): the window itself
+    if len(none):
+        best[none] = span_names(names, length)[starts[none]] >> np.uint64(2)
+    return starts, mix(best)
+
+
+class WordRuns(Runs):
+    def __init__(self, rows: Rows, length: int):
+        self.length, self.words = length, Words(rows)
+        starts, key = window_keys(self.words, length)
+        row = self.words.row[starts] if len(starts) else np.zeros(0, np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        self.cut(starts[at], np.diff(np.append(at, len(key))), key[at], row[at].astype(np.int64))
+
+    def text(self, start: int, size: int) -> bytes:
+        return self.words.text(start, start + size + self.length - 1)
+
+
+def least_ids(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each text the smallest id that each of its windows has among texts of its key, by the words."""
+    out: list[np.ndarray] = []
+    group: list[list[bytes]] = []
+    least: dict[bytes, int] = {}
+
+    def close() -> None:
+        out.extend(np.array([least[w] for w in windows], np.int64) for windows in group)
+        group.clear()
+        least.clear()
+
+    for i, (text, own) in enumerate(zip(texts, ids.tolist(), strict=True)):
+        if i and keys[i] != keys[i - 1]:
+            close()
+        at = [0, *[k + 1 for k, c in enumerate(text) if c == 32], len(text) + 1]
+        windows = [text[a : b - 1] for a, b in zip(at, at[length:], strict=False)]
+        for w in windows:
+            if least.get(w, own) >= own:
+                least[w] = own
+        group.append(windows)
+    close()
+    return out
 
 
 def remove_repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, carry: list[str] | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, carry: list[str] | None = None, hot_uses: int = HOT_USES,
 ) -> DataFrame:
     """Remove every word covered by a ``length``-word window that starts in a smaller id too.
 
     Words are runs of bytes other than ASCII white space. Returns one row per input row: ``id``,
-    ``carried``, ``kept`` (the words left, joined by one space), ``n_words``, ``n_removed`` and
-    ``spans`` (removed runs, in words, as [first, after last]).
-
-    Null or empty text: no words. Texts of fewer words than ``length`` keep all. Rows with the
-    same id never remove each other's words; a null id ranks after all ids.
+    ``carried`` (a struct of the columns ``carry``), ``kept`` (the words left, joined by one space),
+    ``n_words``, ``n_removed`` and ``spans`` (removed runs, in words, as [first, after last]).
+
+    Null or empty text: no words, ``kept`` is empty. Texts of fewer words than ``length`` keep all.
+    Rows with the same id never remove each other's words (repeated rows stay alike); a null id
+    ranks after all ids. An empty table gives an empty result. Columns that are not named are
+    ignored, whatever their names. One document is held whole by one task, at about thirty times
+    its size.
     """
 
-    def keys(rows: Rows):
-        words = Words(rows)
-        starts, key, _, _ = window_keys(words, length)
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[1:] |= words.row[starts[1:]] != words.row[starts[:-1]]
-        return key[new], words.row[starts[new]]
-
-    def shared(rows: Rows, got: list[tuple], n: int):
-        words = Words(rows)
-        starts, key, name, more = window_keys(words, length)
-        known = flags_of(key, [r for r in got if r[0] == FLAGS], n) > 0
-        starts = starts[known]
-        return words, starts, Distinct(name[known], more[known], rows.ids[words.row[starts]])
-
-    def send(shard: int, rows: Rows, got: list[tuple], n: int):
-        return shared(rows, got, n)[2].send(shard, n)
-
-    def remove(rows: Rows, got: list[tuple], n: int):
-        if got:
-            words, starts, distinct = shared(rows, got, n)
-            repeated = starts[distinct.learn([r for r in got if r[0] == WINDOWS], n) < rows.ids[words.row[starts]]]
-        else:
-            words, repeated = Words(rows), np.zeros(0, np.int64)
-        change = np.zeros(len(words.names) + 1, np.int64)
-        np.add.at(change, repeated, 1)
-        np.add.at(change, repeated + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        kept, removed, spans = [], [], []
-        for i, w in enumerate(words.words):
-            g = gone[words.first[i] : words.first[i + 1]]
-            removed.append(int(g.sum()))
-            if removed[-1]:
-                edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                spans.append(edge.tolist())
-                after = [0, *edge[:, 1].tolist()]
-                w = [x for a, b in zip(after, [*edge[:, 0].tolist(), len(w)], strict=True) for x in w[a:b]]
-            else:
-                spans.append([])
-            kept.append(b" ".join(w))
-        return {"kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(words.n), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
+    def remove(rows: Rows, runs: WordRuns, a: np.ndarray, b: np.ndarray):
+        words = runs.words
+        spans = covered(a, b + length - 1, words.first)
+        kept = [b" ".join([words.text(f + x, f + y) for x, y in outside(s, n)]) for s, f, n in zip(spans, words.first.tolist(), words.n.tolist(), strict=False)]
+        return {
+            "kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(words.n),
+            "n_removed": pa.array([sum(y - x for x, y in s) for s in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+        }
 
     return repeats(
-        docs, id_col, text_col, carry or [], keys=keys, send=send, settle=least_windows, remove=remove,
-        result="kept string, n_words long, n_removed long, spans array<array<long>>", hot=1 << 62,
+        docs, id_col, text_col, carry or [], runs_of=lambda rows: WordRuns(rows, length), least_ids=lambda t, i, k: least_ids(t, i, k, length), remove=remove,
+        result="kept string, n_words long, n_removed long, spans array<array<long>>", hot=hot_uses,
     )
 
 

@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelforge.llm import simhash_dedup, substring_dedup, suffix_dedup
+from panelforge.llm import repeats, simhash_dedup, substring_dedup, suffix_dedup
 from panelforge.llm.common import table  # noqa: F401
 
 SCHEMA = "doc_id long, text string, source string, id string"
@@ -58,6 +59,78 @@ def test_byte_windows(spark, hot):
     assert all(sum(b - a for a, b in r["spans"]) == r["n_removed"] for r in out)
 
 
+@pytest.mark.parametrize("hot", [2, substring_dedup.HOT_USES])
+def test_word_windows_of_refined_keys(spark, hot):
+    rows = documents()
+    a, b = (sorted((str(r["id"]), r["kept"], str(r["spans"])) for r in substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, SCHEMA), hot_uses=h).collect()) for h in (hot, 1 << 40))
+    assert a == b
+
+
+def in_process(texts: list[str], ids: list[int], runs_of, least_ids, shards: int, hot: int) -> list[list[tuple[int, int]]]:
+    """The three passes without Spark: window starts [from, to) that go, of each text."""
+    deal = [[i for i in range(len(texts)) if i % shards == s] for s in range(shards)]
+    rows = [repeats.Rows(pa.table({"id": pa.array([ids[i] for i in d], pa.int64()), "text": pa.array([texts[i] for i in d], pa.string())})) for d in deal]
+    runs = [runs_of(r) for r in rows]
+
+    def regrouped(tables, column):
+        groups = defaultdict(list)
+        for t in tables:
+            for row in repeats.received(t):
+                groups[row[column]].append(row)
+        return groups
+
+    keys = regrouped([repeats.send_keys(s, u.key, u.row, r.ids, shards) for s, (r, u) in enumerate(zip(rows, runs, strict=True))], 1)
+    flags = regrouped([repeats.share_keys(repeats.message(g), hot) for g in keys.values()], 2)
+    shared = [repeats.Shared(r, u, flags[s], shards) for s, (r, u) in enumerate(zip(rows, runs, strict=True)) if flags[s]]
+    sent = regrouped([repeats.message(x.send(s)) for s, x in enumerate(shared)], 1)
+    back = regrouped([repeats.settle_texts(repeats.message(g), least_ids) for g in sent.values()], 2)
+    out = [[] for _ in texts]
+    for s, (r, u, x) in enumerate(zip(rows, runs, shared, strict=True)):
+        first = u.first if hasattr(u, "first") else u.words.first
+        for a, b in zip(*x.repeated(back.get(s, [])), strict=True):
+            row = int(np.searchsorted(first, a, "right")) - 1
+            out[deal[s][r.order[row]]] += [(int(k - first[row])) for k in range(a, b)]
+    return [sorted(set(o)) for o in out]
+
+
+@pytest.mark.parametrize("hot", [2, 1 << 40])
+@pytest.mark.parametrize("clash", [False, True])
+def test_clashing_hashes_change_nothing(monkeypatch, clash, hot):
+    """With names of two bits nearly all keys are equal; texts decide what is."""
+    pick = random.Random(9)
+    words = ["la", "of", "the", "ñandú", "zz"]
+    base = [" ".join(pick.choice(words) for _ in range(60)) for _ in range(8)]
+    texts = [*base, base[0] + " x " + base[3], base[2][11:], base[1], "of " * 70, "of " * 50]
+    ids = pick.sample(range(100), len(texts))
+    if clash:
+        monkeypatch.setattr(substring_dedup, "xxh64_intdigest", lambda w: len(w) & 1)
+        monkeypatch.setattr(repeats, "xxh64_intdigest", lambda w: len(w) & 1)
+        monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(3))
+        monkeypatch.setattr(substring_dedup, "mix", lambda x: x & np.uint64(3))
+    for units, length, runs_of, least in (
+        ([t.split() for t in texts], 13, lambda r: substring_dedup.WordRuns(r, 13), lambda t, i, k: substring_dedup.least_ids(t, i, k, 13)),
+        ([list(t.encode()) for t in texts], 50, lambda r: suffix_dedup.ByteRuns(r, 50), lambda t, i, k: suffix_dedup.least_ids(t, i, k, 50)),
+    ):
+        smallest = defaultdict(lambda: 1000)
+        for u, i in zip(units, ids, strict=True):
+            for k in range(len(u) - length + 1):
+                smallest[tuple(u[k : k + length])] = min(smallest[tuple(u[k : k + length])], i)
+        want = [[k for k in range(len(u) - length + 1) if smallest[tuple(u[k : k + length])] < i] for u, i in zip(units, ids, strict=True)]
+        assert in_process(texts, ids, runs_of, least, 3, hot) == want
+
+
+def test_a_long_text(spark):
+    """300,000 words of one document, half of it another's."""
+    pick = random.Random(6)
+    half = " ".join(f"w{pick.randrange(10**6)}" for _ in range(150_000))
+    rows = [(1, half), (2, " ".join(f"v{pick.randrange(10**6)}" for _ in range(150_000)) + " " + half)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_id = {r["id"]: r for r in substring_dedup.remove_repeated_passages(docs).collect()}
+    assert by_id[1]["n_removed"] == 0 and by_id[2]["spans"] == [[150_000, 300_000]]
+    by_id = {r["id"]: r for r in suffix_dedup.remove_repeated_bytes(docs, decode=True).collect()}
+    assert by_id[1]["n_removed"] == 0 and by_id[2]["n_removed"] >= len(half) and by_id[2]["kept"] + half in (rows[1][1], rows[1][1][: -len(half) - 1] + half)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.remove_repeated_passages(none).count() == 0
@@ -125,7 +198,7 @@ def test_interior_symbols_depend_on_their_range_only():
             ids = np.zeros(1, np.int64)
 
         words = substring_dedup.Words(R)
-        starts, key, name, _ = substring_dedup.window_keys(words, 13)
+        starts, key = substring_dedup.window_keys(words, 13)
         first = len(before.split())
         keys.add(tuple(key[first : first + 28].tolist()))
     assert len(keys) == 1
