@@ -31,11 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what a smaller document id holds; bytes that are no longer a character go, ``n_chars`` follows."""
-    out = suffix_dedup.remove_repeated_bytes(docs, carry=docs.columns)
-    text = F.when(F.col("carried.text").isNull(), F.lit(None)).otherwise(suffix_dedup.as_text(F.col("kept")))
-    out = out.select("carried", text.alias("kept_text"))
-    changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    """Texts without what a smaller document id holds; bytes that are no longer a character go, ``n_chars`` follows.
+
+    Null texts stay null, null ids rank after all others, repeated rows stay alike; an empty table
+    gives an empty one. Other columns are carried along unchanged.
+    """
+    out = suffix_dedup.remove_repeated_bytes(docs, carry=[c for c in docs.columns if c != "text"], decode=True)
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)}
     return out.select(*[changed.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
