@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .research import stride
+
 
 def average_rank(x: str, *by: str) -> Column:
     """Rank from 1, ties share their mean."""
@@ -93,11 +97,14 @@ def fast_screen(scored: DataFrame, min_coverage: float = 0.1, min_dispersion: fl
     return out.withColumn("fast_screen_status", F.when(F.col("rejection_reason").isNull(), "passed").otherwise("rejected")).drop("dispersion")
 
 
-def rank_correlations(wide: DataFrame, names: list[str], at_least: int = 10) -> DataFrame:
-    """(a, b, correlation) for all pairs of columns, ranked on the rows that both have."""
+def rank_correlations(wide: DataFrame, names: list[str], at_least: int = 10, most: int = 20_000) -> DataFrame:
+    """(a, b, correlation) for all pairs of columns, ranked on a sample of the rows that both have.
+
+    Every k-th row by date and code is taken, ``most`` at most, so a pair's ranking is one small task.
+    """
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("p")
-    long = wide.select(both).select("p.*").filter("x is not null and y is not null")
+    blocks = [stride(wide, pairs[i : i + 64], most) for i in range(0, len(pairs), 64)]  # a plan of bounded width
+    long = reduce(DataFrame.unionByName, blocks)
     ranked = long.withColumns({"rx": average_rank("x", "a", "b"), "ry": average_rank("y", "a", "b")})
     out = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.corr("rx", "ry").alias("correlation"))
     return out.filter(f"n >= {at_least} and sx > 0 and sy > 0").select("a", "b", "correlation")
@@ -115,3 +122,19 @@ def greedy_clusters(order: list[str], correlations: dict[tuple[str, str], float]
         else:
             kept.append(name)
     return kept, members
+
+
+def clusters(pairs: DataFrame, order: list[str], threshold: float) -> DataFrame:
+    """Greedy clusters (``representative``, ``member``, ``correlation``) of the names in ``order``.
+
+    Each step depends on those before it: one task over one row a pair that reaches the threshold.
+    """
+    import pandas as pd
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, members = greedy_clusters(order, {(a, b): c for a, b, c in rows[["a", "b", "correlation"]].itertuples(index=False) if a is not None}, threshold)
+        return pd.DataFrame([(k, k, 1.0) for k in kept] + members, columns=["representative", "member", "correlation"])
+
+    close = pairs.filter(F.abs("correlation") >= threshold).select("a", "b", "correlation")
+    always = pairs.sparkSession.range(1).select(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("correlation"))
+    return close.unionByName(always).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(group, "representative string, member string, correlation double")

@@ -57,6 +57,20 @@ def path_metrics(path: DataFrame, ret: str = "portfolio_return", *by: str) -> Da
     return m.drop("mean", "sd", "dsd")
 
 
+def watchlist(picks: DataFrame, limits: DataFrame, tradability: DataFrame) -> DataFrame:
+    """The picks of a day with special treatment, limits that the close touches, tradability and an equal weight.
+
+    Names that ``tradability`` calls untradable, blocked or suspended aren't tradable; its other
+    rows don't matter.
+    """
+    near = 1e-6
+    shut = tradability.filter(F.upper("tradability_proxy").isin("UNTRADABLE", "BLOCKED", "SUSPENDED")).select("trade_date", "ts_code", F.lit(False).alias("open"))
+    out = picks.join(limits, ["trade_date", "ts_code"]).join(shut, ["trade_date", "ts_code"], "left")
+    return out.select(
+        "trade_date", "ts_code", "rank", "factor_value", F.coalesce("historical_is_st", F.lit(0)).alias("is_st"), "limit_status", (F.col("raw_close") >= F.col("limit_up") - near).alias("hit_limit_up"),
+        (F.col("raw_close") <= F.col("limit_down") + near).alias("hit_limit_down"), F.coalesce("open", F.lit(True)).alias("tradable"), F.round(1 / F.count("*").over(Window.partitionBy("trade_date")), 8).alias("weight"))
+
+
 def cost_grid(path: DataFrame, bps: list[float], paid_bps: float = 20, *by: str) -> DataFrame:
     """The path at each of a few costs: ``cost`` is what it paid at ``paid_bps``. One row a day and cost."""
     out = path.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(b)) for b in bps])))

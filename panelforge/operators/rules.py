@@ -23,17 +23,6 @@ def validity(df: DataFrame, column: str, infinite: Column, least: int = 20) -> D
     return out.withColumn("failure_reason", why)
 
 
-def reward(status: Column, trades: Column, sortino: Column, least: int = 1) -> Column:
-    """Sortino, or -1 where there is too little to judge."""
-    return F.when(status.eqNullSafe("insufficient_data") | (trades < least) | sortino.isNull(), -1.0).otherwise(sortino)
-
-
-def grade(passed: Column, robust: Column, ic: Column, ret: Column, drawdown: Column) -> Column:
-    ic, drawdown = F.abs(F.coalesce(ic, F.lit(0.0))), F.abs(F.coalesce(drawdown, F.lit(0.0)))
-    good = passed & robust & (F.coalesce(ret, F.lit(0.0)) > 0)
-    return F.when(~F.coalesce(good, F.lit(False)), "Rejected").when((ic >= 0.03) & (drawdown <= 0.35), "A").when(ic >= 0.015, "B").otherwise("C")
-
-
 def rebalance_dates(calendar: DataFrame, every: int) -> DataFrame:
     """Every k-th trading day from the first, and the day after it."""
     w = Window.orderBy("trade_date")  # a calendar has a few thousand rows
@@ -54,7 +43,8 @@ def weekly_schedule(calendar: DataFrame) -> DataFrame:
     return runs.select("signal_date", F.lead("first", 1).over(r).alias("entry_date"), F.lead("first", 2).over(r).alias("exit_date")).filter("exit_date is not null")
 
 
-def due(planned: Column, done: Column, today: Column, bar_ready: Column, latest: Column) -> Column:
-    """State of a scheduled event: first rule that fits."""
+def due(planned: Column, done: Column, today: Column, available: Column) -> Column:
+    """Whether the event planned for a day is to happen today, given the last day with data; the first rule that fits."""
     return (
-        F.when(planned.isNull(), "no_date").when(done, "generated").when(today < planned, "not_due").when(~bar_ready, "bar_not_ready").when(latest < today, "missed").otherwise("due"))
+        F.when(planned.isNull(), "no_eligible_signal_date").when(done, "signal_already_generated").when(today < planned, "not_due_yet")
+        .when(available.isNull() | (available < planned), "daily_bar_not_ready").when(today > planned, "missed_signal_cycle").otherwise("signal_due"))

@@ -54,8 +54,27 @@ def keyword_groups(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+#: White space that is collapsed.
+SPACE = r"[ \t\n\r\f\x0B]+"
+
+
 def snippet(text: Column, most: int) -> Column:
-    """White space as single spaces, cut at a word's end."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    cut = F.regexp_replace(F.substring(flat, 1, most + 1), r"\s+\S*$", "")
-    return F.when(F.char_length(flat) <= most, flat).otherwise(F.substring(cut, 1, most))
+    """White space as single spaces; if longer than ``most`` characters, cut before the last space inside them (if any) and ``...``."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+    head = F.substring(flat, 1, most)
+    return F.when(F.char_length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(head, " [^ ]*$", ""), F.lit("...")))
+
+
+def listed(text: Column, wanted: list[str], separator: str = ";") -> Column:
+    """The entries of a separated list, trimmed, that are in ``wanted``."""
+    return F.array_intersect(F.transform(F.split(text, separator), F.trim), F.array(*map(F.lit, wanted)))
+
+
+def active_records(log: DataFrame, quarantine: DataFrame, key: str) -> DataFrame:
+    """The log without events that are quarantined."""
+    return log.join(quarantine.select(key), key, "left_anti")
+
+
+def remaining(tasks: DataFrame, progress: DataFrame, key: str) -> DataFrame:
+    """Tasks that no completed row of the progress table names: what a resumed run has to do."""
+    return tasks.join(progress.filter("status = 'completed'").select(key), key, "left_anti")

@@ -12,8 +12,8 @@ from panelforge.sources import bars as src
 SCREENED = {"low_vol": "NEG(RET_STD20)", "reversal": "NEG(RET5)", "momentum": "RET20", "busy": "ZSCORE20(VOL_RATIO20)"}
 
 
-def _bars(spark, sf_dir, grain="day"):
-    return src.bars(spark, sf_dir, grain)
+def _bars(spark, sf_dir):
+    return src.bars(spark, sf_dir)
 
 
 def _rounded(df, names, digits=8):
@@ -27,7 +27,7 @@ def bars_daily(spark, sf_dir):
 def _features(names):
     def query(spark, sf_dir):
         df = feat.compute(_bars(spark, sf_dir), names).select("trade_date", "ts_code", *names)
-        return df.withColumns({n: F.round(n, 4 if n.startswith("AMOUNT") else 8) for n in names})
+        return df.withColumns({n: F.round(n, 8) for n in names})
 
     return query
 
@@ -60,8 +60,8 @@ def _scored(spark, sf_dir):
 
 def rank_ic_by_date(spark, sf_dir):
     days = crosssec.by_date(_scored(spark, sf_dir)).select("formula", "trade_date", "ic", "dispersion", "spread")
-    # spreads are means of a few rounded values: moved off the rounding's ties
-    return _rounded(days.withColumn("spread", F.col("spread") + 3e-10), ["ic", "dispersion", "spread"], 6)
+    # spreads are means of at most five values of eight digits: ten digits hold them without a tie
+    return _rounded(_rounded(days, ["ic", "dispersion"], 6), ["spread"], 10)
 
 
 def fast_screen_summary(spark, sf_dir):
@@ -87,8 +87,8 @@ def percentile_composite(spark, sf_dir):
     return _rounded(df.select("trade_date", "ts_code", "score"), ["score"], 6)
 
 
-def topn_by_date(spark, sf_dir, grain="day"):
-    df = feat.compute(_bars(spark, sf_dir, grain), ["RET_STD20"])
+def topn_by_date(spark, sf_dir):
+    df = feat.compute(_bars(spark, sf_dir), ["RET_STD20"])
     df = df.withColumn("factor_value", F.round(compile_one(parse("NEG(RET_STD20)")), 8)).select("trade_date", "ts_code", "factor_value")
     return crosssec.top(df, "factor_value", 20)
 
@@ -101,9 +101,7 @@ def corr_pairs(spark, sf_dir):
 
 def corr_clusters(spark, sf_dir):
     names = ["RET5", "RET20", "RET_STD20", "TREND20"]
-    pairs = {(r["a"], r["b"]): r["correlation"] for r in corr_pairs(spark, sf_dir).collect()}  # one row a pair of formulas
-    kept, members = crosssec.greedy_clusters(names, pairs, 0.7)
-    return spark.createDataFrame([(k, k, 1.0) for k in kept] + members, "representative string, member string, correlation double")
+    return crosssec.clusters(corr_pairs(spark, sf_dir), names, 0.7)
 
 
 def weekly_schedule(spark, sf_dir):
@@ -148,7 +146,7 @@ def limit_left_join(spark, sf_dir):
 def _market(spark, sf_dir):
     b = _bars(spark, sf_dir)
     m = b.join(src.limits(b), ["trade_date", "ts_code"])
-    block = lambda side: rules.trade_block(F.lit(side), F.col("raw_open"), F.col("limit_up"), F.col("limit_down"), F.col("limit_status"), F.lit(False))
+    block = lambda side: rules.trade_block(F.lit(side), F.col("raw_open"), F.col("limit_up"), F.col("limit_down"), F.col("limit_status"), F.lit(False))  # noqa: E731  a bar excludes a tradability row
     return m.withColumns({"buy_block": block("buy"), "sell_block": block("sell")})
 
 
@@ -156,24 +154,23 @@ def tradability_case(spark, sf_dir):
     return _market(spark, sf_dir).select("trade_date", "ts_code", "buy_block", "sell_block")
 
 
-def backtest_accounts(spark, sf_dir):
+def backtest_accounts(spark, sf_dir, formulas=None, bps=20.0):
     b = _bars(spark, sf_dir)
     dates = rules.rebalance_dates(src.calendar(b), 5)
-    df = columns(feat.compute(b, feat.NAMES), {k: parse(t) for k, t in SCREENED.items()})
-    long = crosssec.long_form(df.withColumn("forward_return", F.lit(None).cast("double")), list(SCREENED)).join(F.broadcast(dates.select("trade_date")), "trade_date", "left_semi")
-    w = Window.partitionBy("formula", "trade_date").orderBy(F.desc("factor_value"), "ts_code")
-    targets = long.filter("factor_value is not null").withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("formula", "trade_date", "ts_code", "rank")
-    return backtest.run(targets, _market(spark, sf_dir), src.calendar(b), dates)
+    df = columns(feat.compute(b, feat.NAMES), {k: parse(t) for k, t in (formulas or SCREENED).items()})
+    long = crosssec.long_form(df.withColumn("forward_return", F.lit(None).cast("double")), list(formulas or SCREENED))
+    targets = backtest.targets(long, dates, joins.members_on(b.select("trade_date"), src.snapshots(b)), src.lifecycle(b))
+    return backtest.run(targets, _market(spark, sf_dir), src.calendar(b), dates, bps=bps)
 
 
 def backtest_metrics(spark, sf_dir):
-    out = backtest_accounts(spark, sf_dir).persist()
+    out = backtest_accounts(spark, sf_dir)
     return stats.account_metrics(out.filter("kind = 'account'"), out.filter("kind = 'trade'"))
 
 
 def _daily_return(spark, sf_dir):
     df = feat.compute(_bars(spark, sf_dir), ["RET1"])
-    return df.groupBy("trade_date").agg(F.greatest(F.lit(-0.02), F.least(F.lit(0.02), F.round(F.avg("RET1") / 1000, 8))).alias("r")).withColumn("index_name", F.lit("all"))
+    return df.groupBy("trade_date").agg(F.round(F.avg("RET1"), 8).alias("r")).withColumn("index_name", F.lit("all"))
 
 
 def monthly_returns(spark, sf_dir):
@@ -247,7 +244,7 @@ def registry_upsert(spark, sf_dir):
 
 def event_dedup(spark, sf_dir):
     e = src.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return tables.insert_missing(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0"), ["event_id"])
+    return tables.insert_missing(e.filter("event_id % 2 = 0"), e, ["event_id"])
 
 
 def diff_tables(spark, sf_dir):
@@ -283,11 +280,12 @@ def event_windows(spark, sf_dir):
 
 def observation_watchlist(spark, sf_dir):
     b = _bars(spark, sf_dir)
-    low = topn_by_date(spark, sf_dir)
-    now = low.join(b.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi")
-    st = joins.state_on(now, src.st_periods(spark, sf_dir), "historical_is_st")
-    m = _market(spark, sf_dir).select("trade_date", "ts_code", "limit_status", F.col("buy_block").isNull().alias("tradable"))
-    return st.join(m, ["trade_date", "ts_code"]).select("trade_date", "ts_code", "rank", "factor_value", F.coalesce("historical_is_st", F.lit(0)).alias("is_st"), "limit_status", "tradable")
+    members = joins.members_on(b.select("trade_date"), src.snapshots(b))
+    low = feat.compute(b, ["RET_STD20"]).withColumn("factor_value", F.round(compile_one(parse("NEG(RET_STD20)")), 8)).filter("factor_value is not null")
+    low = joins.keep_members(low.select("trade_date", "ts_code", "raw_close", "factor_value"), members, ["trade_date", "ts_code"])
+    now = low.join(F.broadcast(low.agg(F.max("trade_date").alias("trade_date"))), "trade_date", "left_semi")
+    picks = joins.state_on(crosssec.top(now, "factor_value", 20), src.st_periods(spark, sf_dir), "historical_is_st")
+    return regime.watchlist(picks, src.limits(b), src.unavailable(b))
 
 
 def regime_path(spark, sf_dir):
@@ -296,30 +294,24 @@ def regime_path(spark, sf_dir):
     low = feat.compute(b, ["RET_STD20"]).withColumn("factor_value", F.round(compile_one(parse("NEG(RET_STD20)")), 8))
     picks = crosssec.top(joins.keep_members(low.select("trade_date", "ts_code", "factor_value"), members, ["trade_date", "ts_code"]), "factor_value", 20)
     returns = joins.keep_members(b.select("trade_date", "ts_code", F.round(F.col("close") / F.col("pre_close") - 1, 8).alias("ret")), members, ["trade_date", "ts_code"])
-    out = regime.gated_path(regime_signal(spark, sf_dir), picks, returns)
-    # means of twenty rounded returns: moved off the rounding's ties
-    return out.withColumn("portfolio_return", F.round(F.col("portfolio_return") + 3e-10, 6))
-
-
-def _calm_path(spark, sf_dir):
-    """Returns scaled: the made-up prices move too much to be compounded over years."""
-    return regime_path(spark, sf_dir).withColumns({"portfolio_return": F.col("portfolio_return") / 100, "cost": F.col("cost") / 100})
+    # twentieths of sums of eight digits: ten digits hold them without a tie
+    return _rounded(regime.gated_path(regime_signal(spark, sf_dir), picks, returns), ["portfolio_return"], 10)
 
 
 def regime_metrics(spark, sf_dir):
-    out = regime.path_metrics(_calm_path(spark, sf_dir))
+    out = regime.path_metrics(regime_path(spark, sf_dir))
     return _rounded(out, [c for c, t in out.dtypes if t == "double"], 5)
 
 
 def cost_grid(spark, sf_dir):
-    path = regime.cost_grid(_calm_path(spark, sf_dir), [0, 10, 20, 50])
+    path = regime.cost_grid(regime_path(spark, sf_dir), [0, 10, 20, 50])
     out = regime.path_metrics(path, "portfolio_return", "cost_bps").select("cost_bps", "days", "total_return", "max_drawdown", "sharpe")
     return _rounded(out, ["total_return", "max_drawdown", "sharpe"], 5)
 
 
 def split_metrics(spark, sf_dir):
     split = F.when(F.col("trade_date") < "19980101", "train").when(F.col("trade_date") < "20000101", "validation").otherwise("test")
-    out = regime.path_metrics(_calm_path(spark, sf_dir).withColumn("split", split), "portfolio_return", "split").select("split", "days", "total_return", "max_drawdown", "sharpe", "switch_count")
+    out = regime.path_metrics(regime_path(spark, sf_dir).withColumn("split", split), "portfolio_return", "split").select("split", "days", "total_return", "max_drawdown", "sharpe", "switch_count")
     return _rounded(out, ["total_return", "max_drawdown", "sharpe"], 5)
 
 

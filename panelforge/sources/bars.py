@@ -1,7 +1,9 @@
 """A daily bar panel and its companion tables, from the star-schema tables.
 
-``supplier`` stands for the instrument and ship dates for trading days. Amounts are summed in whole
-cents, so the panel doesn't depend on the order of summation.
+``supplier`` stands for the instrument and ship dates for trading days. Prices are a bounded walk:
+each bar's return, within 2 % a day, follows from the cents traded that day, and returns add up as
+whole basis points of the logarithm. Opens lie within the 10 % band, now and then at its edges. All
+prices are whole hundredths of a cent, so the panel doesn't depend on the order of summation.
 """
 
 from __future__ import annotations
@@ -14,22 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
-    """One row per (trade_date, ts_code): two-phase aggregate on the key, no other shuffle."""
+def bars(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row per (trade_date, ts_code): two-phase aggregate on the key, then one shuffle by code for the walk.
+
+    ``start`` and ``end`` (yyyyMMdd, closed) limit the lines that are read, and so where the walk starts.
+    """
     line = table(spark, sf_dir, "lineitem").filter("l_quantity > 0")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    first = F.struct("l_orderkey", "l_linenumber", price.alias("p"))
-    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
-    out = line.groupBy(
-        F.date_format(F.date_trunc(grain, "l_shipdate"), "yyyyMMdd").alias("trade_date"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ts_code"),
-    ).agg(F.min_by(price, first).alias("raw_open"), F.max(price).alias("raw_high"), F.min(price).alias("raw_low"), F.sum("l_quantity").alias("volume"), (cents / F.lit(100.0)).alias("amount"))
-    out = out.withColumn("raw_close", F.col("amount") / F.col("volume"))
-    raw = ("raw_open", "raw_high", "raw_low", "raw_close")
-    return out.select(*KEY, *[F.col(c).alias(c[4:]) for c in raw], *raw, "volume", "amount").withColumn("pre_close", F.lag("raw_close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
+    for bound, op in ((start, ">="), (end, "<")):
+        if bound:
+            day = F.to_date(F.lit(bound), "yyyyMMdd").cast("timestamp_ntz")
+            line = line.filter(F.col("l_shipdate") >= day if op == ">=" else F.col("l_shipdate") < day + F.expr("interval 1 day"))
+    out = line.groupBy(F.date_trunc("day", "l_shipdate").alias("day"), "l_suppkey").agg(
+        F.sum("l_quantity").alias("volume"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    w = Window.partitionBy("l_suppkey").orderBy("day")
+    log = F.sum(F.col("cents") % 401 - 200).over(w)
+    out = out.withColumn("c", F.floor(100000 * F.exp(log / 10000.0))).withColumn("pre", F.lag("c").over(w))
+    step = F.when(F.col("cents") % 97 == 0, 1000).when(F.col("cents") % 97 == 1, -1000).otherwise(F.floor(F.col("cents") / 97) % 301 - 150)
+    out = out.withColumn("o", F.coalesce(F.floor((F.col("pre") * (10000 + step) + 5000) / 10000), F.col("c")))
+    price = {"open": F.col("o"), "high": F.greatest("o", "c"), "low": F.least("o", "c"), "close": F.col("c")}
+    cols = [(v / 10000.0).alias(prefix + k) for prefix in ("", "raw_") for k, v in price.items()]
+    return out.select(
+        F.date_format("day", "yyyyMMdd").alias("trade_date"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ts_code"), *cols,
+        "volume", (F.col("c") * F.col("volume") / 10000.0).alias("amount"), (F.col("pre") / 10000.0).alias("pre_close"))
 
 
 def scan_bars(bars: DataFrame, start: str, end: str, symbols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Closed range of dates, optionally some instruments and columns; both reach the scan."""
+    """Closed range of dates, optionally some instruments and columns.
+
+    On a panel stored as files both reach the scan; :func:`bars` takes dates itself.
+    """
     out = bars.filter(F.col("trade_date").between(start, end))
     out = out.filter(F.col("ts_code").isin(symbols)) if symbols else out
     return out.select(*KEY, *[c for c in columns if c not in KEY]) if columns else out
@@ -51,13 +66,23 @@ def lifecycle(bars: DataFrame) -> DataFrame:
 
 
 def limits(bars: DataFrame) -> DataFrame:
+    """Ten per cent around the close before, in whole hundredths of a cent."""
     status = F.when(F.col("pre_close").isNull(), "missing_input").when(F.pmod(F.col("ts_code").cast("int"), F.lit(11)) == 0, "special_case_unknown").otherwise("verified_rule")
-    return bars.select(*KEY, (F.floor(F.col("pre_close") * 110) / 100.0).alias("limit_up"), (F.ceil(F.col("pre_close") * 90) / 100.0).alias("limit_down"), status.alias("limit_status"))
+    pre = F.round(F.col("pre_close") * 10000).cast("long")
+    return bars.select(*KEY, (F.floor((pre * 110 + 50) / 100) / 10000.0).alias("limit_up"), (F.floor((pre * 90 + 50) / 100) / 10000.0).alias("limit_down"), status.alias("limit_status"))
+
+
+def unavailable(bars: DataFrame) -> DataFrame:
+    """Tradability rows: codes without a bar on an open day on which they are listed, between their first and last bar, of every fifth code."""
+    life = bars.filter(F.pmod(F.col("ts_code").cast("int"), F.lit(5)) == 0).groupBy("ts_code").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+    open_days = calendar(bars).join(F.broadcast(life), F.col("trade_date").between(F.col("a"), F.col("b")))  # one row an instrument
+    return open_days.select(*KEY).join(bars.select(*KEY), KEY, "left_anti").withColumn("tradability_proxy", F.lit("unavailable"))
 
 
 def st_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed intervals of special treatment: suppliers with a negative balance."""
-    s = table(spark, sf_dir, "supplier")
-    return s.filter("s_acctbal < 0").select(
-        F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ts_code"), F.concat((1992 + F.pmod("s_suppkey", F.lit(5))).cast("string"), F.lit("0101")).alias("start_date"),
-        F.concat((1994 + F.pmod("s_suppkey", F.lit(5))).cast("string"), F.lit("1231")).alias("end_date"), F.lit(1).alias("historical_is_st"))
+    s = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").withColumn("y", F.pmod("s_suppkey", F.lit(5)))
+    code, year = F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ts_code"), lambda y, day: F.concat((y + F.col("y")).cast("string"), F.lit(day))
+    first = s.select(code, year(1992, "0101").alias("start_date"), year(1994, "1231").alias("end_date"), F.lit(1).alias("historical_is_st"))
+    # a later period inside the first ends the treatment for a while: of several the one that starts last holds
+    return first.unionByName(s.filter("s_suppkey % 2 = 0").select(code, year(1993, "0401").alias("start_date"), year(1993, "0930").alias("end_date"), F.lit(0).alias("historical_is_st")))
