@@ -18,7 +18,7 @@ def account_metrics(accounts: DataFrame, trades: DataFrame, by: str = "formula",
         F.count("*").alias("rows"), (F.max_by("total_equity", at) / F.min_by("total_equity", at) - 1).alias("total_return"), F.count("net_return").alias("n"),
         F.stddev_pop("net_return").alias("sd"), F.stddev_pop(F.when(F.col("net_return") < 0, F.col("net_return"))).alias("dsd"), F.min("dd").alias("max_drawdown"),
         F.sum("turnover").alias("turnover"), (F.product(1 + F.col("gross_return")) - 1).alias("gross_return"), (F.product(1 + F.col("net_return")) - 1).alias("net_return"),
-        F.max_by("cumulative_cost", at).alias("cumulative_cost"), F.try_divide(F.max_by("cash", at), F.max_by("total_equity", at)).alias("cash_ratio"))
+        F.max_by("cumulative_cost", at).alias("cumulative_cost"), F.avg(F.try_divide(F.col("cash"), F.col("total_equity"))).alias("cash_ratio"))
     year = F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), F.lit(float(periods)) / F.greatest(F.col("n"), F.lit(1))) - 1)
     m = m.withColumns({"annualized_return": year, "annualized_volatility": F.col("sd") * periods**0.5})
     m = m.withColumns({

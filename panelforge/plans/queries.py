@@ -259,19 +259,6 @@ def text_keywords(spark, sf_dir):
     return p.select("p_partkey", F.array_join(tables.keyword_groups(F.col("p_type"), groups), ",").alias("groups"), tables.stable_id("part", F.col("p_name"), F.col("p_brand")).alias("stable_id"))
 
 
-def json_flatten(spark, sf_dir):
-    e = src.table(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-def forward_tick(spark, sf_dir):
-    from panelforge.streaming.forward import tick
-
-    e = src.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.sha2("props", 256).alias("payload"))
-    old = e.filter("cast(event_id as long) % 2 = 0")
-    return tick(old, e, "99991231")
-
-
 def event_windows(spark, sf_dir):
     from panelforge.streaming.forward import event_counts
 

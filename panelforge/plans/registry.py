@@ -1,12 +1,13 @@
 """All queries of the engine by name, and the SQL that gives the same rows."""
 
 from . import queries as q
-from .sql import ORACLES  # noqa: F401
+from . import research, research_sql
+from .sql import ORACLES as _ENGINE
 
 _NAMED = (
     "bars_daily feat_robust_z formula_validity rank_ic_by_date fast_screen_summary turnover_jaccard monotonicity_qcut forward_return percentile_composite topn_by_date corr_pairs corr_clusters "
     "weekly_schedule rebalance_dates asof_members interval_st lifecycle_filter semi_members anti_members limit_left_join tradability_case backtest_accounts backtest_metrics monthly_returns drawdown "
-    "regime_signal dist_summary entry_exit_pairing trade_stats keep_best_agg status_counts pivot_compare overlap_sets registry_upsert event_dedup diff_tables text_keywords json_flatten forward_tick event_windows observation_watchlist "
+    "regime_signal dist_summary entry_exit_pairing trade_stats keep_best_agg status_counts pivot_compare overlap_sets registry_upsert event_dedup diff_tables text_keywords event_windows observation_watchlist "
     "regime_path regime_metrics cost_grid split_metrics window_stats histogram_tokens"
 ).split()
 QUERIES = {n: getattr(q, n) for n in _NAMED} | {
@@ -20,3 +21,5 @@ QUERIES = {n: getattr(q, n) for n in _NAMED} | {
     "formula_zscore20": q._formula("ZSCORE20(RET1)"),
     "formula_nested": q._formula("ZSCORE20(DELTA5(RET5))"),
 }
+QUERIES |= research.QUERIES
+ORACLES = _ENGINE | research_sql.ORACLES

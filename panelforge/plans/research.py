@@ -262,7 +262,7 @@ def source_match(spark, sf_dir):
 def curation_counts(spark, sf_dir):
     full = lambda *c: sum((F.trim(F.coalesce(F.col(x), F.lit(""))) != "").cast("int") for x in c) == len(c)
     p = src.table(spark, sf_dir, "part")
-    return p.groupBy("p_mfgr").agg(F.count("*").alias("n"), F.count_if(full("p_name", "p_brand", "p_type")).alias("complete"), F.count_if(full("p_name", "p_brand", "p_type") & F.col("p_size").isin(1, 2, 3, 5, 8, 13)).alias("accepted"))
+    return p.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(full("p_name", "p_brand", "p_type")).alias("complete"), F.count_if(full("p_name", "p_brand", "p_type") & F.col("p_size").isin(1, 2, 3, 5, 8, 13)).alias("accepted"))
 
 
 def preferred_sources(spark, sf_dir):

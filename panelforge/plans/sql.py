@@ -154,8 +154,6 @@ ORACLES = {
     "event_dedup": "SELECT event_id, user_id, event_type FROM events",
     "diff_tables": "WITH j AS (SELECT a.c_custkey % 50 = 0 AS gone, a.c_custkey % 10 = 0 AS moved FROM customer a) SELECT 'c_acctbal' AS column_name, count(*) FILTER (gone OR moved) AS mismatches FROM j UNION ALL SELECT 'c_nationkey', count(*) FILTER (gone) FROM j",
     "text_keywords": "SELECT p_partkey, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(p_type), '{w}')" for w in ws) + f" THEN '{g}' END" for g, ws in {"size": ["small", "large", "medium"], "metal": ["steel", "brass", "tin"], "plain": ["standard", "economy"]}.items()) + "], lambda x: x IS NOT NULL), ',') AS groups, 'part_' || substr(sha256(p_name || chr(10) || p_brand), 1, 16) AS stable_id FROM part",
-    "json_flatten": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "forward_tick": "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y%m%d') AS trade_date, sha256(props) AS payload FROM events",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y%m%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "observation_watchlist": f"""WITH {FEATURES}, {MEMBERS}, {MARKET}, {ST}, a AS (SELECT trade_date, ts_code, raw_close, round(-RET_STD20, 8) AS factor_value FROM feat SEMI JOIN mem USING (trade_date, ts_code) WHERE trade_date = (SELECT max(trade_date) FROM bars WHERE trade_date IN (SELECT trade_date FROM feat SEMI JOIN mem USING (trade_date, ts_code) WHERE RET_STD20 IS NOT NULL))),
 t AS (SELECT *, CAST(row_number() OVER (ORDER BY factor_value DESC, ts_code) AS INT) AS rank FROM a WHERE factor_value IS NOT NULL QUALIFY row_number() OVER (ORDER BY factor_value DESC, ts_code) <= 20)
