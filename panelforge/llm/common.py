@@ -30,6 +30,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width).alias("n")).first()["n"] or 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(df: DataFrame, piece_bytes: int) -> int:
     """How many pieces of about ``piece_bytes`` the input makes; grows with the input."""
     return max(1, -(-estimated_bytes(df) // piece_bytes))
@@ -39,10 +47,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelforge-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one, which only a local master may have."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="panelforge-")
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array as a compressed blob: bytes of equal significance together, then zstd."""
     a = np.ascontiguousarray(a)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, unused
 
 #: What separates words: ASCII but digits and letters. Other characters belong to words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A side of a join is broadcast up to so many rows of at most about 100 bytes; beyond, it is shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast up to so many bytes of text and numbers; beyond, it is shuffled.
+BROADCAST_BYTES = 24 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -38,7 +38,17 @@ def tokens(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, marked for broadcast if all its rows together are small; words have no bound, so their bytes count."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind.startswith("array"):
+            size = F.aggregate(c, F.lit(0).cast("long"), lambda n, w: n + F.coalesce(F.octet_length(w.cast("string")), F.lit(0)) + 16)
+        else:
+            size = F.octet_length(c) if kind in ("string", "binary") else F.lit(0)
+        width = width + F.coalesce(size, F.lit(0)) + 16
+    total = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def phrases(items: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +135,8 @@ def contamination(
     A phrase is ``length`` consecutive words of an item, or all words of a shorter one. A document
     word is hit if an occurrence of a phrase covers it. Contaminated: at least one word in
     ``share`` is hit. Null texts have no words; items without words match nothing; rows that are
-    equal in id and text have equal results. Other columns are ignored.
+    equal in id and text have equal results; no documents give no rows, no items no hits. Texts are
+    read whole, however long. Other columns are ignored.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     own = own.withColumns(dict(zip(("k1", "k2"), _keys(F.col("id"), F.col("text")), strict=True)))
@@ -152,9 +163,10 @@ def decontaminated(
 ) -> DataFrame:
     """``docs`` without the contaminated rows (see :func:`contamination`), all columns kept."""
     judged = contamination(docs, items, id_col, text_col, item_col, item_text, length, share, keys=True)
-    bad = checkpointed(judged.filter("contaminated").select(F.col("k1").alias("panelforge_k1"), F.col("k2").alias("panelforge_k2")).distinct())
-    keyed = docs.withColumns(dict(zip(("panelforge_k1", "panelforge_k2"), _keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), strict=True)))
-    return keyed.join(_small(bad), ["panelforge_k1", "panelforge_k2"], "left_anti").drop("panelforge_k1", "panelforge_k2")
+    one, two = unused(docs, "panelforge_k1"), unused(docs, "panelforge_k2")
+    bad = checkpointed(judged.filter("contaminated").select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct())
+    keyed = docs.withColumns(dict(zip((one, two), _keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), strict=True)))
+    return keyed.join(_small(bad), [one, two], "left_anti").drop(one, two)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

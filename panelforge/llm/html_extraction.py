@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -51,10 +51,16 @@ ADJACENT, SAME_CONTAINER = 0.5, 0.5
 
 
 class Block:
-    __slots__ = ("text", "container", "marks", "link_words", "tag")
+    """What is judged by itself: a block's text, or the part of it inside a marked span or button.
 
-    def __init__(self, text: str, container: int, marks: int, link_words: int, tag: str):
-        self.text, self.container, self.marks, self.link_words, self.tag = text, container, marks, link_words, tag
+    ``raw`` keeps white space at its ends; parts with one ``line`` make one block of the page.
+    """
+
+    __slots__ = ("raw", "text", "container", "marks", "link_words", "tag", "line")
+
+    def __init__(self, raw: str, container: int, marks: int, link_words: int, tag: str, line: int):
+        self.raw, self.text = raw, " ".join(raw.split())
+        self.container, self.marks, self.link_words, self.tag, self.line = container, marks, link_words, tag, line
 
 
 _BOILER_TAG, _BOILER_WORD, _COMMENT, _CONTENT = 1, 2, 4, 8
@@ -75,26 +81,37 @@ def _marks(tag: str, attributes: str) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in page order: references decoded, white space as one space, empty ones left out."""
+    """The page's blocks in page order: references decoded, empty ones left out.
+
+    A comment or a raw-text element without an end is only its own tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, number, marks so far
     inline: list[tuple[str, int]] = []  # marked elements inside a block
     parts: list[str] = []
-    linked, in_link, number, at = 0, 0, 0, 0
+    linked, in_link, number, at, line = 0, 0, 0, 0, 0
     tag = ""
 
-    def close() -> None:
+    def part() -> None:
+        """End what is judged by itself; the block goes on."""
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
+            raw = html.unescape("".join(parts))
+            if raw.strip():
                 top = stack[-1]
                 # what holds a paragraph counts as its container, not the paragraph
                 container = stack[-2][1] if len(stack) > 1 and top[0] in _TEXT_TAGS and top[0] != "article" else top[1]
-                out.append(Block(text, container, top[2] | (inline[-1][1] if inline else 0), linked, top[0]))
+                out.append(Block(raw, container, top[2] | (inline[-1][1] if inline else 0), linked, top[0], line))
+            elif out and out[-1].line == line:
+                out[-1].raw += " "
             parts.clear()
         linked = 0
 
+    def close() -> None:
+        nonlocal line
+        part()
+        line += 1
+
     endless: set[str] = set()  # raw-text elements without an end tag from here on
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -103,6 +120,13 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece.split())
         at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at - 2) if "!" not in endless else -1  # <!--> is empty
+            if end >= 0:
+                at = max(at, end + 3)
+            else:
+                endless.add("!")
+            continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -134,14 +158,20 @@ def blocks(page: str) -> list[Block]:
                 stack.append((tag, number, stack[-1][2] | _marks(tag, m[3] or m[6] or "")))
                 in_link = 0
         elif tag in BOILER_TAGS or tag == "span":
-            # buttons and marked spans belong to a block but not to its text's kind
+            # buttons and spans marked as boilerplate belong to a block but not to its text's kind
             if ending:
                 if inline and inline[-1][0] == tag:
-                    close()
+                    part()
                     inline.pop()
-            elif marks := _marks(tag, m[3] or m[6] or ""):
-                close()
-                inline.append((tag, marks))
+            elif tag == "span":
+                marks = _marks(tag, m[3] or m[6] or "") & ~_CONTENT
+                if marks:
+                    part()
+                if marks or inline:  # others only count inside one, for their ends
+                    inline.append((tag, marks | (inline[-1][1] if inline else 0)))
+            else:
+                part()
+                inline.append((tag, _marks(tag, m[3] or m[6] or "") | (inline[-1][1] if inline else 0)))
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -302,11 +332,19 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
             edges[j, i] = edges.get((j, i), 0.0) + SAME_CONTAINER
         last[b.container] = i
     keep = label(gain, edges)
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    lines: dict[int, list[str]] = {}
+    for b, k in zip(found, keep, strict=True):
+        if k:
+            lines.setdefault(b.line, []).append(b.raw)
+    return "\n".join(" ".join("".join(raw).split()) for raw in lines.values())
 
 
 def extract(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id``, ``url`` and ``text`` of every row; null and empty pages have an empty text."""
+    """``id``, ``url`` and ``text`` of every row; null and empty pages have an empty text.
+
+    Pages of any length are read whole, repeated rows have equal texts, an empty table gives an
+    empty result. Other columns are ignored.
+    """
 
     def run(batches):
         for b in batches:

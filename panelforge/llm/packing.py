@@ -269,7 +269,8 @@ def packed(
 
     A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone. Longer ones
     than ``capacity`` are cut. Offsets of a sequence are gapless from 0. Rows with a null or a
-    repeated id are packed like others.
+    repeated id are packed like others; an empty table gives an empty result; texts of any length
+    are tokenised whole. Other columns are ignored.
     """
     made = checkpointed(pieces_of(docs, id_col, text_col, tokenizer, capacity, end_id))
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows

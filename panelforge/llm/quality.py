@@ -87,7 +87,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", lea
 def score_quality(docs: DataFrame, model: boosting.Trees, text_col: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) as a further column; a column of that name is replaced.
 
-    Null and empty texts are scored by their (zero) statistics like others.
+    Null and empty texts are scored by their (zero) statistics like others, texts of any length
+    whole; repeated rows have equal scores; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() != column.lower()]
     at = kept.index(text_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 SEED = 42
 #: How many neighbours in a bucket each fingerprint is compared with: at first, and where components meet.
@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when their fingerprints differ in at most four of 64 bits; the component is the
     smallest id reachable. Null and empty texts have fingerprint zero and link like any other.
     Rows with a null id link others but name no component while another id can; a component of
-    null ids only is null.
+    null ids only is null. Repeated rows are as many rows; an empty table gives an empty result;
+    texts of any length are read whole; other columns are ignored.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     groups, found = _groups(marked, near)
@@ -174,11 +175,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle, with_hash=True))
     _, found = _groups(marked, near)
     rooted = marked.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("panelforge_id"), F.col("hash").alias("panelforge_hash"))
+    one, two = unused(docs, "panelforge_id"), unused(docs, "panelforge_hash")
+    place = F.struct(F.coalesce("id", F.lit(_LAST)).alias(one), F.col("hash").alias(two))
     stay = rooted.groupBy("root").agg(F.min(place).alias("s")).select("s.*")
-    keyed = docs.withColumns({"panelforge_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), "panelforge_hash": F.xxhash64(F.col(f"`{text_col}`"), F.lit(1))})
-    kept = keyed.join(stay, ["panelforge_id", "panelforge_hash"], "left_semi")
-    return kept.dropDuplicates(["panelforge_id", "panelforge_hash"]).drop("panelforge_id", "panelforge_hash")
+    keyed = docs.withColumns({one: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), two: F.xxhash64(F.col(f"`{text_col}`"), F.lit(1))})
+    return keyed.join(stay, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

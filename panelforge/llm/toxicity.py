@@ -151,7 +151,11 @@ def fit_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``score`` (0 to 1) of every row; null and empty texts get the score of no features."""
+    """``id`` and ``score`` (0 to 1) of every row; null and empty texts get the score of no features.
+
+    Texts of any length are read whole, repeated rows have equal scores, an empty table gives an
+    empty result. Other columns are ignored.
+    """
 
     def run(batches):
         score = model.scorer()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -15,36 +16,12 @@ from .common import table
 
 #: The contract's rules, as (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Words from which labelled URLs are made (blocked hosts are put together from the first two rows).
-_BAD_FIRST = ("cheap", "free", "casino", "spam", "ads", "best", "win", "hot", "click", "fast", "bonus", "lucky", "pharma", "adult", "loan", "crypto", "xxx", "poker", "track", "deal")
-_BAD_SECOND = ("pills", "bets", "win", "farm", "track", "deals", "offers", "meds", "slots", "cash", "prize", "online", "promo", "click", "bonus", "dating", "loans", "coins", "cams", "ads")
-_GOOD = ("river", "library", "garden", "history", "city", "museum", "science", "school", "music", "travel", "cooking", "nature", "weather", "council", "archive", "journal", "forum", "health", "books", "photo", "village", "theatre", "maps", "research", "language", "report", "county", "animal", "ocean", "market")
-_SUFFIXES_GOOD = ("org", "edu", "net", "com", "de", "fr", "es", "gov", "co.uk", "info", "example.org", "example.net", "example.com")
-_SUFFIXES_BAD = ("net", "com", "info", "biz", "xyz", "top", "click", "org", "example.org", "example.net", "example.com")
-NAMES = ("length", "host_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "longest_label", "vowels", "is_address", "escapes", "suffix", "pieces")
+#: Labelled URLs that the trees are fitted on, at most.
+MAX_ROWS = 20_000
+NAMES = ("length", "host_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "longest_label", "is_address", "escapes", "suffix")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
 
 
-def labelled_urls(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
-    """Made-up labelled URLs (1: block) for a model where no own labels are at hand."""
-    pick = np.random.default_rng(seed)
-    word = lambda *w: str(pick.choice(w))
-    syllables = ("th", "er", "on", "an", "re", "en", "at", "ti", "es", "or", "nd", "al", "is", "ou", "ing", "ble", "ion", "ed")
-    out = []
-    for i in range(n):
-        bad = i % 3 == 0
-        made = "".join(word(*syllables) for _ in range(pick.integers(2, 5)))
-        if bad:
-            name = word(*_BAD_FIRST) + word("-", "-", "-", "") + word(*_BAD_SECOND) + word("", "", "", str(pick.integers(1, 999)), "-" + word(*_BAD_SECOND))
-        else:
-            name = word(made, made, word(*_GOOD), word(*_GOOD) + word("-", "") + word(*_GOOD), made + "-" + word(*_GOOD))
-        host = word("", "", "www.", "blog.", "m.", "news.") + name + "." + word(*(_SUFFIXES_BAD if bad else _SUFFIXES_GOOD))
-        path = "/" + word("en", "de", "fr", "es", "articles", "p", "go") + "/" + str(pick.integers(1, 1000)) + word("", "/", ".html", "/" + word(*_GOOD))
-        tail = word("", "", "?page=2&ref=x", "?utm_source=feed", "#top", f"?id={pick.integers(1, 10**9)}&aff={pick.integers(1, 10**6)}&c=1" if bad else "")
-        out.append((word("http", "https") + "://" + host + path + tail, int(bad)))
-    return out
-
-
 def _parts(url: str | None) -> tuple[str, str, str]:
     m = _URL.search(url or "")
     return (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
@@ -59,34 +36,25 @@ def _suffix(host: str) -> str:
     return host.rpartition(".")[2]
 
 
-def _pieces(host: str) -> set[str]:
-    """Four letters each of the host's name, without its suffix."""
-    name = "." + host.rpartition(".")[0] + "."
-    return {name[i : i + 4] for i in range(len(name) - 3)}
-
-
 @dataclass
 class UrlModel:
-    """Statistics of suffixes and host pieces in labelled URLs, and the trees."""
+    """How suffixes are labelled, and the trees."""
 
     suffixes: dict[str, float]
-    pieces: dict[str, float]
     trees: boosting.Trees
 
     def features(self, urls: list[str | None]) -> np.ndarray:
-        return np.array([_features(u, self.suffixes, self.pieces) for u in urls], np.float64).reshape(-1, len(NAMES))
+        return np.array([_features(u, self.suffixes) for u in urls], np.float64).reshape(-1, len(NAMES))
 
 
-def _features(url: str | None, suffixes: dict[str, float], pieces: dict[str, float]) -> list[float]:
+def _features(url: str | None, suffixes: dict[str, float]) -> list[float]:
     url = url or ""
     host, path, query = _parts(url)
     labels = host.split(".")
-    letters = sum(map(str.isalpha, host))
     return [
         len(url), len(host), len([x for x in path.split("/") if x]), len(labels), sum(map(str.isdigit, url)) / max(1, len(url)),
         sum(map(str.isdigit, host)) / max(1, len(host)), host.count("-"), _entropy(url), _entropy(host), query.count("&") + 1 if query else 0,
-        max(map(len, labels)), sum(host.count(v) for v in "aeiou") / max(1, letters), float(bool(re.fullmatch(r"[\d.:\[\]]+", host))), url.count("%"),
-        suffixes.get(_suffix(host), 0.0), sum(pieces.get(p, 0.0) for p in sorted(_pieces(host))) / max(1, len(host) - 3),
+        max(map(len, labels)), float(bool(re.fullmatch(r"[\d.:\[\]]+", host))), url.count("%"), suffixes.get(_suffix(host), 0.0),
     ]
 
 
@@ -95,21 +63,33 @@ def _log_odds(bad: Counter, good: Counter, n_bad: int, n_good: int, smooth: floa
 
 
 def fit_urls(labelled: list[tuple[str, int]]) -> UrlModel:
-    """Statistics are taken from one half of the URLs, the trees are fitted on the other half."""
-    half = [labelled[0::2], labelled[1::2]]
+    """Suffix statistics are taken from one half of the URLs (1: block), the trees are fitted on the other half.
+
+    Without labels every URL scores 0.5; with one class only, that class.
+    """
+    half = [[(u, y) for u, y in labelled if zlib.crc32((u or "").encode()) & 1 == k] for k in (0, 1)]
     n = [max(1, sum(y == c for _, y in half[0])) for c in (0, 1)]
-    counts = {}
-    for kind, f in (("suffix", lambda h: {_suffix(h)}), ("pieces", _pieces)):
-        by = (Counter(), Counter())
-        for url, y in half[0]:
-            by[y].update(f(_parts(url)[0]))
-        counts[kind] = _log_odds(by[1], by[0], n[1], n[0], 1.0)
-    model = UrlModel(counts["suffix"], counts["pieces"], boosting.constant(0.5))
+    by = (Counter(), Counter())
+    for url, y in half[0]:
+        by[y][_suffix(_parts(url)[0])] += 1
+    model = UrlModel(_log_odds(by[1], by[0], n[1], n[0], 1.0), boosting.constant(0.5))
     x, y = model.features([u for u, _ in half[1]]), np.array([y for _, y in half[1]], float)
     model.trees = boosting.fit(x, y, trees=40, depth=4)
     return model
 
 
+def ruled_urls(pages: DataFrame, url_col: str = "url", rules=RULES, most: int = MAX_ROWS) -> list[tuple[str, int]]:
+    """Labelled URLs (1: block) where nothing else labels any: distinct ones that the rules decide, ``most`` in an order by hash.
+
+    What the rules say nothing about, such as the intent of a host, no label tells: the trees can
+    only carry on the lexical traits of what is blocked.
+    """
+    own = pages.select(F.col(f"`{url_col}`").alias("url")).filter("url is not null").distinct()
+    _, verdict = matching_rule(*host_and_path(F.col("url")), rules)
+    few = own.withColumn("verdict", verdict).filter("verdict is not null").orderBy(F.xxhash64("url"), "url").limit(most)
+    return [(r["url"], int(r["verdict"] == "block")) for r in few.collect()]  # ``most`` rows
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """After the first ``://``; both empty if there is none or the url is null."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,7 +111,8 @@ def filter_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_
     """Per row: ``id``, ``url``, ``host``, ``path``, ``rule``, ``score`` (of the trees, 1: block) and ``verdict``.
 
     The rule's verdict holds, else the trees'. Null urls and those without ``://`` have an empty
-    host and path and get the trees' verdict on what there is.
+    host and path and get the trees' verdict on what there is; urls of any length are read whole.
+    Repeated rows have repeated results, an empty table an empty one. Other columns are ignored.
     """
 
     def run(batches):
@@ -148,5 +129,6 @@ def filter_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    out = filter_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls()))
+    pages = table(spark, sf_dir, "pages")
+    out = filter_urls(pages, fit_urls(ruled_urls(pages)))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")

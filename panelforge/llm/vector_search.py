@@ -21,9 +21,13 @@ from .common import checkpointed, table
 #: Rows that the codebooks are fitted on, and queries that the length of the walk is measured with, at most.
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 64
 #: Share of the sampled queries' true neighbours that the walk must meet.
-WANTED = 0.96
-#: Entries of a cell that one task takes.
-CELL_ROWS = 20_000
+WANTED = 0.95
+#: Entries, and queries, that one task takes: cells are grouped to so many entries, larger ones split.
+CELL_ROWS, QUERY_ROWS = 20_000, 2_000
+#: Entries a cell holds on average, until there are 256 centroids a half.
+CELL_MEAN = 8
+#: Products of unit vectors may be off by so much; the exact score decides among what lies closer.
+_TOLERANCE = 1e-12
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -119,7 +123,7 @@ class Index:
 def build(found: DataFrame, cells_per_half: int | None = None) -> tuple[Index, DataFrame]:
     """The index and the entries with their ``cell``. More entries, more cells, to 256 a half."""
     n = found.count()
-    k = cells_per_half or int(min(256, max(8, 2 ** int(np.log2(max(n, 1) ** 0.25)))))
+    k = cells_per_half or int(min(256, max(8, 2 ** int(np.log2(max(n / CELL_MEAN, 1) ** 0.5)))))
     sample = found.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
     x = _unit(_matrix(sample["v"])) if sample.num_rows else np.ones((1, 2))
     half = max(1, x.shape[1] // 2)
@@ -135,18 +139,27 @@ def build(found: DataFrame, cells_per_half: int | None = None) -> tuple[Index, D
     return index, placed
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``k`` best of a block: rows of (query, entry, exact score)."""
+def _best(q: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the ``k`` best of a block by exact score, ties to the smaller id: rows of (query, entry, score).
+
+    The product picks candidates; all within its error of the ``k``-th take part, however many.
+    """
     near = _unit(q) @ _unit(v).T
-    take = min(k + 2, len(v))  # two more, as the product's last bits may differ from the exact score
-    col = np.argpartition(-near, take - 1, axis=1)[:, :take]
-    row = np.repeat(np.arange(len(q)), take)
-    col = col.reshape(-1)
-    score = _cosine(q[row], v[col])
-    order = np.lexsort((v_ids[col], -score, row))
-    nth = np.arange(len(order)) - np.searchsorted(row[order], row[order], "left")
-    order = order[nth < k]
-    return row[order], col[order], score[order]
+    take = min(k, len(v))
+    least = np.partition(near, len(v) - take, axis=1)[:, len(v) - take] - _TOLERANCE
+    many = (near >= least[:, None]).sum(axis=1)
+    rows, cols, scores = [], [], []
+    # rows without crowded ties in one step, the others one by one, so that no more than a block is held
+    plain = np.flatnonzero(many <= take + 8)
+    i, j = np.nonzero(near[plain] >= least[plain, None])
+    steps = [(plain[i], j)] + [(np.full(many[r], r), np.flatnonzero(near[r] >= least[r])) for r in np.flatnonzero(many > take + 8).tolist()]
+    for row, col in steps:
+        score = _cosine(q[row], v[col])
+        order = np.lexsort((v_ids[col], -score, row))
+        row = row[order]
+        order, row = order[(nth := np.arange(len(row)) - np.searchsorted(row, row, "left")) < k], row[nth < k]
+        rows.append(row), cols.append(col[order]), scores.append(score[order])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 def _seen_for(index: Index, placed: DataFrame, queries: DataFrame, k: int, wanted: float) -> int:
@@ -160,7 +173,7 @@ def _seen_for(index: Index, placed: DataFrame, queries: DataFrame, k: int, wante
     def search(batches):
         for b in batches:
             if b.num_rows:
-                row, col, score = _best(q, ids, _matrix(b.column(1)), b.column(0).to_numpy(), k)
+                row, col, score = _best(q, _matrix(b.column(1)), b.column(0).to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(b.column(2).to_numpy()[col]), pa.array(score), pa.array(b.column(0).to_numpy()[col])], ["q", "cell", "score", "id"])
 
     top = placed.select("id", "v", "cell").mapInArrow(search, "q int, cell long, score double, id long")
@@ -176,14 +189,37 @@ def _seen_for(index: Index, placed: DataFrame, queries: DataFrame, k: int, wante
     return int(np.quantile(need, wanted, method="higher")) if need else total
 
 
+def groups(sizes: np.ndarray, most: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the number of its parts and its first group: neighbouring cells share a group, a cell over ``most`` has its own."""
+    parts = np.maximum(1, -(-sizes // most))
+    base, group, filled = np.zeros(len(sizes), np.int64), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if filled and (filled + n > most):
+            group, filled = group + 1, 0
+        base[c] = group
+        if parts[c] > 1:
+            group, filled = group + int(parts[c]), 0
+        else:
+            filled += n
+    return parts, base
+
+
+def _spread(x: int, n: int) -> int:
+    """An id's place among ``n``."""
+    return ((x * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33) % n
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", wanted: float = WANTED,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (exact cosine): each query's ``k`` nearest found.
 
     ``is_query`` is a condition on the column ``id``. A query is not its own neighbour; equal scores
-    go to the smaller id. Rows that take no part (see :func:`usable`) have no results. An id that
-    occurs twice with different vectors is two candidates.
+    go to the smaller id, also among vectors that only differ in length. Rows that take no part (see
+    :func:`usable`) have no results; an empty table gives an empty result. An id that occurs twice
+    with different vectors is two candidates, equal rows are one. Other columns are ignored. A
+    query travels once per group of cells that it visits; a task holds ``CELL_ROWS`` entries and
+    ``QUERY_ROWS`` queries.
     """
     own = checkpointed(usable(vectors, id_col, vector_col))
     found = checkpointed(entries(own, k + 1))
@@ -191,38 +227,60 @@ def search(
     asked = own.filter(is_query)
     queries = checkpointed(asked.groupBy("v").agg(F.min("id").alias("rep")))
     seen = _seen_for(index, placed, queries, k + 1, wanted)
-    parts = np.maximum(1, -(-index.sizes // CELL_ROWS))
+    parts, base = groups(index.sizes)
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def requests(batches):
         for b in batches:
-            rep, cell, part, which = [], [], [], []
+            rep, which, group, cells = [], [], [], []
             units = _unit(_matrix(b.column(1))) if b.num_rows else []
             for i, (r, u) in enumerate(zip(b.column(0).to_pylist(), units, strict=True)):
-                for c in index.visited(u, seen):
-                    for p in range(int(parts[c])):
-                        rep.append(r), cell.append(c), part.append(p), which.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), b.column(1).take(pa.array(which, pa.int64())), pa.array(cell, pa.int64()), pa.array(part, pa.int64())], ["rep", "v", "cell", "part"])
-
-    wants = queries.select("rep", "v").repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep").mapInArrow(requests, "rep long, v array<double>, cell long, part long")
+                cell = np.sort(np.array(index.visited(u, seen), np.int64))
+                at = np.repeat(base[cell] - (np.cumsum(parts[cell]) - parts[cell]), parts[cell]) + np.arange(parts[cell].sum())
+                cell = np.repeat(cell, parts[cell])
+                cell = cell[order := np.argsort(at, kind="stable")]
+                at = at[order]
+                for g, mine in zip(np.unique(at).tolist(), np.split(cell, np.flatnonzero(np.diff(at)) + 1), strict=False):
+                    rep.append(r), which.append(i), group.append(g), cells.append(mine)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep, pa.int64()), b.column(1).take(pa.array(which, pa.int64())), pa.array(group, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array([_spread(r, blocks) for r in rep], pa.int64())], ["rep", "v", "group", "cells", "block"])
+
+    wants = queries.select("rep", "v").repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep").mapInArrow(requests, "rep long, v array<double>, group long, cells array<long>, block long")
 
     def split(batches):
         for b in batches:
-            cell, ident = b.column(3).to_numpy(), b.column(0).to_numpy()
-            part = (ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell] if b.num_rows else cell
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int64())], [*b.schema.names, "part"])
+            cell, ident = b.column(3).to_numpy(), b.column(0).to_pylist()
+            part = np.array([_spread(x, int(n)) for x, n in zip(ident, parts[cell].tolist(), strict=True)], np.int64) if b.num_rows else cell
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base[cell] + part, pa.int64())], [*b.schema.names, "group"])
 
-    dealt = placed.mapInArrow(split, "id long, v array<double>, ids array<long>, cell long, part long")
+    dealt = placed.mapInArrow(split, "id long, v array<double>, ids array<long>, cell long, group long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        rep, ids, score = np.zeros(0, np.int64), [], np.zeros(0)
-        if left.num_rows and right.num_rows:
-            v, v_ids, lists = _matrix(right["v"]), right["id"].to_numpy(), right["ids"].to_pylist()
-            q, q_ids = _matrix(left["v"]), left["rep"].to_numpy()
-            done = [(q_ids[a : a + 512][row], [lists[c] for c in col], s) for a in range(0, len(q), 512) for row, col, s in [_best(q[a : a + 512], q_ids, v, v_ids, k + 1)]]
-            rep, ids, score = np.concatenate([d[0] for d in done]), [x for d in done for x in d[1]], np.concatenate([d[2] for d in done])
-        return pa.table({"rep": pa.array(rep, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "score": pa.array(score, pa.float64())})
-
-    near = wants.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(rerank, "rep long, ids array<long>, score double")
+        none = pa.table({"rep": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        right = right.sort_by("cell")
+        v, v_ids, cell = _matrix(right["v"]), right["id"].to_numpy(), right["cell"].to_numpy()
+        q, q_ids, lists = _matrix(left["v"]), left["rep"].to_numpy(), left["cells"].combine_chunks()
+        asked, by = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        order = np.argsort(asked, kind="stable")
+        asked, by = asked[order], by[order]
+        found = []
+        for c in np.unique(cell).tolist():
+            a, b = np.searchsorted(cell, (c, c + 1))
+            mine = by[slice(*np.searchsorted(asked, (c, c + 1)))]
+            for i in range(0, len(mine), 512):
+                row, col, score = _best(q[mine[i : i + 512]], v[a:b], v_ids[a:b], k + 1)
+                found.append((mine[i : i + 512][row], col + a, score))
+        if not found:
+            return none
+        row, col, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((v_ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, "left") <= k
+        return pa.table({"rep": pa.array(q_ids[row[keep]]), "ids": right["ids"].combine_chunks().take(pa.array(col[keep])), "score": pa.array(score[keep])})
+
+    near = wants.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInArrow(rerank, "rep long, ids array<long>, score double")
     w = Window.partitionBy("rep").orderBy(F.desc("score"), F.col("ids")[0])
     best = near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k + 1)
     best = best.select("rep", "score", F.explode("ids").alias("vec_id"))

@@ -1,10 +1,12 @@
 """Decontamination, packing, classifiers, extraction and search on small, awkward tables."""
 
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -95,13 +97,64 @@ def test_quality_and_toxicity(spark):
     assert toxicity.fit_toxicity(docs, lab.limit(0)).scorer()("x") == 0.5
 
 
+def made_urls(n: int, seed: int) -> list[tuple[str, int]]:
+    """Blocked ones have digits and many parameters, or the suffix zz."""
+    pick = random.Random(seed)
+    word = lambda k: "".join(pick.choice("abcdefgh") for _ in range(k))
+    out = []
+    for i in range(n):
+        good = f"https://{word(7)}.org/{word(4)}/{word(5)}"
+        bad = f"https://{word(5)}{pick.randrange(10**6)}.org/{word(3)}?" + "&".join(f"{word(1)}={pick.randrange(10**6)}" for _ in range(4)) if i % 4 else f"https://{word(7)}.zz/{word(4)}"
+        out.append((bad, 1) if i % 2 else (good, 0))
+    return out
+
+
 def test_urls(spark):
-    urls = ["http://WWW.Example.com/en/x?y#z", "https://example.com/en/1", "http://a.b.net/es/", "http://net/fr/q", "http://com", "no scheme", None, "http://www.cheap-pills.example.org/en/1"]
-    out = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.fit_urls(url_filter.labelled_urls(900)))
+    model = url_filter.fit_urls(made_urls(900, 1))
+    held = made_urls(300, 2)
+    urls = ["http://WWW.Example.com/en/x?y#z", "https://example.com/en/1", "http://a.b.net/es/", "http://net/fr/q", "http://com", "no scheme", None, "", "https://abcdefg.org/" + "x/" * 50_000]
+    rows = [(i, u, "verdict") for i, u in enumerate([*urls, urls[0], *[u for u, _ in held]])]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), model)
     got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
-    assert got[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[1][2:] == ("example.com/en/", "block")
+    assert got[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") == got[9] and got[1][2:] == ("example.com/en/", "block")
     assert got[2][2:] == ("net/es/", "block") and got[3][2:] == ("net/fr/", "block") and got[4][:3] == ("com", "", None)
-    assert got[5][:3] == got[6][:3] == ("", "", None) and got[7][2:] == (None, "block")
+    assert got[5][:3] == got[6][:3] == got[7][:3] == ("", "", None) and len(got[8][1]) == 100_001
+    right = sum((got[10 + i][3] == "block") == bool(y) for i, (_, y) in enumerate(held))
+    assert right >= 0.97 * len(held)
+    score = model.trees.score(model.features([u for u, _ in held]))
+    assert score.tolist() == pytest.approx([walked(model.trees, x) for x in model.features([u for u, _ in held])])
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
+
+
+def walked(trees, x) -> float:
+    """One row down every tree, node by node."""
+    total = trees.start
+    for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + (2 if x[f[node]] > t[node] else 1)
+        total += v[node - len(f)]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_rules_label_urls(spark):
+    urls = ["http://a.com/x", "http://b.net/es/1", "http://b.net/de/1", None, "http://a.com/x"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert sorted(url_filter.ruled_urls(pages)) == [("http://a.com/x", 0), ("http://b.net/es/1", 1)]
+    assert url_filter.fit_urls([]).trees.score(np.zeros((1, len(url_filter.NAMES)))).tolist() == [0.5]
+
+
+def test_ids_equal_whole_text_encoding():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, pick = packing.Ids(path), random.Random(3)
+    letters = "***abcñÉéüß×÷&-XYZ09 .,;:!?)\"'-_<|≯́éΣσẞﬁİ\n\t \x0b\xa0中😀&="
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randrange(40))) for _ in range(20_000)] + [None, "", " ", "a<|endoftext|>b,", "<|ENDOFTEXT|>.", "don't, it'll!", "A<|startoftext|>"]
+    flat, ends = ids.documents(pa.array(texts), 0)
+    whole = Tokenizer.from_file(path)
+    first = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert flat[first:end].tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 0]
+        first = end
 
 
 def brute_cut(gain, edges):
@@ -159,3 +212,75 @@ def test_search(spark):
         hit += len({g[1] for g in got} & set(best.tolist()))
     assert hit >= 0.9 * 40 and {r["query_id"] for r in out} == set(range(0, 400, 50))
     assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), vector_search.F.lit(True)).count() == 0
+
+
+def test_search_ties_and_scaled_copies(spark):
+    """Multiples of one vector are different entries with one cosine: the smaller ids win."""
+    base = np.array([1.0, -2.0, 0.5, 3.0])
+    rows = [(i, (base * (i + 1)).tolist()) for i in range(40)] + [(i, (-base).tolist()) for i in range(100, 130)] + [(i, [0.1 * i, 1.0, 2.0, 3.0]) for i in range(200, 230)]
+    rows += [rows[3]]
+    out = vector_search.search(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string"), vector_search.F.col("id") % 10 == 0).collect()
+    v = {i: np.array(x) for i, x in rows}
+    cosine = lambda a, b: vector_search._cosine(a[None], b[None])[0]
+    hits = total = 0
+    for query in sorted({r["query_id"] for r in out}):
+        want = sorted((-cosine(v[query], x), i) for i, x in v.items() if i != query)[:5]
+        got = [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == query]
+        assert len(got) == 5 and got == sorted(got, key=lambda g: (-g[1], g[0]))
+        hits += len({g[0] for g in got} & {w[1] for w in want})
+        total += 5
+    assert hits >= 0.9 * total
+    q, ids = np.array([base]), np.arange(40)
+    row, col, _ = vector_search._best(q, np.array([base * (i + 1) for i in range(40)]), ids, 6)
+    best = sorted((-cosine(base, base * (i + 1)), i) for i in range(40))[:6]
+    assert col.tolist() == [i for _, i in best]
+
+
+def test_groups_of_cells():
+    sizes = np.array([3, 0, 4, 25, 1, 9, 9, 2])
+    parts, base = vector_search.groups(sizes, 10)
+    assert parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+    filled = {}
+    for c, n in enumerate(sizes.tolist()):
+        for p in range(parts[c]):
+            filled.setdefault(int(base[c] + p), []).append(n / parts[c])
+    assert all(sum(x) <= 10 for x in filled.values()) and len(filled[int(base[3])]) == 1
+
+
+PAGES = [
+    ("<article><p>Hello <span class='text'>brave</span> new world.</p></article>", "Hello brave new world."),
+    ("<article><p>Let <math><mi>x</mi></math> be the number of all cases.</p></article>", "Let x be the number of all cases."),
+    ("<article><p>One is here and it is long. <span class='ad'>Buy now</span>Two is here and it is long.</p></article>", "One is here and it is long. Two is here and it is long."),
+    ("<article><p>First of the paragraphs.<br>On a new line of it.</p></article>", "First of the paragraphs. On a new line of it."),
+    ("<article><p>Text &amp; more &lt;b&gt; &eacute;t&eacute; &#x41; of it.</p></article>", "Text & more <b> été A of it."),
+    ("<nav><a href='/'>Home</a><a href='/x'>News</a></nav><article><p>The story of the day is told here.</p></article><footer>All rights reserved</footer>", "The story of the day is told here."),
+    ("<article><h1>A heading</h1><p>The story of the day is told here.</p></article>", "A heading\nThe story of the day is told here."),
+    ("<article><p>The story of the day is told here.</p><script>var a = '<p>no</p>';</script><style>p {}</style></article>", "The story of the day is told here."),
+    ("<article><p>The story of the day is told here.</p></article><section class='comments'><p>Great post, I liked it a lot.</p></section>", "The story of the day is told here."),
+    ("<article><p>The story of the day is told here.</p><form><p>Your name and address please</p></form></article>", "The story of the day is told here."),
+    ("<main><p>The story of the day is told here.</p><aside>Related stories to read next</aside></main>", "The story of the day is told here."),
+    ("<div class='cookie-notice'>We use cookies on this site.</div><main><p>The story of the day is told here.</p></main>", "The story of the day is told here."),
+    ("<main><p>The <b>story</b> of the <i>day</i> is <a href='/x'>told</a> here.</p></main>", "The story of the day is told here."),
+    ("<main><p>The story\n\n of   the\tday is told here.</p></main>", "The story of the day is told here."),
+    ("<main><p>The story <!-- not <p> this --> of the day.</p></main>", "The story of the day."),
+    ("<main><p>The story <!-- of the day is told here.</p><p>And so is the end of it.</p></main>", "The story of the day is told here.\nAnd so is the end of it."),
+    ("<main><p>The story<!--> of the day is told.</p></main>", "The story of the day is told."),
+    ("<main><ul><li>One point of the story is this.</li><li>Another point of the story is that.</li></ul></main>", "One point of the story is this.\nAnother point of the story is that."),
+    ("<main><p>Before it.<noscript>Within it.</noscript> After it.</p></main>", "Before it.Within it. After it."),
+    ("<main><p>The story of the day is told here.<p>And so is the end of it.</main>", "The story of the day is told here.\nAnd so is the end of it."),
+    ("<main><table><tr><td>A cell of the table is this.</td><td>Another cell of it is that.</td></tr></table></main>", "A cell of the table is this.\nAnother cell of it is that."),
+    ("<main><p>Press <button>Share</button> to go on with the story.</p></main>", "Press to go on with the story."),
+    ("<main><p>The story < 3 > 2 of the day.</p></main>", "The story < 3 > 2 of the day."),
+    ("", ""), (None, ""), ("<p></p>", ""),
+]
+
+
+def test_pages_by_hand(spark):
+    weights = html_extraction.fit_blocks()
+    for page, want in PAGES:
+        assert html_extraction.main_text(page, weights) == want, page
+    long = "<main>" + "".join(f"<p>Paragraph number {i} of the long story.</p>" for i in range(20_000)) + "</main>"
+    rows = [(1, "u", long, "text"), (1, "u", long, "text"), (2, None, None, None)]
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), weights).collect()
+    assert sorted(r["text"].count("\n") for r in out) == [0, 19_999, 19_999] and [r["url"] for r in out if r["id"] == 2] == [None]
+    assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"), weights).count() == 0
