@@ -27,6 +27,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from .common import expand, mix, pack, pieces, squeeze, trim, unpack
@@ -332,16 +333,15 @@ def repeats(
         trim()
         return pa.table(out)
 
-    kind = rows.schema["carried"].dataType.simpleString()
-    result_schema = f"id long, carried {kind}, {result}"
+    # the type as it is, so that what can't be null stays so
+    result_schema = StructType([*StructType().add("id", "long").add("carried", rows.schema["carried"].dataType).fields, *StructType.fromDDL(result).fields])
     flags = sharded.applyInArrow(first, EXCHANGE).groupBy("bucket").applyInArrow(lambda t: share_keys(t, hot), EXCHANGE)
     sent = sharded.cogroup(flags.groupBy("shard")).applyInArrow(second, EXCHANGE)
     back = sent.groupBy("kind", "bucket").applyInArrow(between, EXCHANGE)
     return sharded.cogroup(back.groupBy("shard")).applyInArrow(third, result_schema)
 
 
-def _empty(schema: str) -> pa.Table:
+def _empty(schema: StructType) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(schema).empty_table()
