@@ -60,6 +60,7 @@ def second_step() -> dict[str, Column]:
     return out | {f"AMOUNT_MA{n}": mean(F.col("amount"), n) for n in (20, 60)}
 
 
+#: Names that formulas are written with.
 NAMES = ("RET1", "RET5", "RET20", "RET60", "RET120", "VOL_RATIO20", "VOLUME_WEIGHTED_RET", "RET_STD20", "RET_STD60", "DOWNSIDE_RET_STD20", "DOWNSIDE_RET_STD60", "TREND20", "TREND60", "TREND120", "AMOUNT_MA20", "AMOUNT_MA60")
 
 

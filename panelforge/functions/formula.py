@@ -41,6 +41,7 @@ def _zscore(x: Column) -> Column:
     return F.when(s > 1e-15, (x - mean(x, 20)) / s)
 
 
+#: Names that formulas are written with.
 OPERATORS = {o.name: o for o in (
     Operator("ADD", 2, 0, lambda a, b: a + b, True), Operator("SUB", 2, 0, lambda a, b: a - b), Operator("MUL", 2, 0, lambda a, b: a * b, True),
     Operator("DIV", 2, 0, lambda a, b: F.when(F.abs(b) > TINY, a / b)), Operator("NEG", 1, 0, lambda a: -a), Operator("ABS", 1, 0, F.abs), Operator("SIGN", 1, 0, F.signum),

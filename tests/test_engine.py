@@ -1,31 +1,37 @@
-"""Hand-computed values of the formula language, features, rules, joins and the account fold."""
+"""Hand-computed values of the formula language, features, rules and joins."""
+
+import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import features, formula
-from panelforge.operators import backtest, crosssec, joins, regime, rules, stats, tables
+from panelforge.operators import crosssec, joins, regime, rules, stats, tables
 from panelforge.sources import files
 from panelforge.streaming.forward import tick
 
 
-def linear(spark, days=130):
-    rows = [(f"2024{i + 1:04d}", f"00000{c}.SZ", 10.0 * c + i, 100.0 + i, 1000.0 * c) for c in (1, 2, 3) for i in range(days)]
+def prices(spark, days=90):
+    """Two codes: one gains 2 % a day, the other swings between 40 and 50 with twice the volume every third day."""
+    rows = [(f"d{i:03d}", "up", 8 * 1.02**i, 60.0, 480.0) for i in range(days)] + [(f"d{i:03d}", "swing", 40.0 + 10 * (i % 2), 30.0 * (1 + (i % 3 == 0)), 7.0 * i) for i in range(days)]
     return spark.createDataFrame(rows, "trade_date string, ts_code string, close double, volume double, amount double")
 
 
 def test_features_warm_up_and_values(spark):
-    out = {r["trade_date"]: r for r in features.compute(linear(spark), features.NAMES).filter("ts_code = '000001.SZ'").collect()}
-    assert out["20240020"]["RET20"] is None and out["20240021"]["RET20"] == pytest.approx(30 / 10 - 1)
-    assert out["20240019"]["TREND20"] is None and out["20240020"]["TREND20"] == pytest.approx(29 / 19.5 - 1)
-    assert out["20240020"]["AMOUNT_MA20"] == 1000.0 and out["20240021"]["DOWNSIDE_RET_STD20"] == 0.0
+    out = {(r["ts_code"], int(r["trade_date"][1:])): r for r in features.compute(prices(spark), features.NAMES).collect()}
+    up, swing = (lambda i, n: out["up", i][n]), (lambda i, n: out["swing", i][n])
+    assert up(59, "RET60") is None and up(60, "RET60") == pytest.approx(1.02**60 - 1) and up(70, "RET_STD60") == pytest.approx(0, abs=1e-9)
+    assert up(89, "DOWNSIDE_RET_STD20") == 0.0 and up(40, "VOL_RATIO20") == pytest.approx(0)
+    assert swing(18, "TREND20") is None and swing(19, "TREND20") == pytest.approx(50 / 45 - 1) and swing(19, "RET_STD20") is None
+    assert swing(20, "RET_STD20") == pytest.approx((0.25 + 0.2) / 2) and swing(20, "DOWNSIDE_RET_STD20") == pytest.approx(0.1)
+    assert swing(25, "AMOUNT_MA20") == pytest.approx(7 * 15.5) and swing(60, "AMOUNT_MA60") == pytest.approx(7 * 30.5)
+    assert swing(30, "VOLUME_WEIGHTED_RET") == pytest.approx(-0.2 * 60 / (30 * (1 + 7 / 20)))
 
 
 def test_features_do_not_look_ahead(spark):
-    df = linear(spark)
-    cut = features.compute(df.filter("trade_date <= '20240080'"), features.NAMES)
-    assert features.compute(df, features.NAMES).filter("trade_date <= '20240080'").exceptAll(cut).count() == 0
+    df = prices(spark)
+    cut = features.compute(df.filter("trade_date <= 'd065'"), features.NAMES)
+    assert features.compute(df, features.NAMES).filter("trade_date <= 'd065'").exceptAll(cut).count() == 0
     assert features.compute(df.repartition(7), features.NAMES).exceptAll(features.compute(df.repartition(1), features.NAMES)).count() == 0
 
 
@@ -43,7 +49,7 @@ def test_formula_language():
 
 
 def test_shared_sub_formulas(spark):
-    df = features.compute(linear(spark), ["RET1", "RET5"])
+    df = features.compute(prices(spark), ["RET1", "RET5"])
     named = {"a": formula.parse("NEG(DELTA5(RET5))"), "b": formula.parse("ABS(DELTA5(RET5))"), "c": formula.parse("DIV(RET1,SUB(RET5,RET5))")}
     out = formula.columns(df, named)
     assert out.columns == [*df.columns, "a", "b", "c"]
@@ -82,43 +88,12 @@ def test_clusters():
     assert kept == ["a", "c"] and members == [("a", "b", -0.99)]
 
 
-def market(rows):
-    return pd.DataFrame(rows, columns=["trade_date", "ts_code", "raw_open", "raw_close", "buy_block", "sell_block"])
-
-
-def test_account_fold():
-    m = market([("d1", "x", 10.0, 10.0, None, None), ("d2", "x", 10.0, 11.0, None, None), ("d3", "x", 11.0, 11.0, None, None), ("d1", "y", 5.0, 5.0, None, None), ("d2", "y", 5.0, 5.0, "limit_up_open", None), ("d3", "y", 5.0, 5.0, None, None)])
-    t = pd.DataFrame([("d1", "x", 1), ("d1", "y", 2), ("d2", "y", 1)], columns=["trade_date", "ts_code", "rank"])
-    out = backtest.fold(m, t, ["d1", "d2", "d3"], {"d1", "d2"}, 10_000.0, 20.0, 2)
-    trades = [(r["trade_date"], r["ts_code"], r["side"], r["quantity"], r["status"], r["reason"]) for r in out if r["kind"] == "trade"]
-    assert trades == [("d2", "x", "buy", 500, "filled", None), ("d2", "y", "buy", 0, "unfilled", "limit_up_open"), ("d3", "x", "sell", 500, "filled", None), ("d3", "y", "buy", 1000, "filled", None)]
-    day2, day3 = [r for r in out if r["kind"] == "account"][1:]
-    assert day2["cash"] == pytest.approx(10_000 - 5000 - 10) and day2["total_equity"] == pytest.approx(10_490)
-    assert day3["cumulative_cost"] == pytest.approx(10 + 11 + 10)
-
-
-def test_same_day_sale_is_refused():
-    b = backtest.Book(10_000.0)
-    assert b.buy("x", 300, 10.0, "d1", 20.0) == (6.0, None) and b.cash == 6994.0
-    b.open_day("d1")
-    assert b.sell("x", 100, 11.0, 20.0) == (0.0, "unavailable_quantity")
-    b.open_day("d2")
-    assert b.sell("x", 100, 11.0, 20.0)[0] == pytest.approx(2.2) and b.cash == pytest.approx(8091.8)
-
-
-def test_target_windows():
-    m = market([("d1", "x", 10.0, 10.0, None, None), ("d2", "x", 10.0, 10.0, None, "limit_down_open"), ("d3", "x", 12.0, 12.0, None, None), ("d1", "y", 10.0, 10.0, "limit_up_open", None)])
-    t = pd.DataFrame([("w", "d1", "d2", "x", 0.5), ("w", "d1", "d2", "y", 0.5)], columns=["window_id", "entry_date", "exit_date", "ts_code", "weight"])
-    out = backtest.windows(t, m, ["d1", "d2", "d3"], 10_000.0, 0.0).set_index("ts_code")
-    assert out.loc["x", "status"] == "completed" and out.loc["x", "actual_exit_date"] == "d3" and out.loc["x", "delayed_exit"]
-    assert out.loc["y", "failure_reason"] == "limit_up_open" and out.loc["x", "net_return_after_cost"] == pytest.approx(0.2)
-
-
 def test_metrics(spark):
     a = spark.createDataFrame([("f", "d1", 100.0, 0.0, 0.0, 0.0, 0.0, 100.0), ("f", "d2", 101.0, 0.01, 0.01, 1.0, 0.2, 1.0), ("f", "d3", 99.0, -0.0198, -0.0198, 2.0, 0.1, 9.0)], "formula string, trade_date string, total_equity double, net_return double, gross_return double, cumulative_cost double, turnover double, cash double")
     t = spark.createDataFrame([("f", "buy", "filled"), ("f", "buy", "unfilled"), ("f", "sell", "unfilled")], "formula string, side string, status string")
     m = stats.account_metrics(a, t).first()
     assert m["total_return"] == pytest.approx(-0.01) and (m["trade_count"], m["unfilled_buy_count"], m["unfilled_sell_count"]) == (1, 1, 1)
+    assert m["cash_ratio"] == pytest.approx((1 + 1 / 101 + 9 / 99) / 3)  # the mean over all days
     assert m["sortino"] is None and m["cumulative_cost"] == 2.0 and m["max_drawdown"] == pytest.approx(99 / 101 - 1)
 
 
@@ -172,5 +147,9 @@ def test_bars_do_not_depend_on_the_path(spark, tmp_path):
     small.mkdir()
     days = spark.sql("select 1L l_orderkey, id + 1 l_linenumber, 7L l_suppkey, date_add(date'2024-01-01', cast(id as int)) l_shipdate, 2.0D l_quantity, 10.0D + id l_extendedprice from range(5)")
     days.write.parquet(str(small / "lineitem.parquet"))
-    assert queries.bars_daily(spark, str(small)).count() == 5
-    assert queries._bars(spark, str(small), "week").count() == 1
+    got = queries.bars_daily(spark, str(small)).orderBy("trade_date").collect()
+    log, want = 0, []
+    for i in range(5):
+        log += (1000 + 100 * i) % 401 - 200
+        want.append(math.floor(100_000 * math.exp(log / 10_000)) / 10_000)
+    assert [r["raw_close"] for r in got] == want and [r["pre_close"] for r in got] == [None, *want[:-1]] and all(r["raw_low"] <= r["raw_open"] <= r["raw_high"] for r in got)
