@@ -303,7 +303,7 @@ def split_funnel(spark, sf_dir):
     ic = days.groupBy("formula").pivot("split", ["train", "validation", "blind"]).agg(F.round(F.avg("ic"), 6))
     by = lambda c: F.row_number().over(Window.orderBy(F.desc(F.abs(F.coalesce(c, F.lit(0.0)))), "formula"))  # noqa: E731  one row a formula
     ic = ic.withColumn("train_place", by("train")).withColumn("validation", F.when(F.col("train_place") <= 3, F.col("validation")))
-    ic = ic.withColumn("validation_place", F.when(F.col("train_place") <= 3, by("validation")))
+    ic = ic.withColumn("validation_place", F.when(F.col("train_place") <= 3, by("validation").cast("double")))
     return ic.select("formula", "train", "train_place", "validation", "validation_place", F.when(F.col("validation_place") <= 2, F.col("blind")).alias("blind"))
 
 

@@ -114,6 +114,6 @@ SELECT 'held' AS formula, round(tr, 5) AS total_return, round(dd, 5) AS max_draw
     "split_funnel": f"""WITH {SCORED}, s AS (SELECT formula, CASE WHEN trade_date < '19950101' THEN 'train' WHEN trade_date < '19980101' THEN 'validation' ELSE 'blind' END AS split, ic FROM days),
 i AS (SELECT formula, round(avg(ic) FILTER (split = 'train'), 6) AS train, round(avg(ic) FILTER (split = 'validation'), 6) AS v0, round(avg(ic) FILTER (split = 'blind'), 6) AS b0 FROM s GROUP BY 1),
 p AS (SELECT *, CAST(row_number() OVER (ORDER BY abs(coalesce(train, 0)) DESC, formula) AS INT) AS train_place FROM i), v AS (SELECT *, CASE WHEN train_place <= 3 THEN v0 END AS validation FROM p),
-w AS (SELECT *, CASE WHEN train_place <= 3 THEN CAST(row_number() OVER (ORDER BY abs(coalesce(validation, 0)) DESC, formula) AS INT) END AS validation_place FROM v) SELECT formula, train, train_place, validation, validation_place, CASE WHEN validation_place <= 2 THEN b0 END AS blind FROM w""",
+w AS (SELECT *, CASE WHEN train_place <= 3 THEN CAST(row_number() OVER (ORDER BY abs(coalesce(validation, 0)) DESC, formula) AS DOUBLE) END AS validation_place FROM v) SELECT formula, train, train_place, validation, validation_place, CASE WHEN validation_place <= 2 THEN b0 END AS blind FROM w""",
 }
 ORACLES["symbols_lookup"] = ORACLES["symbols_lookup"].replace("{watch}", ENGINE["observation_watchlist"])
