@@ -23,6 +23,8 @@ from .common import checkpointed, unused
 SEED = 42
 #: How many neighbours in a bucket each fingerprint is compared with: at first, and where components meet.
 NEAR, WIDE = 8, 1024
+#: A node or fingerprint with more than this part of all rows is hot; so there are fewer hot ones than this.
+HOT = 2000
 _LAST = (1 << 63) - 1
 
 
@@ -124,19 +126,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: every node links its larger neighbours, then its smaller
     ones, to its smallest; each round is checkpointed and the rounds grow with the logarithm of
-    the longest path. A node's neighbours are grouped by aggregates and joins only.
+    the longest path. A node's neighbours are grouped by aggregates and joins only, and those of
+    a hub (a large component's smallest node) are spread over the join's tasks.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    mark = None
+    mark, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses")).withColumn("m", F.least("u", "m"))
+        large = _looked_up(both, least, "u", "m", total, F.xxhash64("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter("u <> v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses"))
+        small = _looked_up(down, least, "u", "m", total, F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = edges.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
+        total = 2 * now["n"]
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
@@ -144,6 +148,20 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _looked_up(rows: DataFrame, one: DataFrame, key: str, value: str, total: int, salt) -> DataFrame:
+    """``rows`` with ``value`` of their ``key`` in ``one``, which has a row for every key, with its ``uses`` among at most ``total`` rows.
+
+    Keys with more than ``total / HOT`` rows are fewer than ``HOT``, so they are broadcast; their
+    rows go through the shuffle by ``salt``, and whatever they meet there counts for nothing.
+    """
+    hot = F.broadcast(one.filter(F.col("uses") * HOT > total).select(F.col(key).alias("hot_key"), F.col(value).alias("hot_value")))
+    rest = one.select(F.col(key).alias("join_key"), F.col(value).alias("join_value"))
+    spread = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("spread_key", F.when(F.col("hot_key").isNull(), F.col(key)).otherwise(salt))
+    met = spread.join(rest, F.col("spread_key") == F.col("join_key"), "left")
+    picked = F.when(F.col("hot_key").isNull(), F.col("join_value")).otherwise(F.col("hot_value"))
+    return met.select(*rows.columns, picked.alias(value))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, near: int = NEAR) -> DataFrame:
     """One row per input row: ``id``, ``fp`` (signed long) and ``component``.
 
@@ -154,17 +172,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of any length are read whole; other columns are ignored.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    groups, found = _groups(marked, near)
+    groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("uses")))
+    found = checkpointed(connected(groups.select("fp"), near))
     roots = found.join(groups, found["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = found.join(roots, "root").select(F.col("node").alias("fp"), "component")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return marked.join(named, "fp").select("id", "fp", "component")
-
-
-def _groups(marked: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints with their least id, and (node, root) of those that link."""
-    groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    return groups, checkpointed(connected(groups.select("fp"), near))
+    named = checkpointed(groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "uses"))
+    total = named.agg(F.sum("uses")).first()[0] or 0
+    # the salt is the row's place, which a checkpoint keeps: ids may be null or repeated
+    placed = marked.withColumn("place", F.monotonically_increasing_id())
+    return _looked_up(placed, named, "fp", "component", total, F.xxhash64("place")).select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, near: int = NEAR) -> DataFrame:
@@ -173,11 +189,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with that id (null last) the one whose text has the smallest hash stays, of equal rows one.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle, with_hash=True))
-    _, found = _groups(marked, near)
-    rooted = marked.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     one, two = unused(docs, "panelforge_id"), unused(docs, "panelforge_hash")
     place = F.struct(F.coalesce("id", F.lit(_LAST)).alias(one), F.col("hash").alias(two))
-    stay = rooted.groupBy("root").agg(F.min(place).alias("s")).select("s.*")
+    groups = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("s")))
+    found = checkpointed(connected(groups.select("fp"), near))
+    rooted = groups.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = rooted.groupBy("root").agg(F.min("s").alias("s")).select("s.*")
     keyed = docs.withColumns({one: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), two: F.xxhash64(F.col(f"`{text_col}`"), F.lit(1))})
     return keyed.join(stay, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)
 

@@ -220,8 +220,9 @@ def clusters(fps: list[int]) -> dict[int, int]:
     return {f: find(f) for f in fps}
 
 
-@pytest.mark.parametrize(("near", "wide"), [(1, 1), (1, 6), (8, 1024)])
-def test_components_of_crowded_fingerprints(spark, near, wide):
+@pytest.mark.parametrize(("near", "wide", "hot"), [(1, 1, 2000), (1, 6, 20), (8, 1024, 1)])
+def test_components_of_crowded_fingerprints(spark, monkeypatch, near, wide, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)  # all nodes are hot, some, none
     pick = random.Random(near)
     fps = {pick.getrandbits(63) for _ in range(60)}
     for _ in range(4):
@@ -236,7 +237,9 @@ def test_components_of_crowded_fingerprints(spark, near, wide):
     assert {f: found.get(f, f) for f in fps} == clusters(fps)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("hot", [1, 6, 2000])
+def test_near_duplicates(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)
     rows = documents()
     out = simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows)
