@@ -41,6 +41,8 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets footer foot header masthead topbar "
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended pagination pager toolbar copyright legal disclaimer form search complementary contentinfo".split()
 )
+#: Of these, words that mean something else as a part of a longer name (side-by-side, free-form).
+ALONE = frozenset("side form search foot legal related".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply responses respond reviews".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text blogpost".split())
@@ -75,7 +77,8 @@ def _marks(tag: str, attributes: str) -> int:
     out = _tag_marks(tag)
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            words = set(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+            names = (m[1] or m[2] or m[3] or "").lower()
+            words = set(_SPLIT.split(names)) - (ALONE - set(names.split()))
             out |= _BOILER_WORD * (not words.isdisjoint(BOILER_WORDS)) | _COMMENT * (not words.isdisjoint(COMMENT_WORDS)) | _CONTENT * (not words.isdisjoint(CONTENT_WORDS))
     return out
 
@@ -87,7 +90,7 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, number, marks so far
-    inline: list[tuple[str, int]] = []  # marked elements inside a block
+    inline: list[tuple[str, int, int]] = []  # elements inside a block, their marks, and how deep the block lies
     parts: list[str] = []
     linked, in_link, number, at, line = 0, 0, 0, 0, 0
     tag = ""
@@ -112,6 +115,11 @@ def blocks(page: str) -> list[Block]:
         part()
         line += 1
 
+    def leave() -> None:
+        """What was opened inside a block ends with it, whether it was closed or not."""
+        while inline and inline[-1][2] > len(stack):
+            inline.pop()
+
     endless: set[str] = set()  # raw-text elements without an end tag from here on
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -148,12 +156,14 @@ def blocks(page: str) -> list[Block]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
+                        leave()
                         break
             elif tag not in _VOID:
                 if tag in ("p", "li", "dd", "dt", "td", "th", "tr") and stack[-1][0] in (tag, "p"):
                     stack.pop()
                 if tag != "p" and stack[-1][0] == "p":
                     stack.pop()
+                leave()
                 number += 1
                 stack.append((tag, number, stack[-1][2] | _marks(tag, m[3] or m[6] or "")))
                 in_link = 0
@@ -168,10 +178,10 @@ def blocks(page: str) -> list[Block]:
                 if marks:
                     part()
                 if marks or inline:  # others only count inside one, for their ends
-                    inline.append((tag, marks | (inline[-1][1] if inline else 0)))
+                    inline.append((tag, marks | (inline[-1][1] if inline else 0), len(stack)))
             else:
                 part()
-                inline.append((tag, _marks(tag, m[3] or m[6] or "") | (inline[-1][1] if inline else 0)))
+                inline.append((tag, _marks(tag, m[3] or m[6] or "") | (inline[-1][1] if inline else 0), len(stack)))
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -217,10 +227,19 @@ def made_pages(n: int = 240, seed: int = 3) -> list[tuple[str, set[str]]]:
         def links(k: int) -> str:
             return "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(k))
 
+        def linked() -> str:
+            """A sentence of which much or most is linked: such things are in articles too."""
+            parts = [words(1, 4) for _ in range(pick.integers(2, 6))]
+            texts = [words(1, 3).capitalize(), *parts, words(1, 2) + "."]
+            kept.append(" ".join(texts))
+            return " ".join([texts[0], *(f'<a href="/y">{x}</a>' for x in parts), texts[-1]])
+
         kind = i % 4  # how the article is marked, the last: not at all
         start, end = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ("<div>", "</div>"))[kind]
         heading = para(2, 9)
         body = f"<h1>{heading}</h1>" + "".join(f"<{t}>{para()}</{t.split()[0]}>" for t in (one("p", "p", "p", "h2", "blockquote", "li") for _ in range(pick.integers(2, 12))))
+        if kind < 3 and i % 3 == 0:  # only inside what is marked as the article can a block of links be told from a menu
+            body += f"<p>{linked()}</p>" + f"<ul><li>{linked()}</li><li>{linked()}</li></ul>" * (i % 2)
         inside = one("", f'<div class="{one("ad", "promo", "share", "related")}">{words(3, 12)}.</div>', f'<aside>{words(4, 30)}.</aside>', f"<form><p>{words(3, 9)}</p></form>")
         top = one(f"<nav><ul>{links(6)}</ul></nav>", f'<div class="{one("menu", "navbar", "breadcrumb")}"><ul>{links(5)}</ul></div>', f"<ul>{links(7)}</ul>") + one("", f"<header><p>{words(2, 9)}</p></header>", f'<div id="{one("header", "cookie-notice", "banner")}">{words(4, 20)}.</div>')
         bottom = one(f"<footer>{words(3, 14)}.</footer>", f'<div class="footer"><p>{words(3, 9)}</p></div>', "") + one("", f'<div class="sidebar"><p>{words(8, 40)}.</p></div>')

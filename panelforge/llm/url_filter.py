@@ -18,6 +18,8 @@ from .common import table
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Labelled URLs that the trees are fitted on, at most.
 MAX_ROWS = 20_000
+#: Words by which a host names what it is blocked for: the labels where a caller has none.
+TELLING = ("adult", "ads", "bet", "bets", "betting", "casino", "dating", "escort", "gambling", "jackpot", "lottery", "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx")
 NAMES = ("length", "host_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "longest_label", "is_address", "escapes", "suffix")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
 
@@ -74,20 +76,23 @@ def fit_urls(labelled: list[tuple[str, int]]) -> UrlModel:
         by[y][_suffix(_parts(url)[0])] += 1
     model = UrlModel(_log_odds(by[1], by[0], n[1], n[0], 1.0), boosting.constant(0.5))
     x, y = model.features([u for u, _ in half[1]]), np.array([y for _, y in half[1]], float)
-    model.trees = boosting.fit(x, y, trees=40, depth=4)
+    model.trees = boosting.fit(x, y, trees=40, depth=4, least=0.1)  # what is blocked may be a handful
     return model
 
 
-def ruled_urls(pages: DataFrame, url_col: str = "url", rules=RULES, most: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) where nothing else labels any: distinct ones that the rules decide, ``most`` in an order by hash.
+def telling_urls(pages: DataFrame, url_col: str = "url", words=TELLING, most: int = MAX_ROWS) -> list[tuple[str, int]]:
+    """Weakly labelled URLs where nothing else labels any: 1 where the host has one of ``words`` as a word of its own.
 
-    What the rules say nothing about, such as the intent of a host, no label tells: the trees can
-    only carry on the lexical traits of what is blocked.
+    Distinct ones, ``most`` in an order by hash. All others count as fit to be allowed, so the trees
+    learn what hosts with telling names have in common that can be counted: their hyphens, lengths,
+    entropies and suffixes, never the words. The rules' verdicts aren't used: they say nothing about
+    what they leave open.
     """
     own = pages.select(F.col(f"`{url_col}`").alias("url")).filter("url is not null").distinct()
-    _, verdict = matching_rule(*host_and_path(F.col("url")), rules)
-    few = own.withColumn("verdict", verdict).filter("verdict is not null").orderBy(F.xxhash64("url"), "url").limit(most)
-    return [(r["url"], int(r["verdict"] == "block")) for r in few.collect()]  # ``most`` rows
+    host, _ = host_and_path(F.col("url"))
+    tells = F.arrays_overlap(F.split(host, "[^a-z]+"), F.array(*map(F.lit, words)))
+    few = own.withColumn("tells", tells.cast("int")).orderBy(F.xxhash64("url"), "url").limit(most)
+    return [(r["url"], r["tells"]) for r in few.collect()]  # ``most`` rows
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -130,5 +135,5 @@ def filter_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    out = filter_urls(pages, fit_urls(ruled_urls(pages)))
+    out = filter_urls(pages, fit_urls(telling_urls(pages)))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
