@@ -63,19 +63,21 @@ def _rewards(spark, data: str, bps: float):
     return evaluate
 
 
+#: How fast the generators learn: one does, the other is its baseline.
+RATES = {"policy": 0.5, "uniform": 0.0}
+
+
 def mine(args) -> int:
     """Search; with a checkpoint under ``--out`` that the same settings resume."""
-    from panelforge.search.policy import Budget, Policy, Search, Uniform, search
+    from panelforge.search.learned import Budget, Search, search
     from panelforge.search.progress import COMPLETED, RUNNING, Progress
 
     config = {"seed": args.seed, "generator": args.generator, "attempts": args.attempts, "bps": args.bps}
     kept = Progress(f"{args.out}/progress.json", ["search"], config)
     before = kept.extra.get("search")
-    policy = Policy.restored(before["policy"]) if before else {"policy": Policy, "uniform": Uniform}[args.generator](args.seed)
-    found = Search(**before["found"]) if before else None
-    done = search(policy, _rewards(_session(), args.data, args.bps), Budget(args.attempts, args.attempts, args.attempts), args.batch, found,
-                  lambda f: kept.set("search", RUNNING, policy=policy.state(), found=vars(f)))
-    kept.set("search", COMPLETED, policy=policy.state(), found=vars(done))
+    found = Search(**before["found"]) if before else Search(args.seed, RATES[args.generator])
+    done = search(_rewards(_session(), args.data, args.bps), Budget(args.attempts, args.attempts, args.attempts), found, args.batch, lambda f: kept.set("search", RUNNING, found=vars(f)))
+    kept.set("search", COMPLETED, found=vars(done))
     _show([{"formula": k, "reward": v} for k, v in sorted(done.rewards.items(), key=lambda kv: -kv[1])[: args.rows]])
     return 0
 
@@ -136,7 +138,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out")
     p.add_argument("--config")
     p.add_argument("--formula", default="NEG(RET_STD20)")
-    p.add_argument("--generator", choices=["policy", "uniform"], default="policy")
+    p.add_argument("--generator", choices=list(RATES), default="policy")
     for name, kind, value in (("rows", int, 20), ("seed", int, 0), ("attempts", int, 16), ("batch", int, 8), ("bps", float, 20.0)):
         p.add_argument(f"--{name}", type=kind, default=value)
     args = p.parse_args(argv)

@@ -154,20 +154,24 @@ def _column(n) -> Column:
     return OPERATORS[n[0]].build(*map(_column, n[1:])) if n[0] in OPERATORS else F.col(n[0])
 
 
-def columns(df: DataFrame, formulas: dict[str, Formula]) -> DataFrame:
-    """``df`` with a column for each formula. A sub-formula that several use is computed once."""
+def columns(df: DataFrame, formulas: dict[str, Formula], given: dict[tuple, str] | None = None) -> DataFrame:
+    """``df`` with a column for each formula. A sub-formula that several use is computed once.
+
+    ``given``: trees whose values ``df`` has already, under these names.
+    """
+    given = given or {}
     seen: dict[tuple, int] = {}
 
     def count(n) -> None:
         seen[n] = seen.get(n, 0) + 1
-        if seen[n] == 1:
+        if seen[n] == 1 and n not in given:
             for a in n[1:]:
                 count(a)
 
     trees = {k: f.tree() for k, f in formulas.items()}
     for t in trees.values():
         count(t)
-    made: dict[tuple, str] = {}
+    made: dict[tuple, str] = dict(given)
 
     def column(n) -> Column:
         if n in made:
@@ -176,8 +180,8 @@ def columns(df: DataFrame, formulas: dict[str, Formula]) -> DataFrame:
 
     depth = lambda n: 1 + max(map(depth, n[1:]), default=0)
     kept = df.columns
-    for n in sorted((n for n, c in seen.items() if c > 1 and len(n) > 1), key=lambda n: (depth(n), _show(n))):
-        name = f"_shared_{len(made)}"
+    for n in sorted((n for n, c in seen.items() if c > 1 and len(n) > 1 and n not in given), key=lambda n: (depth(n), _show(n))):
+        name = f"_shared_{len(made)}"  # no two trees share a number
         df = df.withColumn(name, column(n))
         made[n] = name
     return df.withColumns({k: column(t) for k, t in trees.items()}).select(*kept, *formulas)

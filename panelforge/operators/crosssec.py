@@ -1,18 +1,14 @@
-"""Cross-sections: ranks, percentiles, top-n, rank correlation, quantile buckets, turnover."""
+"""Cross-sections: ranks, percentiles, top-n, rank IC, quantile buckets, turnover, screening."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .research import stride
-
 
 def average_rank(x: str, *by: str) -> Column:
     """Rank from 1, ties share their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+    w = Window.partitionBy(*by).orderBy(x)  # a count up to here takes ties in
+    return (F.rank().over(w) + F.count("*").over(w)) / 2
 
 
 def percentile_of(x: str, *by: str) -> Column:
@@ -37,104 +33,80 @@ def long_form(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("trade_date", "ts_code", "forward_return", F.explode(pairs).alias("p")).select("trade_date", "ts_code", "forward_return", "p.*")
 
 
-def by_date(scored: DataFrame) -> DataFrame:
-    """Per formula and date with five values that are not all equal: ic, spread, dispersion, top_set."""
-    day = Window.partitionBy("formula", "trade_date")
-    s = scored.filter("factor_value is not null and forward_return is not null")
+def by_date(scored: DataFrame, buckets: int = 5) -> DataFrame:
+    """Per formula and date: rows, valid rows (``n``), ic, spread, dispersion, top_set and monotonicity.
+
+    One shuffle by (formula, date) and two sorts. The measures but ``rows`` and ``n`` are null on
+    dates with under five values or only equal ones; ``top_set`` is empty there. Monotonicity is the
+    rank correlation of bucket number and mean return: buckets lie between exact quantiles, equal
+    edges merged, the lowest value in the first one; null under ten values or three buckets.
+    """
+    s = scored.repartition("formula", "trade_date")  # every window and the grouping below keep this partitioning
+    s = s.withColumn("ok", F.col("factor_value").isNotNull() & F.col("forward_return").isNotNull())
+    day = Window.partitionBy("formula", "trade_date", "ok")
+    high = day.orderBy(F.desc("factor_value"))
+    n = F.count("*").over(day)
     s = s.withColumns({
-        "n": F.count("*").over(day), "lo": F.min("factor_value").over(day), "hi": F.max("factor_value").over(day),
-        "rf": average_rank("factor_value", "formula", "trade_date"), "rr": average_rank("forward_return", "formula", "trade_date"),
-        "up": F.row_number().over(day.orderBy(F.desc("factor_value"), "ts_code")), "down": F.row_number().over(day.orderBy("factor_value", F.desc("ts_code"))),
-    }).filter("n >= 5 and lo < hi").withColumn("q", F.expr("least(5, greatest(1, cast(floor(n / 5) as int)))"))
-    varied = F.stddev_pop("rr") > 0
-    return s.groupBy("formula", "trade_date").agg(
-        F.when(varied, F.corr("rf", "rr")).alias("ic"), F.stddev_pop("factor_value").alias("dispersion"),
-        (F.avg(F.when(F.col("up") <= F.col("q"), F.col("forward_return"))) - F.avg(F.when(F.col("down") <= F.col("q"), F.col("forward_return")))).alias("spread"),
-        F.collect_set(F.when(F.col("up") <= F.col("q"), F.col("ts_code"))).alias("top_set"),  # five at most
-    )
+        "up": F.row_number().over(day.orderBy(F.desc("factor_value"), "ts_code")), "fall": (F.rank().over(high) + F.count("*").over(high)) / 2, "n": n,
+        "lo": F.min("factor_value").over(day), "hi": F.max("factor_value").over(day)})
+    low = day.orderBy("forward_return")
+    s = s.withColumns({"rf": F.col("n") + 1 - F.col("fall"), "rr": (F.rank().over(low) + F.count("*").over(low)) / 2, "down": F.col("n") + 1 - F.col("up")})
+    s = s.withColumn("q", F.expr("least(5, greatest(1, cast(floor(n / 5) as int)))"))
+    edges = []
+    for k in range(1, buckets):  # linear between the values around each quantile
+        at = (F.col("n") - 1) * (k / buckets)
+        below, above = F.floor(at), F.ceil(at)
+        value = lambda i: F.max(F.when(F.col("down") == i + 1, F.col("factor_value"))).over(day)
+        a, b = value(below), value(above)
+        edges.append(F.when(a == b, a).otherwise((above - at) * a + (at - below) * b))
+    s = s.withColumn("edges", F.array_distinct(F.array("lo", *edges, "hi")))
+    s = s.withColumn("bucket", F.when(F.size("edges") > 1, F.size(F.filter(F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))), lambda e: e < F.col("factor_value")))))
+    valid, fits = F.col("ok"), F.col("ok") & (F.col("n") >= 5) & (F.col("lo") < F.col("hi"))
+    when = lambda c, x: F.when(c, F.col(x))
+    out = s.groupBy("formula", "trade_date").agg(
+        F.count("*").alias("rows"), F.count_if(valid).alias("n"),
+        F.when(F.stddev_pop(when(fits, "rr")) > 0, F.corr(when(fits, "rf"), when(fits, "rr"))).alias("ic"), F.stddev_pop(when(fits, "factor_value")).alias("dispersion"),
+        (F.avg(when(fits & (F.col("up") <= F.col("q")), "forward_return")) - F.avg(when(fits & (F.col("down") <= F.col("q")), "forward_return"))).alias("spread"),
+        F.collect_set(when(fits & (F.col("up") <= F.col("q")), "ts_code")).alias("top_set"),  # five at most
+        F.array_compact(F.array(*[F.avg(when(valid & (F.col("n") >= 10) & (F.col("bucket") == k), "forward_return")) for k in range(buckets)])).alias("means"))
+    return out.withColumn("monotonicity", _rank_correlation_with_place(F.col("means"))).drop("means")
+
+
+def _rank_correlation_with_place(means: Column) -> Column:
+    """Spearman's correlation of a few values with their places; null for under three or without variation."""
+    mid = (F.size(means) - 1) / 2
+    ranks = F.transform(means, lambda x: F.size(F.filter(means, lambda y: y < x)) + (F.size(F.filter(means, lambda y: y == x)) - 1) / 2 - mid)
+    places = F.transform(F.sequence(F.lit(0), F.size(means) - 1), lambda i: i - mid)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    both = total(F.zip_with(ranks, places, lambda x, y: x * y))
+    size = total(F.transform(ranks, lambda x: x * x)) * total(F.transform(places, lambda x: x * x))
+    return F.when((F.size(means) >= 3) & (size > 0), both / F.sqrt(size))
 
 
 def turnover(days: DataFrame) -> DataFrame:
-    """Per formula the mean Jaccard distance of the top sets of consecutive dates; null for one date."""
+    """Per formula the mean Jaccard distance of the top sets of consecutive dates that have one; null for one date."""
     w = Window.partitionBy("formula").orderBy("trade_date")
-    d = days.select("formula", "trade_date", "top_set", F.lag("top_set").over(w).alias("before"))
+    d = days.filter(F.size("top_set") > 0).select("formula", "trade_date", "top_set", F.lag("top_set").over(w).alias("before"))
     distance = 1 - F.size(F.array_intersect("top_set", "before")) / F.greatest(F.lit(1), F.size(F.array_union("top_set", "before")))
     return d.groupBy("formula").agg(F.avg(F.when(F.col("before").isNotNull(), distance)).alias("turnover_proxy"))
 
 
-def monotonicity(scored: DataFrame, buckets: int = 5) -> DataFrame:
-    """Per formula: mean over dates of the rank correlation of bucket number and bucket return.
-
-    Buckets lie between exact quantiles, equal edges merged, the lowest value in the first bucket;
-    dates with under ten values or three buckets don't count.
-    """
-    s = scored.filter("factor_value is not null and forward_return is not null")
-    cuts = [i / buckets for i in range(buckets + 1)]
-    edges = s.groupBy("formula", "trade_date").agg(F.array_distinct(F.percentile("factor_value", F.array(*map(F.lit, cuts)))).alias("edges"), F.count("*").alias("n")).filter("n >= 10 and size(edges) > 1")
-    b = s.join(edges, ["formula", "trade_date"]).withColumn("bucket", F.size(F.filter(F.slice("edges", 2, F.size("edges") - 2), lambda e: e < F.col("factor_value"))))
-    means = b.groupBy("formula", "trade_date", "bucket").agg(F.avg("forward_return").alias("m"))
-    day = Window.partitionBy("formula", "trade_date")
-    r = means.withColumns({"r": average_rank("m", "formula", "trade_date"), "k": F.row_number().over(day.orderBy("bucket")), "c": F.count("*").over(day)}).filter("c >= 3")
-    scores = r.groupBy("formula", "trade_date").agg(F.when(F.stddev_pop("r") > 0, F.corr("r", "k")).alias("s"))
-    return scores.groupBy("formula").agg(F.avg("s").alias("monotonicity_score"))
-
-
 def fast_screen(scored: DataFrame, min_coverage: float = 0.1, min_dispersion: float = 0.0, min_abs_ic: float = 0.0) -> DataFrame:
     """One row per formula: coverage, IC statistics, spread, turnover, monotonicity and the verdict.
 
-    An IC within 1e-12 of zero counts as neither positive nor negative.
+    An IC within 1e-12 of zero counts as neither positive nor negative. The panel is read once: all
+    measures come from one row a formula and date.
     """
-    cover = scored.groupBy("formula").agg((F.count_if(F.col("factor_value").isNotNull() & F.col("forward_return").isNotNull()) / F.greatest(F.lit(1), F.count("*"))).alias("coverage"))
-    days = by_date(scored)
-    ic = days.groupBy("formula").agg(
+    w = Window.partitionBy("formula", F.size("top_set") > 0).orderBy("trade_date")
+    days = by_date(scored).withColumn("before", F.when(F.size("top_set") > 0, F.lag("top_set").over(w)))
+    distance = 1 - F.size(F.array_intersect("top_set", "before")) / F.greatest(F.lit(1), F.size(F.array_union("top_set", "before")))
+    out = days.groupBy("formula").agg(
+        (F.sum("n") / F.greatest(F.lit(1), F.sum("rows"))).alias("coverage"),
         F.avg("ic").alias("rank_ic_mean"), F.stddev_pop("ic").alias("rank_ic_std"), F.avg(F.when(F.col("ic") > 1e-12, 1.0).when(F.col("ic").isNotNull(), 0.0)).alias("positive_period_ratio"),
-        F.avg(F.when(F.col("ic") < -1e-12, 1.0).when(F.col("ic").isNotNull(), 0.0)).alias("negative_period_ratio"), F.avg("spread").alias("top_bottom_spread"), F.avg("dispersion").alias("dispersion"))
-    out = cover.join(ic, "formula", "left").join(turnover(days), "formula", "left").join(monotonicity(scored), "formula", "left")
+        F.avg(F.when(F.col("ic") < -1e-12, 1.0).when(F.col("ic").isNotNull(), 0.0)).alias("negative_period_ratio"), F.avg("spread").alias("top_bottom_spread"), F.avg("dispersion").alias("dispersion"),
+        F.avg(F.when(F.col("before").isNotNull(), distance)).alias("turnover_proxy"), F.avg("monotonicity").alias("monotonicity_score"))
     reason = (
         F.when(F.col("coverage") < min_coverage, "low_coverage").when(F.col("dispersion").isNull() | (F.col("dispersion") < min_dispersion), "low_dispersion")
         .when(F.col("rank_ic_mean").isNull() | (F.abs("rank_ic_mean") < min_abs_ic), "weak_rank_ic"))
     out = out.withColumns({"rank_ic_ir": F.when(F.col("rank_ic_std") > 0, F.col("rank_ic_mean") / F.col("rank_ic_std")), "signal_stability": 1 - F.col("turnover_proxy"), "rejection_reason": reason})
     return out.withColumn("fast_screen_status", F.when(F.col("rejection_reason").isNull(), "passed").otherwise("rejected")).drop("dispersion")
-
-
-def rank_correlations(wide: DataFrame, names: list[str], at_least: int = 10, most: int = 20_000) -> DataFrame:
-    """(a, b, correlation) for all pairs of columns, ranked on a sample of the rows that both have.
-
-    Every k-th row by date and code is taken, ``most`` at most, so a pair's ranking is one small task.
-    """
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    blocks = [stride(wide, pairs[i : i + 64], most) for i in range(0, len(pairs), 64)]  # a plan of bounded width
-    long = reduce(DataFrame.unionByName, blocks)
-    ranked = long.withColumns({"rx": average_rank("x", "a", "b"), "ry": average_rank("y", "a", "b")})
-    out = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.corr("rx", "ry").alias("correlation"))
-    return out.filter(f"n >= {at_least} and sx > 0 and sy > 0").select("a", "b", "correlation")
-
-
-def greedy_clusters(order: list[str], correlations: dict[tuple[str, str], float], threshold: float) -> tuple[list[str], list[tuple[str, str, float]]]:
-    """Walk ``order``: a name joins the first kept one that it correlates with, else it is kept."""
-    kept, members = [], []
-    for name in order:
-        for k in kept:
-            c = correlations.get((name, k), correlations.get((k, name)))
-            if c is not None and abs(c) >= threshold:
-                members.append((k, name, c))
-                break
-        else:
-            kept.append(name)
-    return kept, members
-
-
-def clusters(pairs: DataFrame, order: list[str], threshold: float) -> DataFrame:
-    """Greedy clusters (``representative``, ``member``, ``correlation``) of the names in ``order``.
-
-    Each step depends on those before it: one task over one row a pair that reaches the threshold.
-    """
-    import pandas as pd
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, members = greedy_clusters(order, {(a, b): c for a, b, c in rows[["a", "b", "correlation"]].itertuples(index=False) if a is not None}, threshold)
-        return pd.DataFrame([(k, k, 1.0) for k in kept] + members, columns=["representative", "member", "correlation"])
-
-    close = pairs.filter(F.abs("correlation") >= threshold).select("a", "b", "correlation")
-    always = pairs.sparkSession.range(1).select(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("correlation"))
-    return close.unionByName(always).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(group, "representative string, member string, correlation double")

@@ -177,26 +177,6 @@ def freeze(rows: DataFrame, n: int) -> DataFrame:
     return chosen.withColumn("overlap", F.count("*").over(Window.partitionBy("formula_hash")) > 1)
 
 
-def stride(rows: DataFrame, pairs: list[tuple[str, str]], most: int) -> DataFrame:
-    """(a, b, x, y): of every pair of columns, the rows that have both, every k-th in order of date and code, ``most`` at most.
-
-    The place in the order is the row's place in its day plus the number of such rows on days
-    before; only rows that are taken are copied for a pair.
-    """
-    day, until = Window.partitionBy("trade_date").orderBy("ts_code"), Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
-    has = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
-    days = rows.groupBy("trade_date").agg(*[F.count_if(h).alias(f"_d{i}") for i, h in enumerate(has)])  # a few thousand rows
-    days = days.select("trade_date", *[F.coalesce(F.sum(f"_d{i}").over(until), F.lit(0)).alias(f"_o{i}") for i in range(len(pairs))], *[F.sum(f"_d{i}").over(Window.partitionBy()).alias(f"_n{i}") for i in range(len(pairs))])
-    rows = rows.withColumns({f"_p{i}": F.count_if(h).over(day) - 1 for i, h in enumerate(has)}).join(F.broadcast(days), "trade_date")
-    taken = []
-    for i, (a, b) in enumerate(pairs):
-        step = F.greatest(F.lit(1), F.floor(F.col(f"_n{i}") / most))
-        at = F.col(f"_o{i}") + F.col(f"_p{i}")
-        ok = has[i] & (at % step == 0) & (F.floor(at / step) < most)
-        taken.append(F.when(ok, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))))
-    return rows.select(F.explode(F.array_compact(F.array(*taken))).alias("p")).select("p.*")
-
-
 def window_status(targets: DataFrame, trades: DataFrame) -> DataFrame:
     """What became of each target window (``window_id``), from its trades: window_id, seq, purpose, status, reason, notional, cost, trade_date."""
     entry, exit_, filled = F.col("purpose") == "entry", F.col("purpose") == "exit", F.col("status") == "filled"

@@ -15,13 +15,25 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.unionByName(new.join(old, keys, "left_anti"))
 
 
+def new_rows(old: DataFrame, new: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """The rows of ``new`` that ``old`` lacks, once each; a key with two payloads fails the job.
+
+    A payload that is null is one like any other. Of rows with the same key and payload the first in
+    order of all columns is taken.
+    """
+    row = F.min(F.struct(*new.columns))
+    once = new.groupBy(*keys).agg(row.alias("_r"), F.count_distinct(F.struct(F.coalesce(F.col(payload).cast("string"), F.lit("")), F.col(payload).isNull())).alias("_n"))
+    known = old.select(*keys, F.col(payload).alias("_known"), F.lit(True).alias("_there"))
+    there = F.coalesce("_there", F.lit(False))
+    clash = (F.col("_n") > 1) | there & ~F.col("_known").eqNullSafe(F.col(f"_r.{payload}"))
+    name = F.concat_ws(",", *[F.col(f"_r.{k}").cast("string") for k in keys])
+    checked = once.join(known, keys, "left").withColumn("_new", F.when(clash, F.raise_error(F.concat(F.lit("integrity conflict: "), name)).cast("boolean")).otherwise(~there))
+    return checked.filter("_new").select("_r.*")
+
+
 def append_unique(old: DataFrame, new: DataFrame, key: str, payload: str) -> DataFrame:
-    """As :func:`insert_missing`; an id that comes back with another payload fails the job."""
-    known = old.select(key, F.col(payload).alias("_known"))
-    checked = new.join(known, key, "left")
-    clash = F.col("_known").isNotNull() & (F.col("_known") != F.col(payload))
-    fresh = checked.withColumn("_ok", F.when(clash, F.raise_error(F.concat(F.lit("integrity conflict: "), F.col(key))).cast("boolean")).otherwise(F.col("_known").isNull())).filter("_ok")
-    return old.unionByName(fresh.drop("_known", "_ok"))
+    """As :func:`insert_missing`; an id that comes with another payload, now or before, fails the job."""
+    return old.unionByName(new_rows(old, new, [key], payload))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

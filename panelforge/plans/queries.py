@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import features as feat
 from panelforge.functions.formula import columns, compile_one, parse
-from panelforge.operators import backtest, crosssec, joins, regime, rules, stats, tables
+from panelforge.operators import backtest, correlation, crosssec, graphs, joins, regime, rules, stats, tables
 from panelforge.sources import bars as src
 
 SCREENED = {"low_vol": "NEG(RET_STD20)", "reversal": "NEG(RET5)", "momentum": "RET20", "busy": "ZSCORE20(VOL_RATIO20)"}
@@ -59,7 +59,7 @@ def _scored(spark, sf_dir):
 
 
 def rank_ic_by_date(spark, sf_dir):
-    days = crosssec.by_date(_scored(spark, sf_dir)).select("formula", "trade_date", "ic", "dispersion", "spread")
+    days = crosssec.by_date(_scored(spark, sf_dir)).filter("size(top_set) > 0").select("formula", "trade_date", "ic", "dispersion", "spread")
     # spreads are means of at most five values of eight digits: ten digits hold them without a tie
     return _rounded(_rounded(days, ["ic", "dispersion"], 6), ["spread"], 10)
 
@@ -74,7 +74,8 @@ def turnover_jaccard(spark, sf_dir):
 
 
 def monotonicity_qcut(spark, sf_dir):
-    return _rounded(crosssec.monotonicity(_scored(spark, sf_dir)), ["monotonicity_score"], 6)
+    days = crosssec.by_date(_scored(spark, sf_dir))
+    return _rounded(days.groupBy("formula").agg(F.avg("monotonicity").alias("monotonicity_score")), ["monotonicity_score"], 6)
 
 
 def forward_return(spark, sf_dir):
@@ -96,12 +97,16 @@ def topn_by_date(spark, sf_dir):
 def corr_pairs(spark, sf_dir):
     df = feat.compute(_bars(spark, sf_dir), ["RET5", "RET20", "RET_STD20", "TREND20"])
     names = ["RET5", "RET20", "RET_STD20", "TREND20"]
-    return _rounded(crosssec.rank_correlations(_rounded(df, names), names), ["correlation"], 6)
+    return _rounded(correlation.rank_correlations(_rounded(df, names), names), ["correlation"], 6)
+
+
+def in_order(spark, names):
+    """The names with their places."""
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place int")
 
 
 def corr_clusters(spark, sf_dir):
-    names = ["RET5", "RET20", "RET_STD20", "TREND20"]
-    return crosssec.clusters(corr_pairs(spark, sf_dir), names, 0.7)
+    return graphs.greedy_clusters(in_order(spark, ["RET5", "RET20", "RET_STD20", "TREND20"]), corr_pairs(spark, sf_dir), 0.7)
 
 
 def weekly_schedule(spark, sf_dir):

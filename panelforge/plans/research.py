@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import features as feat
 from panelforge.functions.formula import columns, parse
-from panelforge.operators import backtest, crosssec, joins, research, rules, stats, tables
+from panelforge.operators import backtest, correlation, crosssec, graphs, joins, research, rules, stats, tables
 from panelforge.plans import queries as q
 from panelforge.sources import bars as src, candidates as made
 
@@ -314,7 +314,7 @@ def research_pipeline(spark, sf_dir):
     fast = fast.withColumn("formula_hash", F.sha2("formula_text", 256))
     names = list(text)
     wide = q._rounded(columns(feat.compute(_bars(spark, sf_dir), feat.NAMES), {k: parse(t) for k, t in text.items()}), names)
-    clusters = crosssec.clusters(crosssec.rank_correlations(wide, names), names, 0.95)
+    clusters = graphs.greedy_clusters(q.in_order(spark, names), correlation.rank_correlations(wide, names, least=0.95), 0.95)
     members = clusters.filter("representative <> member").select(F.col("member").alias("formula"))
     metrics = q.backtest_metrics(spark, sf_dir).withColumn("full_backtest_status", F.when(F.col("status") == "ok", "passed").otherwise("failed"))
     chosen = research.within_budget(fast.filter("fast_screen_status = 'passed'"), 100)

@@ -8,8 +8,8 @@ from panelforge.operators.tables import append_unique
 
 
 def tick(log: DataFrame, arrived: DataFrame, through: str) -> DataFrame:
-    """Events up to ``through`` are appended if their ``event_id`` is new; a repeated tick adds nothing."""
-    return append_unique(log, arrived.filter(F.col("trade_date") <= through).dropDuplicates(["event_id"]), "event_id", "payload")
+    """Events up to ``through`` are appended if their ``event_id`` is new; a repeated tick adds nothing, two payloads of one id fail."""
+    return append_unique(log, arrived.filter(F.col("trade_date") <= through), "event_id", "payload")
 
 
 def event_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

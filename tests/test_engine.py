@@ -83,11 +83,6 @@ def test_percentile_and_ranks(spark):
     assert sorted(r["p"] for r in out if r["x"] is not None) == [0.5, 0.5, 0.75, 1.0] and [r["p"] for r in out if r["x"] is None] == [None]
 
 
-def test_clusters():
-    kept, members = crosssec.greedy_clusters(["a", "b", "c"], {("a", "b"): -0.99, ("a", "c"): 0.2, ("b", "c"): 0.97}, 0.95)
-    assert kept == ["a", "c"] and members == [("a", "b", -0.99)]
-
-
 def test_metrics(spark):
     a = spark.createDataFrame([("f", "d1", 100.0, 0.0, 0.0, 0.0, 0.0, 100.0), ("f", "d2", 101.0, 0.01, 0.01, 1.0, 0.2, 1.0), ("f", "d3", 99.0, -0.0198, -0.0198, 2.0, 0.1, 9.0)], "formula string, trade_date string, total_equity double, net_return double, gross_return double, cumulative_cost double, turnover double, cash double")
     t = spark.createDataFrame([("f", "buy", "filled"), ("f", "buy", "unfilled"), ("f", "sell", "unfilled")], "formula string, side string, status string")

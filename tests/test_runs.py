@@ -1,18 +1,15 @@
-"""Sinks, SQLite, providers, search, progress, gates, the command line, the fold by hand, streams."""
+"""Sinks, providers, progress, gates, the command line, the fold by hand, streams."""
 
 import json
-import sqlite3
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from panelforge import cli
-from panelforge.functions.formula import parse
 from panelforge.operators import backtest, gates, research
-from panelforge.search.policy import Budget, Policy, Search, Uniform, search, train
 from panelforge.search.progress import Progress
-from panelforge.sources import bars as src, files, provider, sinks, sqlite
+from panelforge.sources import bars as src, files, provider, sinks
 from panelforge.streaming import forward
 
 DATA = "/root/testdata/sf0.001"
@@ -42,16 +39,6 @@ def test_sealed_folders(tmp_path):
     assert "| 0.5 |" in sinks.markdown("t", [{"x": 0.5}]) and sinks.stable_hash({"b": 1, "a": 2}) == sinks.stable_hash({"a": 2, "b": 1})
 
 
-def test_sqlite(spark, tmp_path):
-    with sqlite3.connect(tmp_path / "d.db") as con:
-        con.execute("create table p (d text, c real)")
-        con.executemany("insert into p values (?, ?)", [(f"2024010{i}", float(i)) for i in range(1, 8)])
-    out = sqlite.query(spark, f"{tmp_path}/d.db", "select d, c from p where d >= :a", "d string, c double", {"a": "20240104"}, 2)
-    assert sorted(r["c"] for r in out.collect()) == [4, 5, 6, 7]
-    with pytest.raises(Exception, match="readonly"):
-        sqlite.query(spark, f"{tmp_path}/d.db", "delete from p", "d string").collect()
-
-
 def test_files_and_providers(spark, tmp_path):
     (tmp_path / "x.csv").write_text("d,x\n20240101,1.5\n20240102,NaN\n20240103,\n")
     assert [r["x"] for r in files.csv(spark, f"{tmp_path}/x.csv", "d string, x double").orderBy("d").collect()] == [1.5, None, None]
@@ -112,26 +99,6 @@ def test_target_windows():
     assert out["w2"]["status"] == "entry_filled_exit_incomplete" and out["w3"]["failure_reason"] == backtest.NO_BAR and out["w4"]["failure_reason"] == backtest.NO_CASH
 
 
-def test_policy_learns_and_resumes(tmp_path):
-    policy = Policy(3)
-    wanted = lambda f: float("RET5" in f.tokens)
-    before = np.mean([wanted(policy.draw()) for _ in range(200)])
-    for _ in range(60):
-        drawn = [policy.draw() for _ in range(16)]
-        train(policy, drawn, [wanted(f) for f in drawn])
-    assert np.mean([wanted(policy.draw()) for _ in range(200)]) > before + 0.2
-    twin = Policy.restored(json.loads(json.dumps(policy.state())))
-    assert [twin.draw() for _ in range(5)] == [policy.draw() for _ in range(5)]
-    assert policy.log_chance(parse("RET5")) < 0 and train(policy, [parse("RET5")], [1.0]) == 1.0
-    evaluate = lambda fs: ["bad" if "DIV" in f.tokens else float(len(f.tokens)) for f in fs]
-    whole = search(Uniform(5), evaluate, Budget(20, 30, 200))
-    assert whole.done(Budget(20, 30, 200)) and len(whole.order) == len(set(whole.order)) == len(whole.rewards) + len(whole.failed)
-    first = Uniform(5)
-    part = search(first, evaluate, Budget(20, 30, 16))
-    rest = search(Uniform.restored(first.state()), evaluate, Budget(20, 30, 200), found=Search(**json.loads(json.dumps(vars(part)))))
-    assert rest.rewards == whole.rewards and rest.attempts == whole.attempts
-
-
 def test_progress(tmp_path):
     path = tmp_path / "p.json"
     p = Progress(path, ["a", "b", "c"], {"x": 1})
