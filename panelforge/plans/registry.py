@@ -1,7 +1,7 @@
 """All queries of the engine by name, and the SQL that gives the same rows."""
 
 from . import queries as q
-from . import research, research_sql
+from . import evidence, evidence_sql, research, research_sql
 from .sql import ORACLES as _ENGINE
 
 _NAMED = (
@@ -21,5 +21,5 @@ QUERIES = {n: getattr(q, n) for n in _NAMED} | {
     "formula_zscore20": q._formula("ZSCORE20(RET1)"),
     "formula_nested": q._formula("ZSCORE20(DELTA5(RET5))"),
 }
-QUERIES |= research.QUERIES
-ORACLES = _ENGINE | research_sql.ORACLES
+QUERIES |= research.QUERIES | evidence.QUERIES
+ORACLES = _ENGINE | research_sql.ORACLES | evidence_sql.ORACLES
