@@ -36,11 +36,12 @@ def _query(name: str):
 
 
 def backtest(args) -> int:
+    from panelforge.lineage import checkpointed
     from panelforge.operators import stats
     from panelforge.plans.queries import backtest_accounts
     from panelforge.sources.sinks import backtest_outputs
 
-    out = backtest_accounts(_session(), args.data, {"formula": args.formula}, args.bps)
+    out = checkpointed(backtest_accounts(_session(), args.data, {"formula": args.formula}, args.bps))  # read by every output
     metrics = stats.account_metrics(out.filter("kind = 'account'"), out.filter("kind = 'trade'"))
     if args.out:
         backtest_outputs(out, metrics, args.out)
@@ -51,11 +52,12 @@ def backtest(args) -> int:
 
 def _rewards(spark, data: str, bps: float):
     """Rewards of formulas: one plan a batch."""
+    from panelforge.lineage import checkpointed
     from panelforge.operators import research, stats
     from panelforge.plans.queries import backtest_accounts
 
     def evaluate(formulas):
-        out = backtest_accounts(spark, data, {f.text(): f.text() for f in formulas}, bps)
+        out = checkpointed(backtest_accounts(spark, data, {f.text(): f.text() for f in formulas}, bps))
         m = stats.account_metrics(out.filter("kind = 'account'"), out.filter("kind = 'trade'"))
         got = {r["formula"]: r for r in research.reward_verdict(m, 1).collect()}  # one row a formula
         return [got[f.text()]["reward"] if f.text() in got else "no_targets" for f in formulas]
@@ -63,12 +65,9 @@ def _rewards(spark, data: str, bps: float):
     return evaluate
 
 
-#: How fast the generators learn: one does, the other is its baseline.
-RATES = {"policy": 0.5, "uniform": 0.0}
-
-
 def mine(args) -> int:
     """Search; with a checkpoint under ``--out`` that the same settings resume."""
+    from panelforge.search.benchmark import RATES
     from panelforge.search.learned import Budget, Search, search
     from panelforge.search.progress import COMPLETED, RUNNING, Progress
 
@@ -98,12 +97,83 @@ def report(args) -> int:
 
 
 def gate(args) -> int:
+    """Whether the settings may run; with ``--out`` then a search until so many formulas have a reward."""
     from panelforge.operators.gates import research_run
     from panelforge.sources.files import plain_yaml
 
-    bad = research_run(plain_yaml(Path(args.config).read_text()))
+    bad = research_run(plain_yaml(Path(args.config).read_text())) if args.config else []
     _show([{"reason": b} for b in bad])
-    return 1 if bad else 0
+    if bad or not args.out:
+        return 1 if bad else 0
+    from panelforge.search import benchmark
+    from panelforge.search.learned import Budget
+
+    evaluate = benchmark.screen_rewards(_session(), args.data, f"{args.out}/factors")
+    found = benchmark.completed_budget(f"{args.out}/progress.json", evaluate, {"seed": args.seed, "rate": benchmark.RATES[args.generator]}, Budget(args.completed, 10 * args.completed, args.attempts), args.batch)
+    _show([found])
+    return 0 if found["passed"] else 1
+
+
+def search_benchmark(args) -> int:
+    """Both generators under ``--seeds`` seeds with one budget of attempts."""
+    from panelforge.search import benchmark
+    from panelforge.search.learned import Budget
+    from panelforge.sources.sinks import atomic_text, markdown
+
+    spark = _session()
+    folder = args.out or _scratch(spark)
+    summary, winners = benchmark.compared(spark, benchmark.screen_rewards(spark, args.data, f"{folder}/factors"), Budget(args.attempts, args.attempts, args.attempts), list(range(args.seeds)), args.batch)
+    rows = [[r.asDict() for r in x.collect()] for x in (summary, winners)]  # a row a search
+    if args.out:
+        atomic_text(f"{args.out}/report.md", markdown("Searches", rows[0]) + markdown("By seed", rows[1]))
+    _show(rows[0] + rows[1])
+    return 0
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    from panelforge.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/cli-{uuid.uuid4().hex}"
+
+
+def factor_research(args) -> int:
+    """The staged run in ``--out``: one stage and those before it, all that is left, its state or its report."""
+    from panelforge.plans.factor_run import Config, FactorRun, record
+    from panelforge.sources.files import plain_yaml
+    from panelforge.sources.sinks import atomic_text, markdown
+
+    config = Config(**plain_yaml(Path(args.config).read_text())) if args.config else None
+    run = FactorRun(_session(), args.out or _scratch(_session()), args.data, config)
+    if args.action == "resume" and not run.newest():
+        _show([{"reason": "nothing_to_resume"}])
+        return 1
+    if args.action == "status":
+        _show(run.status())
+    elif args.action == "report":
+        rows = [r.asDict() for r in record(run).orderBy("grade", "formula_hash").collect()]  # a budget's worth
+        atomic_text(f"{args.out}/report.md", markdown("Factor research", rows, [f"{len(rows)} formulas."]))
+    elif args.action == "prepare":
+        _show([vars(run.config) | {"run_id": run.run_id}])
+    else:
+        _show([run.run({"backtest": "test", "robustness": "grade"}.get(args.action, args.action) if args.action not in ("run", "resume") else None)])
+    return 0
+
+
+def forward(args) -> int:
+    """Take what is new in the folder of events (protocol, event_id, kind, trade_date, ts) into the log under ``--out``."""
+    from panelforge.sources.versions import Table
+    from panelforge.streaming import forward_run
+
+    spark = _session()
+    log = Table(spark, f"{args.out}/log", ["event_id"], forward_run.LOG)
+    before = log.newest()
+    events = spark.readStream.schema("protocol string, event_id string, kind string, trade_date string, ts timestamp").parquet(args.data)
+    forward_run.run(events, log, f"{args.out}/mark", args.late).awaitTermination()
+    known = log.read(before).select("event_id")
+    _show(log.read().join(known, "event_id", "left_anti").orderBy("protocol", "trade_date", "event_id").limit(args.rows).collect())
+    return 0
 
 
 def verify(args) -> int:
@@ -126,20 +196,22 @@ def diagnose(args) -> int:
 
 
 COMMANDS = {
-    "smoke-test": _query("topn_by_date"), "backtest": backtest, "mine": mine, "resume": mine, "resume-training": mine, "status": status, "report": report, "search-benchmark": _query("search_summary"), "completed-budget-gate": gate,
-    "diagnose-daily-bars": diagnose, "frozen-candidate-validation": verify, "forward-paper": _query("due_events"), "factor-research-v2": _query("research_pipeline"), "watchlist": _query("observation_watchlist"), "regime": _query("regime_metrics"),
+    "smoke-test": _query("topn_by_date"), "backtest": backtest, "mine": mine, "resume": mine, "resume-training": mine, "status": status, "report": report, "search-benchmark": search_benchmark, "completed-budget-gate": gate,
+    "diagnose-daily-bars": diagnose, "frozen-candidate-validation": verify, "forward-paper": forward, "factor-research-v2": factor_research, "watchlist": _query("observation_watchlist"), "regime": _query("regime_metrics"),
 }
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="panelforge")
     p.add_argument("command", choices=list(COMMANDS))
+    p.add_argument("action", nargs="?", default="run", choices=["prepare", "generate", "screen", "choose", "correlate", "test", "backtest", "grade", "robustness", "report", "run", "resume", "status"])
     p.add_argument("--data", default=".")
     p.add_argument("--out")
     p.add_argument("--config")
     p.add_argument("--formula", default="NEG(RET_STD20)")
-    p.add_argument("--generator", choices=list(RATES), default="policy")
-    for name, kind, value in (("rows", int, 20), ("seed", int, 0), ("attempts", int, 16), ("batch", int, 8), ("bps", float, 20.0)):
+    p.add_argument("--generator", choices=["policy", "uniform"], default="policy")
+    p.add_argument("--late", default="2 days")
+    for name, kind, value in (("rows", int, 20), ("seed", int, 0), ("attempts", int, 16), ("batch", int, 8), ("bps", float, 20.0), ("seeds", int, 2), ("completed", int, 8)):
         p.add_argument(f"--{name}", type=kind, default=value)
     args = p.parse_args(argv)
     return COMMANDS[args.command](args)

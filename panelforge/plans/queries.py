@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import features as feat
 from panelforge.functions.formula import columns, compile_one, parse
+from panelforge.lineage import checkpointed
 from panelforge.operators import backtest, correlation, crosssec, graphs, joins, regime, rules, stats, tables
 from panelforge.sources import bars as src
 
@@ -52,8 +53,8 @@ def formula_validity(spark, sf_dir):
     return _rounded(out, ["std"], 6)
 
 
-def _scored(spark, sf_dir):
-    df = feat.compute(crosssec.forward_return(_bars(spark, sf_dir), 5), feat.NAMES)
+def _scored(spark, sf_dir, b=None):
+    df = feat.compute(crosssec.forward_return(b or _bars(spark, sf_dir), 5), feat.NAMES)
     df = _rounded(columns(df, {k: parse(t) for k, t in SCREENED.items()}), [*SCREENED, "forward_return"])
     return crosssec.long_form(df, list(SCREENED))
 
@@ -117,8 +118,8 @@ def rebalance_dates(spark, sf_dir):
     return rules.rebalance_dates(src.calendar(_bars(spark, sf_dir)), 5)
 
 
-def asof_members(spark, sf_dir):
-    b = _bars(spark, sf_dir)
+def asof_members(spark, sf_dir, b=None):
+    b = b or _bars(spark, sf_dir)
     return joins.members_on(b.select("trade_date"), src.snapshots(b)).select("trade_date", "snapshot_date", "ts_code")
 
 
@@ -134,13 +135,13 @@ def lifecycle_filter(spark, sf_dir):
 
 
 def semi_members(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return joins.keep_members(b.select("trade_date", "ts_code", "raw_close"), asof_members(spark, sf_dir), ["trade_date", "ts_code"])
+    b = checkpointed(_bars(spark, sf_dir).select("trade_date", "ts_code", "raw_close"))
+    return joins.keep_members(b, asof_members(spark, sf_dir, b), ["trade_date", "ts_code"])
 
 
 def anti_members(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return joins.without(b.select("trade_date", "ts_code", "raw_close"), asof_members(spark, sf_dir), ["trade_date", "ts_code"])
+    b = checkpointed(_bars(spark, sf_dir).select("trade_date", "ts_code", "raw_close"))
+    return joins.without(b, asof_members(spark, sf_dir, b), ["trade_date", "ts_code"])
 
 
 def limit_left_join(spark, sf_dir):
@@ -148,8 +149,8 @@ def limit_left_join(spark, sf_dir):
     return b.select("trade_date", "ts_code", "raw_close").join(src.limits(b).filter("limit_status = 'verified_rule'"), ["trade_date", "ts_code"], "left")
 
 
-def _market(spark, sf_dir):
-    b = _bars(spark, sf_dir)
+def _market(spark, sf_dir, b=None):
+    b = b or _bars(spark, sf_dir)
     m = b.join(src.limits(b), ["trade_date", "ts_code"])
     block = lambda side: rules.trade_block(F.lit(side), F.col("raw_open"), F.col("limit_up"), F.col("limit_down"), F.col("limit_status"), F.lit(False))  # noqa: E731  a bar excludes a tradability row
     return m.withColumns({"buy_block": block("buy"), "sell_block": block("sell")})
@@ -159,17 +160,22 @@ def tradability_case(spark, sf_dir):
     return _market(spark, sf_dir).select("trade_date", "ts_code", "buy_block", "sell_block")
 
 
-def backtest_accounts(spark, sf_dir, formulas=None, bps=20.0):
-    b = _bars(spark, sf_dir)
+def backtest_accounts(spark, sf_dir, formulas=None, bps=20.0, b=None):
+    """The account fold of each formula; with several costs each formula's at each, named ``formula@bps``."""
+    b = b or checkpointed(_bars(spark, sf_dir))  # read by the features, the market, the calendar and the members
     dates = rules.rebalance_dates(src.calendar(b), 5)
     df = columns(feat.compute(b, feat.NAMES), {k: parse(t) for k, t in (formulas or SCREENED).items()})
     long = crosssec.long_form(df.withColumn("forward_return", F.lit(None).cast("double")), list(formulas or SCREENED))
     targets = backtest.targets(long, dates, joins.members_on(b.select("trade_date"), src.snapshots(b)), src.lifecycle(b))
-    return backtest.run(targets, _market(spark, sf_dir), src.calendar(b), dates, bps=bps)
+    if isinstance(bps, (list, tuple)):
+        costs = {f"{f}@{x:g}": x for f in formulas or SCREENED for x in bps}
+        targets = targets.withColumn("bps", F.explode(F.array(*[F.lit(f"{x:g}") for x in bps]))).withColumn("formula", F.concat_ws("@", "formula", "bps")).drop("bps")
+        bps = costs
+    return backtest.run(targets, _market(spark, sf_dir, b), src.calendar(b), dates, bps=bps)
 
 
-def backtest_metrics(spark, sf_dir):
-    out = backtest_accounts(spark, sf_dir)
+def backtest_metrics(spark, sf_dir, b=None):
+    out = checkpointed(backtest_accounts(spark, sf_dir, b=b))  # accounts and trades of one fold
     return stats.account_metrics(out.filter("kind = 'account'"), out.filter("kind = 'trade'"))
 
 

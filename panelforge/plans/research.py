@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import features as feat
 from panelforge.functions.formula import columns, parse
+from panelforge.lineage import checkpointed
 from panelforge.operators import backtest, correlation, crosssec, graphs, joins, research, rules, stats, tables
 from panelforge.plans import queries as q
 from panelforge.sources import bars as src, candidates as made
@@ -162,9 +163,9 @@ def quintile_spread(spark, sf_dir):
     return q._rounded(wide, ["spread"])
 
 
-def _targets(spark, sf_dir):
+def _targets(spark, sf_dir, b=None):
     """Every week the five best names by the mean percentile, a fifth each, from the next week's first day to that after."""
-    b = _bars(spark, sf_dir)
+    b = b or _bars(spark, sf_dir)
     names = [f"f{i}" for i in range(len(COMPOSITE))]
     df = columns(feat.compute(b, feat.NAMES), {n: parse(t) for n, t in zip(names, COMPOSITE, strict=True)})
     df = df.join(F.broadcast(rules.weekly_schedule(src.calendar(b))), F.col("trade_date") == F.col("signal_date"))  # one row a week
@@ -188,7 +189,8 @@ def schedule_violations(spark, sf_dir):
 
 
 def external_windows(spark, sf_dir):
-    return backtest.external_windows(_targets(spark, sf_dir).select("plan", "window_id", "entry_date", "exit_date", "ts_code", "weight"), q._market(spark, sf_dir), src.calendar(_bars(spark, sf_dir)))
+    b = checkpointed(_bars(spark, sf_dir))
+    return backtest.external_windows(_targets(spark, sf_dir, b).select("plan", "window_id", "entry_date", "exit_date", "ts_code", "weight"), q._market(spark, sf_dir, b), src.calendar(b))
 
 
 def window_status(spark, sf_dir):
@@ -287,12 +289,9 @@ def metrics_of_accounts(spark, sf_dir):
 
 
 def cost_levels(spark, sf_dir):
-    """The account fold at three costs, one row a formula."""
-    out = None
-    for bps in (10.0, 20.0, 40.0):
-        run = q.backtest_accounts(spark, sf_dir, {"low_vol": "NEG(RET_STD20)"}, bps).withColumn("bps", F.lit(bps).cast("int"))
-        out = run if out is None else out.unionByName(run)
-    last = out.filter("kind = 'account'").groupBy("formula", "bps").agg(F.max_by("total_equity", "trade_date").alias("e"))
+    """The account fold at three costs as one plan, one row a formula."""
+    out = q.backtest_accounts(spark, sf_dir, {"low_vol": "NEG(RET_STD20)"}, (10.0, 20.0, 40.0)).filter("kind = 'account'")
+    last = out.groupBy(F.substring_index("formula", "@", 1).alias("formula"), F.substring_index("formula", "@", -1).cast("int").alias("bps")).agg(F.max_by("total_equity", "trade_date").alias("e"))
     return last.groupBy("formula").pivot("bps", [10, 20, 40]).agg(F.round(F.first("e"), 2))
 
 
@@ -309,14 +308,14 @@ def split_funnel(spark, sf_dir):
 
 def research_pipeline(spark, sf_dir):
     """Screen, order, correlation clusters, account fold, robustness and grade of the screened formulas as one plan."""
-    text = q.SCREENED
-    fast = crosssec.fast_screen(q._scored(spark, sf_dir)).withColumn("formula_text", F.create_map(*[F.lit(x) for kv in text.items() for x in kv])[F.col("formula")])
-    fast = fast.withColumn("formula_hash", F.sha2("formula_text", 256))
+    text, b = q.SCREENED, checkpointed(_bars(spark, sf_dir))
+    fast = crosssec.fast_screen(q._scored(spark, sf_dir, b)).withColumn("formula_text", F.create_map(*[F.lit(x) for kv in text.items() for x in kv])[F.col("formula")])
+    fast = checkpointed(fast.withColumn("formula_hash", F.sha2("formula_text", 256)))
     names = list(text)
-    wide = q._rounded(columns(feat.compute(_bars(spark, sf_dir), feat.NAMES), {k: parse(t) for k, t in text.items()}), names)
+    wide = q._rounded(columns(feat.compute(b, feat.NAMES), {k: parse(t) for k, t in text.items()}), names)
     clusters = graphs.greedy_clusters(q.in_order(spark, names), correlation.rank_correlations(wide, names, least=0.95), 0.95)
     members = clusters.filter("representative <> member").select(F.col("member").alias("formula"))
-    metrics = q.backtest_metrics(spark, sf_dir).withColumn("full_backtest_status", F.when(F.col("status") == "ok", "passed").otherwise("failed"))
+    metrics = q.backtest_metrics(spark, sf_dir, b).withColumn("full_backtest_status", F.when(F.col("status") == "ok", "passed").otherwise("failed"))
     chosen = research.within_budget(fast.filter("fast_screen_status = 'passed'"), 100)
     kept = chosen.join(members, "formula", "left_anti")
     tested = research.within_budget(kept.drop("place"), 50)

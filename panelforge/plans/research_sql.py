@@ -1,7 +1,7 @@
 """DuckDB SQL that gives the same rows as :mod:`panelforge.plans.research`."""
 
 from panelforge.functions.features import NAMES
-from panelforge.plans.sql import BARS, DAYS, FEATURES, LIMITS, ORACLES as ENGINE, SCORED, ST
+from panelforge.plans.sql import BARS, DAYS, FEATURES, LIMITED, ORACLES as ENGINE, SCORED, ST
 from panelforge.sources.candidates import SHAPES
 
 _LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
@@ -78,7 +78,7 @@ SELECT generator, seed, count(*) AS attempts, count(DISTINCT formula_hash) AS un
     "freeze_candidates": f"WITH {FINDS}, a AS (SELECT generator, formula_hash, max(train_reward) AS train_reward FROM finds GROUP BY 1, 2 HAVING max(train_reward) IS NOT NULL), c AS (SELECT *, CAST(row_number() OVER (PARTITION BY generator ORDER BY {_BEST}) AS INT) AS place FROM a QUALIFY place <= 20) SELECT *, count(*) OVER (PARTITION BY formula_hash) > 1 AS overlap FROM c",
     "merge_first_wins": f"WITH {FINDS} SELECT formula_hash, generator, seed, discovery_order FROM finds QUALIFY row_number() OVER (PARTITION BY formula_hash ORDER BY generator, discovery_order) = 1",
     "labelled_formulas": f"WITH {FINDS} SELECT discovery_order, formula_text, replace(replace(replace(replace(formula_text, 'RET1', '[r1]'), 'RET120', '[r120]'), 'NEG', 'minus'), 'VOL_RATIO20', '[volume]') AS label FROM finds",
-    "scan_window": f"WITH {BARS}, {LIMITS} SELECT trade_date, ts_code, raw_open, raw_close, pre_close, limit_up, limit_down, limit_status FROM bars JOIN lim USING (trade_date, ts_code) WHERE trade_date BETWEEN '19950101' AND '19961231'",
+    "scan_window": f"WITH {BARS}, {LIMITED} SELECT trade_date, ts_code, raw_open, raw_close, pre_close, limit_up, limit_down, limit_status FROM limited WHERE trade_date BETWEEN '19950101' AND '19961231'",
     "symbols_lookup": f"WITH {BARS}, names AS ({{watch}}) SELECT trade_date, ts_code, raw_close FROM bars WHERE ts_code IN (SELECT ts_code FROM names)",
     "interval_semi": f"WITH {BARS}, {ST} SELECT trade_date, ts_code FROM bars b WHERE EXISTS (SELECT 1 FROM st WHERE st.ts_code = b.ts_code AND b.trade_date BETWEEN start_date AND end_date)",
     "interval_overlap": f"WITH {BARS}, {ST} SELECT ts_code, start_date, end_date, CAST(v AS INT) AS historical_is_st FROM st WHERE start_date <= '19951231' AND end_date >= '19950701'",

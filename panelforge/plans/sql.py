@@ -39,7 +39,10 @@ ST = """st AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS ts_code, CAST(
   UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), CAST(1993 + s_suppkey % 5 AS VARCHAR) || '0401', CAST(1993 + s_suppkey % 5 AS VARCHAR) || '0930', 0 FROM supplier WHERE s_acctbal < 0 AND s_suppkey % 2 = 0),
 sd AS (SELECT b.trade_date, b.ts_code, arg_max(v, start_date) AS is_st FROM bars b JOIN st ON st.ts_code = b.ts_code AND b.trade_date BETWEEN st.start_date AND st.end_date GROUP BY 1, 2)"""
 LIMITS = "lim AS (SELECT trade_date, ts_code, ((CAST(round(pre_close * 10000) AS BIGINT) * 110 + 50) // 100) / 10000.0 AS limit_up, ((CAST(round(pre_close * 10000) AS BIGINT) * 90 + 50) // 100) / 10000.0 AS limit_down, CASE WHEN pre_close IS NULL THEN 'missing_input' WHEN CAST(ts_code AS INT) % 11 = 0 THEN 'special_case_unknown' ELSE 'verified_rule' END AS limit_status FROM bars)"
+#: Bars with their limits as columns of the same row: each row has exactly one, so nothing is joined.
+LIMITED = LIMITS.replace("lim AS (SELECT trade_date, ts_code,", "limited AS MATERIALIZED (SELECT *,")
 MARKET = f"{LIMITS}, mkt AS (SELECT b.trade_date, b.ts_code, limit_status, CASE WHEN raw_open IS NULL OR raw_open <= 0 THEN 'missing_or_invalid_raw_open' WHEN limit_status <> 'verified_rule' THEN limit_status WHEN raw_open >= limit_up - 0.005 THEN 'limit_up_open' END AS buy_block, CASE WHEN raw_open IS NULL OR raw_open <= 0 THEN 'missing_or_invalid_raw_open' WHEN limit_status <> 'verified_rule' THEN limit_status WHEN raw_open <= limit_down + 0.005 THEN 'limit_down_open' END AS sell_block FROM bars b JOIN lim USING (trade_date, ts_code))"
+_BLOCKS = MARKET[MARKET.index("CASE WHEN raw_open IS NULL"):MARKET.index(" FROM bars b JOIN lim")]
 
 
 def rank_of(x, *by):
@@ -138,8 +141,8 @@ ORACLES = {
     "lifecycle_filter": f"WITH {BARS}, life AS (SELECT ts_code, min(trade_date) AS list_date, CASE WHEN CAST(ts_code AS INT) % 7 = 0 THEN max(trade_date) END AS delist_date FROM bars GROUP BY ts_code) SELECT trade_date, count(*) AS n_active FROM bars JOIN life USING (ts_code) WHERE list_date <= trade_date AND (delist_date IS NULL OR delist_date >= trade_date) GROUP BY trade_date",
     "semi_members": f"WITH {BARS}, {MEMBERS} SELECT trade_date, ts_code, raw_close FROM bars WHERE EXISTS (SELECT 1 FROM mem WHERE mem.trade_date = bars.trade_date AND mem.ts_code = bars.ts_code)",
     "anti_members": f"WITH {BARS}, {MEMBERS} SELECT trade_date, ts_code, raw_close FROM bars WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.trade_date = bars.trade_date AND mem.ts_code = bars.ts_code)",
-    "limit_left_join": f"WITH {BARS}, {LIMITS} SELECT trade_date, ts_code, raw_close, limit_up, limit_down, limit_status FROM bars LEFT JOIN (SELECT * FROM lim WHERE limit_status = 'verified_rule') USING (trade_date, ts_code)",
-    "tradability_case": f"WITH {BARS}, {MARKET} SELECT trade_date, ts_code, buy_block, sell_block FROM mkt",
+    "limit_left_join": f"WITH {BARS}, {LIMITED} SELECT trade_date, ts_code, raw_close, CASE WHEN limit_status = 'verified_rule' THEN limit_up END AS limit_up, CASE WHEN limit_status = 'verified_rule' THEN limit_down END AS limit_down, CASE WHEN limit_status = 'verified_rule' THEN limit_status END AS limit_status FROM limited",
+    "tradability_case": f"WITH {BARS}, {LIMITED} SELECT trade_date, ts_code, {_BLOCKS} FROM limited",
     "monthly_returns": f"WITH {_DAILY} SELECT index_name, substr(trade_date, 1, 6) AS month, round(product(1 + r) - 1, 6) AS month_return FROM dr GROUP BY ALL",
     "drawdown": f"WITH {_DAILY}, q AS (SELECT trade_date, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY trade_date)) AS equity FROM dr) SELECT trade_date, round(equity, 5) AS equity, round(equity / max(equity) OVER (ORDER BY trade_date) - 1, 5) + 0 AS drawdown FROM q",
     "regime_signal": f"WITH {BARS}, d AS (SELECT trade_date, round(avg(raw_close), 6) AS level FROM bars GROUP BY 1), a AS (SELECT trade_date, level > round(avg(level) OVER (ORDER BY trade_date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 6) AS above FROM d) SELECT trade_date, coalesce(lag(above) OVER (ORDER BY trade_date), false) AS regime_on FROM a",

@@ -20,6 +20,7 @@ from panelforge.sources.versions import Versions
 
 #: What a formula can be computed from.
 INPUTS = ("close", "volume", "amount")
+_VALUES = "trade_date string, ts_code string, factor_value double, formula_hash string"
 
 
 def named(f: Formula) -> str:
@@ -92,6 +93,17 @@ class FactorStore(Versions):
             out = out.unionByName(self.spark.read.schema(schema).parquet(path).filter(F.col("formula_hash").isin(some)))
         return out
 
+    def _computed(self, bars: DataFrame, made: dict[str, Formula], given: dict[str, Formula], kept: dict[str, dict], carry: tuple[str, ...] = ()) -> DataFrame:
+        """Values of the formulas ``made``, long, in one plan; ``given`` are kept parts of theirs, ``carry`` columns of ``bars`` that go along."""
+        needed = sorted({n for f in made.values() for n in f.features()})
+        panel = features.compute(bars.select(*KEY, *INPUTS, *carry), needed).drop(*INPUTS)
+        for h in given:
+            own = self._read(kept, [h], _VALUES).select(*KEY, F.col("factor_value").alias(f"p_{h}"))
+            panel = panel.join(own, KEY, "left")
+        wide = columns(panel, {f"f_{h}": f for h, f in made.items()}, {p.tree(): f"p_{h}" for h, p in given.items()})
+        pairs = F.array(*[F.struct(F.lit(h).alias("formula_hash"), F.col(f"f_{h}").alias("factor_value")) for h in made])
+        return wide.select(*KEY, *carry, F.explode(pairs).alias("x")).select(*KEY, *carry, "x.factor_value", "x.formula_hash")
+
     def values(self, bars: DataFrame, formulas: dict[str, Formula], panel: str | None = None, parts: bool = True) -> DataFrame:
         """``formula``, ``trade_date``, ``ts_code``, ``factor_value``: read where kept, else computed in one plan and kept.
 
@@ -106,28 +118,23 @@ class FactorStore(Versions):
         made = new | {h: p for h, p in inner.items() if h not in kept}
         self.found = sorted(f.text() for h, f in wanted.items() if h in kept) + sorted(p.text() for p in given.values())
         self.computed = sorted(f.text() for f in made.values())
-        schema = "trade_date string, ts_code string, factor_value double, formula_hash string"
         if made:
-            needed = sorted({n for f in made.values() for n in f.features()})
-            panel_df = features.compute(bars.select(*KEY, *INPUTS), needed).drop(*INPUTS)
-            for h, p in given.items():
-                own = self._read(kept, [h], schema).select(*KEY, F.col("factor_value").alias(f"p_{h}"))
-                panel_df = panel_df.join(own, KEY, "left")
-            wide = columns(panel_df, {f"f_{h}": f for h, f in made.items()}, {p.tree(): f"p_{h}" for h, p in given.items()})
-            pairs = F.array(*[F.struct(F.lit(h).alias("formula_hash"), F.col(f"f_{h}").alias("factor_value")) for h in made])
-            long = wide.select(*KEY, F.explode(pairs).alias("x")).select(*KEY, "x.factor_value", "x.formula_hash")
+            long = self._computed(bars, made, given, kept)
             self._keep("values", panel, list(made), long.repartition("formula_hash", F.col("ts_code")))
             kept = self._kept("values", panel)
         labels = self.spark.createDataFrame([(k, named(f)) for k, f in formulas.items()], "formula string, formula_hash string")
-        out = self._read(kept, list(wanted), schema).join(F.broadcast(labels), "formula_hash")  # one row a formula
+        out = self._read(kept, list(wanted), _VALUES).join(F.broadcast(labels), "formula_hash")  # one row a formula
         return out.select("formula", *KEY, "factor_value")
 
-    def results(self, bars: DataFrame, formulas: dict[str, Formula], settings: dict, evaluate: Callable[[DataFrame], DataFrame], panel: str | None = None) -> DataFrame:
+    def results(
+        self, bars: DataFrame, formulas: dict[str, Formula], settings: dict, evaluate: Callable[[DataFrame], DataFrame], panel: str | None = None, carry: tuple[str, ...] | None = None,
+    ) -> DataFrame:
         """What ``evaluate`` says about each formula, with ``from_store``: whether it was known before.
 
         ``evaluate`` takes the values of the formulas that aren't known and returns rows with their
         ``formula``; it is called once for all of them, and not at all if all are known. ``settings``
-        are what its answer depends on besides.
+        are what its answer depends on besides. With ``carry`` the values themselves aren't kept, and
+        these columns of ``bars`` go along with them.
         """
         panel = panel or self.panel_hash(bars)
         own = f"{panel}/{stable_hash(settings)}"
@@ -138,7 +145,12 @@ class FactorStore(Versions):
         known = sorted(h for h in first if h in kept)
         if new:
             labels = self.spark.createDataFrame([(k, hashes[k]) for k in new], "formula string, formula_hash string")
-            rows = evaluate(self.values(bars, new, panel)).join(F.broadcast(labels), "formula").drop("formula")  # one row a formula
+            if carry is None:
+                values = self.values(bars, new, panel)
+            else:
+                self.computed = sorted(f.canonical().text() for f in new.values())
+                values = self._computed(bars, {hashes[k]: f.canonical() for k, f in new.items()}, {}, {}, carry).join(F.broadcast(labels), "formula_hash").drop("formula_hash")
+            rows = evaluate(values).join(F.broadcast(labels), "formula").drop("formula")  # one row a formula
             self._keep("results", own, [hashes[k] for k in new], rows)
             kept = self._kept("results", own)
         else:

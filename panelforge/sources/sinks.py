@@ -22,26 +22,32 @@ def write(df: DataFrame, path: str, kind: str = "parquet", most_bytes: int | Non
     """Write a table beside ``path`` and rename it there when it is whole; returns its bytes.
 
     A table over ``most_bytes`` is deleted again and an error raised; what was at ``path`` stays
-    until the new table is whole.
+    until the new table is whole, and comes back if it can't be replaced. For readers that must
+    never meet a moment without a table, or several tables, see :class:`panelforge.sources.versions.Run`.
     """
     if kind not in FORMATS:
         raise ValueError(f"unknown format: {kind}")
     spark = df.sparkSession
     stage, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if kind == "csv" else df.write
-    writer.format(kind).save(stage)
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = lambda p: hadoop.Path(p)
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(at(stage)).getLength()
-    if most_bytes is not None and size > most_bytes:
+    try:
+        writer.format(kind).save(stage)
+        size = fs.getContentSummary(at(stage)).getLength()
+        if most_bytes is not None and size > most_bytes:
+            raise ValueError(f"{path}: {size} bytes, more than {most_bytes}")
+        there = fs.exists(at(path))
+        if there and not fs.rename(at(path), at(old)):
+            raise OSError(f"can't rename {path}")
+        if not fs.rename(at(stage), at(path)):
+            if there:
+                fs.rename(at(old), at(path))
+            raise OSError(f"can't rename {stage}")
+    except BaseException:
         fs.delete(at(stage), True)
-        raise ValueError(f"{path}: {size} bytes, more than {most_bytes}")
-    there = fs.exists(at(path))
-    if there:
-        fs.rename(at(path), at(old))
-    if not fs.rename(at(stage), at(path)):
-        raise OSError(f"can't rename {stage}")
+        raise
     if there:
         fs.delete(at(old), True)
     return size

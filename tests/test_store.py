@@ -237,3 +237,31 @@ def test_sqlite_filters_reach_the_database(spark, tmp_path):
         sqlite.read(spark, path, "nowhere").count()
     with pytest.raises(sqlite3.OperationalError, match="readonly"):
         sqlite._open(path).execute("delete from p")
+
+
+def test_generators_compared(spark):
+    from panelforge.search import benchmark
+
+    asked = []
+    evaluate = lambda fs: asked.append(len(fs)) or ["bad" if "DIV" in f.tokens else float("RET5" in f.tokens) + len(f.tokens) / 100 for f in fs]
+    budget = learned.Budget(40, 40, 60)
+    summary, winners = benchmark.compared(spark, evaluate, budget, [0, 1, 2])
+    rows_ = {(r["generator"], r["seed"]): r for r in summary.collect()}
+    assert rows_.keys() == {(g, s) for g in ("policy", "uniform") for s in range(3)} and all(r["valid"] <= 40 and r["attempts"] == r["unique_formulas"] <= 60 for r in rows_.values())
+    for r in winners.collect():
+        a, b = rows_["policy", r["seed"]]["best"], rows_["uniform", r["seed"]]["best"]
+        assert r["winner"] == ("policy" if a > b else "uniform" if b > a else "tie")
+
+
+def test_completed_budget(tmp_path):
+    from panelforge.search import benchmark
+
+    evaluate = lambda fs: ["bad" if "DIV" in f.tokens else float(len(f.tokens)) for f in fs]
+    config, path = {"seed": 3, "rate": 0.5}, tmp_path / "p.json"
+    short = benchmark.completed_budget(path, evaluate, config, learned.Budget(12, 100, 8))
+    assert not short["passed"] and short["stopped_by"] == "attempts" and short["attempts"] == 8
+    rest = benchmark.completed_budget(path, evaluate, config, learned.Budget(12, 100, 400))
+    whole = benchmark.completed_budget(tmp_path / "q.json", evaluate, config, learned.Budget(12, 100, 400))
+    assert rest["passed"] and rest["resumed_from"] == short["completed"] and {**rest, "resumed_from": 0} == whole
+    with pytest.raises(ValueError, match="another configuration"):
+        benchmark.completed_budget(path, evaluate, config | {"seed": 4}, learned.Budget(12, 100, 400))
