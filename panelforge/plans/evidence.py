@@ -201,7 +201,50 @@ def forward_log(spark, sf_dir):
     return log.read()
 
 
+def seed_gate(spark, sf_dir):
+    """Parts as seed records of a second round: each under every rule that it breaks."""
+    from panelforge.operators import second_round
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 11 == 0, "requires_new_data").when(size % 13 == 0, "partial_source_candidate").when(size % 17 != 0, "computable_with_current_data")
+    seeds = src.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part_"), k.cast("string")).alias("seed_factor_id"), kind.alias("computability_class"), F.when(k % 17 != 0, F.col("p_brand")).alias("source_title"), F.when(k % 34 == 0, "").when(k % 5 != 0, F.col("p_name")).alias("source_url_or_path"),
+        F.when(k % 19 != 0, size % 7 != 0).alias("source_verified_by_firecrawl"), (size == 50).alias("requires_new_operator"), (k % 23 == 0).alias("requires_new_external_data"), (F.floor("p_retailprice") % 5 != 0).alias("suggested_for_second_batch_minimal_experiment"))
+    return second_round.breaches(seeds, second_round.seed_rules(), "seed_factor_id")
+
+
+def run_equivalence(spark, sf_dir):
+    """Two runs table by table: equal but for rounding errors, with moved cash, with lost rows, with another column, with a table that only one has."""
+    from panelforge.operators import equivalence
+
+    c = src.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("cash"), "c_mktsegment")
+    o = src.table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_totalprice").alias("notional"))
+    n = src.table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    moved = c.withColumn("cash", F.col("cash") + F.when(F.col("c_custkey") % 3 == 0, 5e-9).otherwise(0.0) + F.when(F.col("c_custkey") % 100 == 0, 1.0).otherwise(0.0))
+    left = {"account": c, "noise": c.select("cash"), "orders": o, "names": n, "regions": n}
+    right = {"account": moved, "noise": c.select((F.col("cash") - 3e-9).alias("cash")), "orders": o.filter("o_custkey % 10 <> 3"), "names": n.withColumnRenamed("n_name", "name")}
+    return equivalence.runs_compared(left, right).select("section", "equal", "difference_count")
+
+
+SEGMENTS = {"train": ("19920101", "19941231"), "validation": ("19950101", "19971231"), "blind": ("19980101", "20051231")}
+
+
+def frozen_validation(spark, sf_dir):
+    """Formulas chosen on one segment, looked at on two later ones."""
+    from panelforge.plans import validation
+
+    return validation.frozen_on(q._bars(spark, sf_dir), {k: parse(t) for k, t in q.SCREENED.items()}, SEGMENTS)
+
+
+def rewards_described(spark, sf_dir):
+    from panelforge.plans import validation
+    from panelforge.sources import candidates
+
+    out = validation.rewards_described(candidates.finds(spark, sf_dir))
+    return q._rounded(out, ["mean", "std", "p10", "p50", "p90"], 6)
+
+
 NAMES = (
-    "feature_clusters screen_verdicts finite_validity factor_store_screen registry_versions run_outputs formula_draws exact_quantiles interval_pairs st_timeline unmatched_rows panel_rules broken_schedule forward_log"
+    "seed_gate run_equivalence frozen_validation rewards_described feature_clusters screen_verdicts finite_validity factor_store_screen registry_versions run_outputs formula_draws exact_quantiles interval_pairs st_timeline unmatched_rows panel_rules broken_schedule forward_log"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -2,7 +2,7 @@
 
 from panelforge.functions.features import NAMES
 from panelforge.functions.formula_space import BY_ARITY
-from panelforge.plans.research_sql import _SCHEDULE
+from panelforge.plans.research_sql import _SCHEDULE, FINDS
 from panelforge.plans.sql import BARS, DAYS, FEATURES, ORACLES as ENGINE, SCORED, ST, rank_of
 
 _LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
@@ -60,7 +60,22 @@ _RULES = (
     ("no_date", "keys", "try_strptime(trade_date, '%Y%m%d') IS NULL"), ("code_not_six_digits", "keys", "NOT regexp_full_match(ts_code, '[0-9]{6}')"))
 _PLACE = "ts_code || ':' || trade_date"
 
+_SEEDS = """sd AS (SELECT 'part_' || CAST(p_partkey AS VARCHAR) AS record, CASE WHEN p_size % 11 = 0 THEN 'requires_new_data' WHEN p_size % 13 = 0 THEN 'partial_source_candidate' END AS kind, CASE WHEN p_partkey % 17 <> 0 THEN p_brand END AS title,
+  CASE WHEN p_partkey % 34 = 0 THEN '' WHEN p_partkey % 5 <> 0 THEN p_name END AS url, p_partkey % 19 <> 0 AND p_size % 7 <> 0 AS verified, p_size = 50 AS operator, p_partkey % 23 = 0 AS data, floor(p_retailprice) % 5 <> 0 AS suggested FROM part)"""
+_SEED_RULES = (
+    ("seed_factor_requires_new_data", "kind = 'requires_new_data'"), ("seed_factor_source_not_verified", "NOT verified"), ("seed_factor_not_suggested_for_second_batch", "NOT suggested"), ("seed_factor_requires_new_external_data", "data"),
+    ("seed_factor_unverified_computability", "kind = 'partial_source_candidate'"), ("seed_factor_no_source", "coalesce(title, '') = '' AND coalesce(url, '') = ''"), ("seed_factor_requires_external_data", "data"), ("seed_factor_requires_new_operator", "operator"))
+_SEGMENT = "CASE WHEN trade_date BETWEEN '19920101' AND '19941231' THEN 'train' WHEN trade_date BETWEEN '19950101' AND '19971231' THEN 'validation' WHEN trade_date BETWEEN '19980101' AND '20051231' THEN 'blind' END"
+
 ORACLES = {
+    "seed_gate": f"WITH {_SEEDS} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, record FROM sd WHERE {c}" for n, c in _SEED_RULES),
+    "run_equivalence": """SELECT 'account' AS section, count(*) = 0 AS equal, 2 * count(*) AS difference_count FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT 'noise', true, 0 UNION ALL SELECT 'orders', count(*) = 0, count(*) FROM orders WHERE o_custkey % 10 = 3
+UNION ALL SELECT 'names', false, 1 UNION ALL SELECT 'regions', false, count(*) FROM nation""",
+    "frozen_validation": f"""WITH {SCORED}, w AS (SELECT formula, round(avg(ic) FILTER (g = 'train'), 6) AS train, round(avg(ic) FILTER (g = 'validation'), 6) AS validation, round(avg(ic) FILTER (g = 'blind'), 6) AS blind FROM (SELECT *, {_SEGMENT} AS g FROM days) GROUP BY formula),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY abs(coalesce(train, 0)) DESC, formula) AS INT) AS place, CAST(row_number() OVER (ORDER BY abs(coalesce(blind, 0)) DESC, formula) AS INT) AS place_after FROM w)
+SELECT *, round(abs(coalesce(train, 0)) - abs(coalesce(blind, 0)), 6) + 0 AS decay, coalesce(sign(train) = sign(blind), false) AS sign_held, round(1 - 6 * sum((place - place_after) ** 2) OVER () / (count(*) OVER () * (count(*) OVER () * count(*) OVER () - 1)), 6) AS rank_agreement FROM p""",
+    "rewards_described": f"WITH {FINDS} SELECT count(*) AS count, count(train_reward) AS finite_count, round(avg(train_reward), 6) AS mean, round(stddev_pop(train_reward), 6) AS std, min(train_reward) AS min, max(train_reward) AS max, count(*) FILTER (train_reward > 0) AS positive, count(*) FILTER (train_reward < 0) AS negative, count(*) FILTER (train_reward = 0) AS zero, "
+    "round(quantile_cont(train_reward, 0.1), 6) AS p10, round(quantile_cont(train_reward, 0.5), 6) AS p50, round(quantile_cont(train_reward, 0.9), 6) AS p90 FROM finds",
     "feature_clusters": _CLUSTERS,
     "screen_verdicts": _VERDICTS,
     "finite_validity": f"WITH {FEATURES}, a AS (SELECT round(RET5, 8) AS x FROM feat), w AS (SELECT x > 0.05 OR x < -0.05 AS odd, CASE WHEN x <= 0.05 AND x >= -0.05 THEN x END AS x FROM a) SELECT count(*) AS total_rows, count(x) AS valid_rows, count(*) FILTER (odd) AS inf_rows, count(DISTINCT x) AS unique_values, round(stddev_pop(x), 6) AS std, 'inf_values' AS failure_reason FROM w",
