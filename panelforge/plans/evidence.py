@@ -226,6 +226,22 @@ def run_equivalence(spark, sf_dir):
     return equivalence.runs_compared(left, right).select("section", "equal", "difference_count")
 
 
+def asof_events(spark, sf_dir):
+    """Each purchase with its user's last view or click at most six hours before."""
+    from panelforge.operators import joins
+
+    e = src.table(spark, sf_dir, "events")
+    bought = e.filter("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    seen = e.filter("event_type in ('view', 'click')").select("user_id", F.col("event_id").alias("seen_id"), F.col("ts").alias("seen_ts"), F.col("event_type").alias("seen_type"))
+    return joins.as_of_rows(bought, seen, ["user_id"], "ts", "seen_ts", 6 * 3600.0)
+
+
+def scan_basic(spark, sf_dir):
+    """A range of bars with the turnover rate of the basic table, where it has one."""
+    b = src.scan_bars(q._bars(spark, sf_dir), "19950101", "19951231", None, ["raw_close", "volume"])
+    return b.join(src.basic(spark, sf_dir, "19950101", "19951231"), KEY, "left")
+
+
 SEGMENTS = {"train": ("19920101", "19941231"), "validation": ("19950101", "19971231"), "blind": ("19980101", "20051231")}
 
 
@@ -245,6 +261,6 @@ def rewards_described(spark, sf_dir):
 
 
 NAMES = (
-    "seed_gate run_equivalence frozen_validation rewards_described feature_clusters screen_verdicts finite_validity factor_store_screen registry_versions run_outputs formula_draws exact_quantiles interval_pairs st_timeline unmatched_rows panel_rules broken_schedule forward_log"
+    "asof_events scan_basic seed_gate run_equivalence frozen_validation rewards_described feature_clusters screen_verdicts finite_validity factor_store_screen registry_versions run_outputs formula_draws exact_quantiles interval_pairs st_timeline unmatched_rows panel_rules broken_schedule forward_log"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -68,6 +68,10 @@ _SEED_RULES = (
 _SEGMENT = "CASE WHEN trade_date BETWEEN '19920101' AND '19941231' THEN 'train' WHEN trade_date BETWEEN '19950101' AND '19971231' THEN 'validation' WHEN trade_date BETWEEN '19980101' AND '20051231' THEN 'blind' END"
 
 ORACLES = {
+    "asof_events": """WITH b AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id, event_id AS seen_id, ts AS seen_ts, event_type AS seen_type FROM events WHERE event_type IN ('view', 'click')),
+j AS (SELECT b.*, s.seen_id, s.seen_ts, s.seen_type, b.ts - s.seen_ts <= INTERVAL 6 HOUR AS near FROM b ASOF LEFT JOIN s ON b.user_id = s.user_id AND b.ts >= s.seen_ts)
+SELECT user_id, event_id, ts, CASE WHEN near THEN seen_id END AS seen_id, CASE WHEN near THEN seen_ts END AS seen_ts, CASE WHEN near THEN seen_type END AS seen_type FROM j""",
+    "scan_basic": f"WITH {BARS}, d AS (SELECT strftime(l_shipdate, '%Y%m%d') AS trade_date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ts_code, sum(l_quantity) / 1000 AS turnover_rate FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2 HAVING max(l_quantity) >= 10) SELECT trade_date, ts_code, raw_close, volume, turnover_rate FROM bars LEFT JOIN d USING (trade_date, ts_code) WHERE trade_date BETWEEN '19950101' AND '19951231'",
     "seed_gate": f"WITH {_SEEDS} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, record FROM sd WHERE {c}" for n, c in _SEED_RULES),
     "run_equivalence": """SELECT 'account' AS section, count(*) = 0 AS equal, 2 * count(*) AS difference_count FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT 'noise', true, 0 UNION ALL SELECT 'orders', count(*) = 0, count(*) FROM orders WHERE o_custkey % 10 = 3
 UNION ALL SELECT 'names', false, 1 UNION ALL SELECT 'regions', false, count(*) FROM nation""",

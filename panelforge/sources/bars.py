@@ -54,6 +54,17 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.select("trade_date").distinct()
 
 
+def basic(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
+    """The daily basics: each code's turnover rate of a day, in per cent; days whose orders were all small have none.
+
+    Dates limit the lines that are read.
+    """
+    day = lambda d: F.to_date(F.lit(d), "yyyyMMdd").cast("timestamp_ntz")
+    line = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") > 0) & (F.col("l_shipdate") >= day(start)) & (F.col("l_shipdate") < day(end) + F.expr("interval 1 day")))
+    out = line.groupBy(F.date_format("l_shipdate", "yyyyMMdd").alias("trade_date"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ts_code")).agg(F.sum("l_quantity").alias("q"), F.max("l_quantity").alias("most"))
+    return out.filter("most >= 10").select(*KEY, (F.col("q") / 1000).alias("turnover_rate"))
+
+
 def snapshots(bars: DataFrame) -> DataFrame:
     """Members at the first trading day of each month: the codes with a bar on it."""
     first = bars.groupBy(F.substring("trade_date", 1, 6).alias("month")).agg(F.min("trade_date").alias("snapshot_date"))

@@ -11,8 +11,9 @@ import json
 import os
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FORMATS = ("parquet", "json", "csv")
 MANIFEST = "manifest.json"
@@ -100,10 +101,22 @@ def backtest_outputs(out: DataFrame, metrics: DataFrame, folder: str) -> None:
     atomic_text(f"{folder}/report.md", markdown("Backtest", rows))
 
 
-def seal(folder: str | Path) -> str:
-    """Write a manifest of all files' hashes, take write permission away, return the manifest's hash."""
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """``name`` (below the folder), ``sha256``, ``bytes`` of every file, hashed where Spark reads them; the manifest is left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.expr(f"substring(path, {len(base) + 1})") if base.startswith("file:///") else F.substring_index("path", base.split("://")[-1].split(":", 1)[-1], -1)
+    return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).filter(F.col("name") != MANIFEST)
+
+
+def seal(folder: str | Path, spark: SparkSession | None = None) -> str:
+    """Write a manifest of all files' hashes, take write permission away, return the manifest's hash.
+
+    With a session the files are read by its executors, who see the folder under the same name.
+    """
     folder = Path(folder)
-    files = {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(folder.rglob("*")) if p.is_file() and p.name != MANIFEST}
+    files = _hashes(folder, spark)
     atomic_text(folder / MANIFEST, canonical(files))
     for p in folder.rglob("*"):
         if p.is_file():
@@ -111,15 +124,20 @@ def seal(folder: str | Path) -> str:
     return stable_hash(files)
 
 
-def broken(folder: str | Path) -> list[str]:
+def _hashes(folder: Path, spark: SparkSession | None) -> dict[str, str]:
+    if spark is not None:
+        return {unquote(r["name"]): r["sha256"] for r in file_hashes(spark, str(folder)).select("name", "sha256").collect()}  # a row a file
+    return {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(folder.rglob("*")) if p.is_file() and p.name != MANIFEST}
+
+
+def broken(folder: str | Path, spark: SparkSession | None = None) -> list[str]:
     """Files of a sealed folder that are missing, changed, new or writable; none if it is intact."""
     folder = Path(folder)
-    want = json.loads((folder / MANIFEST).read_text())
-    have = {str(p.relative_to(folder)): p for p in folder.rglob("*") if p.is_file() and p.name != MANIFEST}
+    want, have = json.loads((folder / MANIFEST).read_text()), _hashes(folder, spark)
     bad = [f"missing: {n}" for n in want if n not in have] + [f"new: {n}" for n in have if n not in want]
     for n in sorted(want.keys() & have.keys()):
-        if hashlib.sha256(have[n].read_bytes()).hexdigest() != want[n]:
+        if have[n] != want[n]:
             bad.append(f"changed: {n}")
-        elif have[n].stat().st_mode & 0o222:
+        elif (folder / n).stat().st_mode & 0o222:
             bad.append(f"writable: {n}")
     return sorted(bad)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import checks, intervals, multiset, quantiles
+from panelforge.operators import checks, intervals, joins, multiset, quantiles
 from panelforge.plans import evidence
 from panelforge.streaming import forward_run
 
@@ -139,3 +139,20 @@ def test_forward_log_of_events(spark):
         rows, _ = forward_run.walk(p, forward_run.Progress(), [(e[4], e[1], e[2], e[3]) for e in own], through)
         want += rows
     assert got == sorted(want) and {r[2] for r in got} >= {"signal", "missed_signal_cycle", "activation_pending"}
+
+
+@pytest.mark.parametrize("width", [1.0, 7.0, 1e6])
+def test_as_of_rows(spark, width):
+    pick = random.Random(9)
+    left = [(pick.choice(["a", "b", "hot", "hot", None]), pick.choice([None, *range(60)]), i) for i in range(120)]
+    right = [(pick.choice(["a", "hot", "hot", None]), pick.choice([None, *range(0, 60, 3)]), i) for i in range(60)]
+    df, marks = spark.createDataFrame(left, "k string, t long, i int"), spark.createDataFrame(right, "k string, u long, v int")
+    for tolerance in (None, 4.0, 0.0):
+        got = {r["i"]: (r["u"], r["v"]) for r in joins.as_of_rows(df, marks, ["k"], "t", "u", tolerance, width).collect()}
+        want = {}
+        for k, t, i in left:
+            hits = [(u, v) for c, u, v in right if k is not None and t is not None and c == k and u is not None and u <= t]
+            best = max(hits, default=(None, None))
+            want[i] = best if hits and (tolerance is None or t - best[0] <= tolerance) else (None, None)
+        assert got == want
+    assert joins.as_of_rows(df.limit(0), marks, ["k"], "t", "u").count() == 0 and joins.as_of_rows(df, marks.limit(0), ["k"], "t", "u").filter("v is not null").count() == 0

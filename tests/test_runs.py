@@ -27,15 +27,18 @@ def test_staged_tables(spark, tmp_path):
     assert sinks.content_hash(df) == sinks.content_hash(df.orderBy("k", ascending=False)) != sinks.content_hash(df.limit(1))
 
 
-def test_sealed_folders(tmp_path):
+@pytest.mark.parametrize("by_spark", [False, True])
+def test_sealed_folders(spark, tmp_path, by_spark):
+    s = spark if by_spark else None
     sinks.atomic_text(tmp_path / "a" / "x.txt", "one")
     sinks.atomic_text(tmp_path / "y.txt", "two")
-    sinks.seal(tmp_path)
-    assert sinks.broken(tmp_path) == []
+    sinks.atomic_text(tmp_path / "a b %" / "é.txt", "three")
+    assert sinks.seal(tmp_path, s) == sinks.stable_hash(sinks._hashes(tmp_path, None))
+    assert sinks.broken(tmp_path, s) == []
     (tmp_path / "y.txt").unlink()
     (tmp_path / "a" / "x.txt").chmod(0o644)
     (tmp_path / "z.txt").write_text("new")
-    assert sinks.broken(tmp_path) == ["missing: y.txt", "new: z.txt", "writable: a/x.txt"]
+    assert sinks.broken(tmp_path, s) == ["missing: y.txt", "new: z.txt", "writable: a/x.txt"]
     assert "| 0.5 |" in sinks.markdown("t", [{"x": 0.5}]) and sinks.stable_hash({"b": 1, "a": 2}) == sinks.stable_hash({"a": 2, "b": 1})
 
 
