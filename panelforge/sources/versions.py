@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.operators import tables
 
@@ -153,6 +153,8 @@ class Table(Versions):
         return out
 
     def _layer(self, kind: str, what: str, rows: Callable[[DataFrame], DataFrame], fresh: bool = False) -> int:
+        """A version with one more layer, made from what is the newest when it is committed; none without rows."""
+
         def make(parent: int):
             entry = self.stage(rows(self.read(parent)))
             if not entry["rows"]:
@@ -196,6 +198,57 @@ class Table(Versions):
         return [{"version": n, "what": m["what"], "rows": m["layers"][-1]["rows"]} for n, m in made]
 
 
+class Tasks(Table):
+    """Tasks of a run that several drivers share: each task is claimed by one of them, and its state outlives all of them."""
+
+    #: States of a task.
+    STATES = ("pending", "running", "completed", "failed", "interrupted")
+
+    def __init__(self, spark: SparkSession, folder: str, config: str):
+        super().__init__(spark, folder, ["task"], "task string, state string, owner string, detail string, config string")
+        self.config = config
+        other = self.read().filter(F.col("config") != config).limit(1).collect()
+        if other:
+            raise ValueError(f"{folder} belongs to another configuration")
+
+    def add(self, tasks: DataFrame) -> int:
+        """Tasks (``task``) that aren't there yet are pending."""
+        none = F.lit(None).cast("string")
+        return self.insert_missing(tasks.select("task", F.lit("pending").alias("state"), none.alias("owner"), none.alias("detail"), F.lit(self.config).alias("config")))
+
+    def claim(self, owner: str, most: int = 1) -> list[str]:
+        """Up to ``most`` tasks that nobody has, in order of their names: from now on running, of ``owner``."""
+        before = self.newest()
+        free = lambda old: old.filter(F.col("state").isin("pending", "interrupted")).orderBy("task").limit(most).withColumns({"state": F.lit("running"), "owner": F.lit(owner)})
+        version = self._layer("replace", f"claim:{owner}", free)
+        if version == before:
+            return []
+        path = self.manifest(version)["layers"][-1]["path"]
+        return sorted(r["task"] for r in self.spark.read.schema(self.schema).parquet(path).select("task").collect() if self.manifest(version)["what"] == f"claim:{owner}")
+
+    def finish(self, task: str, state: str, detail: str | None = None) -> int:
+        """The end of a running task, or that it was interrupted."""
+        if state not in self.STATES:
+            raise ValueError(f"unknown state: {state}")
+        end = lambda old: old.filter((F.col("task") == task) & (F.col("state") == "running")).withColumns({"state": F.lit(state), "detail": F.lit(detail).cast("string")})
+        return self._layer("replace", f"{state}:{task}", end)
+
+    def release(self, owner: str) -> int:
+        """What an owner that is gone was running may be claimed again."""
+        return self._layer("replace", f"release:{owner}", lambda old: old.filter((F.col("owner") == owner) & (F.col("state") == "running")).withColumn("state", F.lit("interrupted")))
+
+    def run(self, owner: str, work: Callable[[str], str | None], most: int = 1) -> None:
+        """Claim and do tasks until none is free; one that fails is marked and the others go on."""
+        while some := self.claim(owner, most):
+            for task in some:
+                try:
+                    detail = work(task)
+                except Exception as error:  # a task's failure is its result
+                    self.finish(task, "failed", f"{type(error).__name__}: {error}")
+                else:
+                    self.finish(task, "completed", detail)
+
+
 class Run(Versions):
     """Several tables of one run that become visible together."""
 

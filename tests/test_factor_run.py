@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from panelforge import cli
+from panelforge.operators import equivalence
 from panelforge.plans.factor_run import Config, FactorRun, record
 
 DATA = "/root/testdata/sf0.001"
@@ -21,6 +24,13 @@ def test_a_run_is_resumed_behind_its_last_stage(spark, tmp_path):
     assert more["computed"] == [] and more["new_events"] == 0 and again.registry.read().count() == screened
     with pytest.raises(ValueError, match="another configuration"):
         FactorRun(spark, f"{tmp_path}/a", DATA, Config())
+    # the same run without a break has the same tables
+    whole = FactorRun(spark, f"{tmp_path}/whole", DATA, SMALL)
+    whole.run()
+    cut = lambda run: {n: run.table(n).drop("from_store") for n in FactorRun.STAGES}
+    sections = equivalence.runs_compared({n: df.withColumn("status_history", F.array_join("status_history", ">")) if "status_history" in df.columns else df for n, df in cut(again).items()},
+                                         {n: df.withColumn("status_history", F.array_join("status_history", ">")) if "status_history" in df.columns else df for n, df in cut(whole).items()})
+    assert equivalence.equivalent(sections) == {"equivalent": True, "difference_count": 0, "first_difference": None}
     told = {r["formula_hash"]: r for r in record(again).collect()}
     assert {r["pipeline_status"] for r in told.values()} <= {"rejected", "selected_for_full_backtest", "deduplicated_by_correlation", "excluded_by_correlation_budget", "excluded_by_full_backtest_budget"}
     tested = {r["formula_hash"] for r in again.table("test").collect()}

@@ -69,6 +69,38 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert t.newest() == 12 and len(list((tmp_path / "t" / "data").iterdir())) == 12
 
 
+def test_tasks_are_shared_by_drivers(spark, tmp_path):
+    names = [f"t{i}" for i in range(5)]
+    versions.Tasks(spark, f"{tmp_path}/q", "c1").add(spark.createDataFrame([(n,) for n in names], "task string"))
+    done, failed = [], []
+
+    def work(task):
+        done.append(task)
+        if task == "t3":
+            raise ValueError("no")
+        return f"did {task}"
+
+    def drive(k):
+        try:
+            versions.Tasks(spark, f"{tmp_path}/q", "c1").run(f"driver{k}", work)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=drive, args=(k,)) for k in range(2)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    tasks = versions.Tasks(spark, f"{tmp_path}/q", "c1")
+    assert not failed and sorted(done) == names
+    assert {r["task"]: (r["state"], r["detail"]) for r in tasks.read().collect()} == {n: ("completed", f"did {n}") if n != "t3" else ("failed", "ValueError: no") for n in names}
+    tasks.add(spark.createDataFrame([("t5",), ("t0",)], "task string"))
+    assert tasks.claim("lost") == ["t5"] and tasks.claim("other") == [] and tasks.release("lost") > 0 and tasks.release("lost") == tasks.newest()
+    assert tasks.claim("other", 3) == ["t5"] and tasks.finish("t0", "failed") == tasks.newest() and tasks.read().filter("task = 't0'").first()["state"] == "completed"
+    with pytest.raises(ValueError, match="another configuration"):
+        versions.Tasks(spark, f"{tmp_path}/q", "c2")
+
+
 def test_a_run_appears_as_a_whole(spark, tmp_path):
     run = versions.Run(spark, f"{tmp_path}/r")
     a, b = spark.range(5), spark.range(7)
