@@ -73,7 +73,8 @@ def rank_correlations(wide: DataFrame, names: list[str], at_least: int = 10, mos
     cross-sections of some days, or the samples of two blocks: ``most`` rows of twice ``block`` columns.
     """
     panel = wide.filter("trade_date is not null").select("trade_date", "ts_code", *[finite(F.col(f"`{n}`").cast("double")).alias(n) for n in names])
-    panel = panel.select("trade_date", "ts_code", *[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)], _has(names).alias("has"))
+    # the columns may be long formulas: they are computed once and written, both scans read them
+    panel = checkpointed(panel.select("trade_date", "ts_code", *[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)], _has(names).alias("has")))
     days = checkpointed(panel.groupBy("trade_date", "has").agg(F.count("*").alias("n")))
     classes = null_classes(days.select("has").distinct(), names)
     first = [c[0] for c in classes]

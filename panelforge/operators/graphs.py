@@ -80,7 +80,7 @@ def greedy_clusters(names: DataFrame, pairs: DataFrame, threshold: float, by: li
     reaches ``threshold``; null correlations aren't close.
     """
     by = list(by)
-    close = pairs.filter(F.abs("correlation") >= threshold).select(*by, "a", "b", "correlation")
+    close = checkpointed(pairs.filter(F.abs("correlation") >= threshold).select(*by, "a", "b", "correlation"))
     kept = checkpointed(kept_names(names, close, by))
     first = kept.withColumnsRenamed({"name": "representative", "place": "first"})
     both = close.select(*by, F.col("a").alias("member"), F.col("b").alias("representative"), "correlation").unionByName(close.select(*by, F.col("b").alias("member"), F.col("a").alias("representative"), "correlation"))

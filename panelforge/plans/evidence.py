@@ -33,7 +33,7 @@ def feature_clusters(spark, sf_dir):
     """All features, in the language's order, clustered by rank correlation."""
     panel = q._rounded(feat.compute(q._bars(spark, sf_dir), feat.NAMES), feat.NAMES)
     pairs = q._rounded(correlation.rank_correlations(panel, list(feat.NAMES), least=0.5), ["correlation"], 6)
-    return graphs.greedy_clusters(q.in_order(spark, list(feat.NAMES)), checkpointed(pairs), 0.6)
+    return graphs.greedy_clusters(q.in_order(spark, list(feat.NAMES)), pairs, 0.6)
 
 
 def screen_verdicts(spark, sf_dir):
