@@ -26,7 +26,7 @@ def test_a_thousand_graphs(spark):
     pick = random.Random(4)
     names, edges, want = [], [], set()
     for g in range(1000):
-        n = pick.randint(1, 14)
+        n = pick.randint(1, 12)
         order = [f"n{i}" for i in range(n)]
         pick.shuffle(order)
         close = {(a, b): pick.choice([-1, 1]) * pick.choice([0.5, 0.7, 0.9]) for a in order for b in order if a < b and pick.random() < pick.choice([0.05, 0.2, 0.6])}
@@ -42,7 +42,7 @@ def test_a_thousand_graphs(spark):
 
 def test_rounds_grow_with_the_logarithm(spark):
     pick = random.Random(7)
-    n = 1500
+    n = 800
     order = list(range(n))
     pick.shuffle(order)
     place = {x: i for i, x in enumerate(order)}
