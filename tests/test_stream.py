@@ -101,3 +101,23 @@ def test_the_log_does_not_depend_on_arrival(spark, tmp_path, files):
     got = [tuple(r) for r in log.read().collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r[2] for r in want} >= {"signal", "missed_signal_cycle", "due_check", "forward_tracking_activated"}
+
+
+def test_work_grows_with_the_events(spark, tmp_path):
+    """Thousands of events of one protocol, some repeated in a later run: as the plain walk says, and soon."""
+    import time
+
+    pick, days = random.Random(3), [f"202401{d:02d}" for d in range(1, 29)]
+    events = [event("p0", 0, "calendar", "20240101", "2024-01-01 00:00:00")]
+    for n in range(1, 12_001):
+        d = n * len(days) // 12_001
+        kind = pick.choice(["calendar", "data", "check", "check"])
+        events.append(event("p0", n, kind, days[min(d + (n % 8 if kind == "calendar" else 0), 27)], f"2024-01-{d + 1:02d} {n % 24:02d}:{pick.randrange(60):02d}:00"))
+    end = [event("p0", "end", "calendar", "20240101", "2024-02-20 00:00:00"), event("later", 0, "calendar", "20240101", "2024-03-01 00:00:00")]
+    log = versions.Table(spark, f"{tmp_path}/log", ["event_id"], forward_run.LOG)
+    start = time.time()
+    for some in (events[:9_000], events[8_700:9_000] + events[9_000:] + end):  # those that come again are taken or wait
+        spark.createDataFrame(some, EVENTS.replace("timestamp", "string")).selectExpr("protocol", "event_id", "kind", "trade_date", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        forward_run.run(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in"), log, f"{tmp_path}/mark").awaitTermination(100)
+        assert time.time() - start < 100
+    assert {tuple(r) for r in log.read().collect()} == plainly([*events, *end])
