@@ -10,10 +10,28 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def _in_order(values: list[float], left: list[int], right: list[int], start: int, end: int, most: float) -> None:
+    """:func:`most_partners` of the rows from ``start`` to ``end``, whose one column is sorted, in place."""
+    i = j = start
+    while i < end and j < end:
+        if not left[i]:
+            i += 1
+        elif not right[j]:
+            j += 1
+        elif abs(gap := values[i] - values[j]) <= most:
+            n = min(left[i], right[j])
+            left[i] -= n
+            right[j] -= n
+        elif gap < 0:
+            i += 1
+        else:
+            j += 1
+
+
 def most_partners(values: np.ndarray, left: np.ndarray, right: np.ndarray, tolerance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many rows of each distinct value stay without a partner on the left and on the right.
 
@@ -22,22 +40,10 @@ def most_partners(values: np.ndarray, left: np.ndarray, right: np.ndarray, toler
     """
     left, right = left.astype(np.int64), right.astype(np.int64)
     if values.shape[1] == 1 and not np.isnan(values).any():
-        a, b = list(np.argsort(values[:, 0], kind="stable")), list(np.argsort(values[:, 0], kind="stable"))
-        i = j = 0
-        while i < len(a) and j < len(b):
-            gap = values[a[i], 0] - values[b[j], 0]
-            if not left[a[i]]:
-                i += 1
-            elif not right[b[j]]:
-                j += 1
-            elif abs(gap) <= tolerance[0]:
-                n = min(left[a[i]], right[b[j]])
-                left[a[i]] -= n
-                right[b[j]] -= n
-            elif gap < 0:
-                i += 1
-            else:
-                j += 1
+        at = np.argsort(values[:, 0], kind="stable")
+        one, other = left[at].tolist(), right[at].tolist()
+        _in_order(values[at, 0].tolist(), one, other, 0, len(at), float(tolerance[0]))
+        left[at], right[at] = one, other
         return left, right
     apart = np.abs(values[:, None, :] - values[None, :, :])
     both = np.isnan(values[:, None, :]) & np.isnan(values[None, :, :])
@@ -81,7 +87,7 @@ def unmatched(a: DataFrame, b: DataFrame, exact: list[str], tolerance: dict[str,
 
     Partners have equal exact columns and tolerant ones at most the tolerance apart; null goes with
     null, NaN counts as null. Each row has one partner at most, and as many rows as possible have
-    one. A run is a task's; with tolerances of rounding errors it holds a few rows.
+    one. A task takes its runs one by one; with tolerances of rounding errors they hold a few rows.
     """
     loose = list(tolerance)
     clean = lambda df: df.select(*exact, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in loose])
@@ -100,13 +106,41 @@ def unmatched(a: DataFrame, b: DataFrame, exact: list[str], tolerance: dict[str,
     single = rows.filter("_size = 1").select(*exact, *loose, (F.col("left") - least).alias("left"), (F.col("right") - least).alias("right"))
     limits = np.array(list(tolerance.values()))
 
-    def group(some: pd.DataFrame) -> pd.DataFrame:
-        left, right = most_partners(some[loose].to_numpy(float), some["left"].to_numpy(), some["right"].to_numpy(), limits)
-        return some.assign(left=left, right=right)
+    def solved(parts: list[pa.RecordBatch]):
+        """Rows of whole runs that have no partner."""
+        t = pa.Table.from_batches(parts)
+        edges = [*np.flatnonzero(t["_start"].to_numpy()).tolist(), len(t)]
+        values = np.column_stack([t[c].to_numpy().astype(float) for c in loose])
+        left, right = t["left"].to_numpy(), t["right"].to_numpy()
+        if values.shape[1] == 1 and not np.isnan(values).any():
+            v, left, right, most = values[:, 0].tolist(), left.tolist(), right.tolist(), float(limits[0])
+            for i, j in zip(edges, edges[1:], strict=False):
+                _in_order(v, left, right, i, j, most)
+            left, right = np.array(left, np.int64), np.array(right, np.int64)
+        else:
+            runs = [most_partners(values[i:j], left[i:j], right[i:j], limits) for i, j in zip(edges, edges[1:], strict=False)]
+            left, right = (np.concatenate(x) for x in zip(*runs, strict=True))
+        out = t.select([*exact, *loose]).append_column("left", pa.array(left)).append_column("right", pa.array(right))
+        yield from out.filter(pa.array((left > 0) | (right > 0))).combine_chunks().to_batches()
+
+    def matched(batches):
+        parts: list[pa.RecordBatch] = []  # rows of a run that may go on
+        for b in batches:
+            starts = np.flatnonzero(b.column("_start").to_numpy(zero_copy_only=False))
+            if len(starts):
+                parts.append(b.slice(0, starts[-1]))
+                if any(p.num_rows for p in parts):
+                    yield from solved(parts)
+                parts, b = [], b.slice(starts[-1])
+            parts.append(b)
+        if any(p.num_rows for p in parts):
+            yield from solved(parts)
 
-    many = rows.filter("_size > 1")
     out = single
     if loose:
-        schema = ", ".join(f"`{n}` {t}" for n, t in many.dtypes)
-        out = single.unionByName(many.groupBy(*key).applyInPandas(group, schema).select(*exact, *loose, "left", "right"))
+        # tasks take their runs one behind the other, so a run of two rows costs no group of its own
+        w = Window.partitionBy(*key).orderBy(*loose)
+        many = rows.filter("_size > 1").repartition(*key).withColumn("_start", F.row_number().over(w) == 1).sortWithinPartitions(*key, *loose)
+        schema = ", ".join(f"`{n}` {t}" for n, t in single.dtypes)
+        out = single.unionByName(many.select(*exact, *loose, "left", "right", "_start").mapInArrow(matched, schema))
     return out.filter("left > 0 or right > 0")

@@ -1,7 +1,11 @@
 """Ties that keys leave open, and work that may not grow faster than its tables."""
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
+from panelforge.operators import multiset
 from panelforge.plans.registry import ORACLES, QUERIES
 from panelforge.sources import bars as src
 
@@ -40,3 +44,28 @@ def test_rows_are_placed_by_file_and_row(spark, tmp_path):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/t/part={i}")
     places = [r["id"] for r in src.placed(spark.read.parquet(f"{tmp_path}/t")).orderBy("place").collect()]
     assert places == list(range(30))
+
+
+def test_many_runs_are_no_groups_of_their_own(spark):
+    """400,000 runs of two rows in seconds (one grouped call each took minutes), with and without exact columns."""
+    start = time.time()
+    a = spark.range(400_000).select((F.col("id") % 7).alias("k"), (F.col("id") / 10).alias("x"))
+    b = a.select("k", (F.col("x") + F.when(F.col("x") % 1000 == 0, 0.01).otherwise(1e-9)).alias("x"))
+    assert multiset.unmatched(a, b, ["k"], {"x": 1e-8}).agg(F.sum("left"), F.sum("right")).first()[:] == (40, 40)
+    assert multiset.unmatched(a.select("x"), b.select("x"), [], {"x": 1e-8}).agg(F.sum("left"), F.sum("right")).first()[:] == (40, 40)
+    assert time.time() - start < 60
+
+
+def test_runs_go_on_behind_a_batch(spark):
+    """Runs longer than an Arrow batch, of one column and of two, keep their exact columns and have as few rows alone as in one batch."""
+    rows = [(1 << 60 | g, f"t{g}", g * 100 + i * 0.4, float(i % 3)) for g in range(5) for i in range(3 + 9 * g)]
+    a = spark.createDataFrame(rows, "k long, t string, x double, y double")
+    b = a.filter("x % 2 < 1")
+    got = {}
+    for n in (10_000, 2):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        for most in ({"x": 0.5}, {"x": 0.5, "y": 1.0}):
+            got[n, len(most)] = sorted(map(tuple, multiset.unmatched(a, b, ["k", "t"], most).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[2, 1] == got[10_000, 1] and got[2, 2] == got[10_000, 2]
+    assert {r[0] for r in got[2, 1]} <= {r[0] for r in rows} and sum(r[-2] for r in got[2, 1]) == len(rows) - b.count()
