@@ -63,7 +63,7 @@ def _evaluate(spark, sf_dir):
 
     def evaluate(values):
         scored = values.join(forward, KEY).withColumn("factor_value", F.round(finite(F.col("factor_value")), 8))
-        return crosssec.fast_screen(scored)
+        return crosssec.fast_screen(scored.repartition("formula", "trade_date"))
 
     return evaluate
 

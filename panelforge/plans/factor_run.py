@@ -123,7 +123,7 @@ class FactorRun(versions.Versions):
         hashes, out = sorted(given), None
 
         def evaluate(values: DataFrame) -> DataFrame:
-            return crosssec.fast_screen(values.withColumn("factor_value", F.round(finite(F.col("factor_value")), 10)), c.least_coverage, c.least_dispersion, c.least_ic)
+            return crosssec.fast_screen(values.repartition("formula", "trade_date").withColumn("factor_value", F.round(finite(F.col("factor_value")), 10)), c.least_coverage, c.least_dispersion, c.least_ic)
 
         for i in range(0, len(hashes), BATCH):
             some = self.store.results(self.bars(), {h: given[h] for h in hashes[i : i + BATCH]}, settings, evaluate, panel, ("forward_return",))

@@ -28,7 +28,7 @@ def screen_rewards(spark: SparkSession, data: str, folder: str, horizon: int = 5
     key = store.panel_hash(panel)
 
     def judge(values: DataFrame) -> DataFrame:
-        return crosssec.fast_screen(values.withColumn("factor_value", F.round(finite(F.col("factor_value")), 10)))
+        return crosssec.fast_screen(values.repartition("formula", "trade_date").withColumn("factor_value", F.round(finite(F.col("factor_value")), 10)))
 
     def evaluate(formulas: list[Formula]) -> list:
         out = store.results(panel, {f.text(): f for f in formulas}, {"reward": "rank_ic", "horizon": horizon}, judge, key, ("forward_return",))

@@ -69,3 +69,19 @@ def test_runs_go_on_behind_a_batch(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got[2, 1] == got[10_000, 1] and got[2, 2] == got[10_000, 2]
     assert {r[0] for r in got[2, 1]} <= {r[0] for r in rows} and sum(r[-2] for r in got[2, 1]) == len(rows) - b.count()
+
+
+def test_a_screen_shuffles_a_row_a_key_and_bars_their_lines_once(spark):
+    """The panel isn't exploded before its shuffle, a date's rows aren't dealt again, bars don't join themselves for their limits."""
+    from panelforge.operators import crosssec
+    from panelforge.plans import queries as q
+
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([("20240101", "a", 0.1, 1.0, 2.0)], "trade_date string, ts_code string, forward_return double, x double, y double")
+        assert shuffles(crosssec.by_date(crosssec.long_form(df, ["x", "y"]))) == 1
+        assert shuffles(src.bars(spark, "/root/testdata/sf0.001")) == 1
+        assert shuffles(q.tradability_case(spark, "/root/testdata/sf0.001")) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
