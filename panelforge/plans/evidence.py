@@ -58,25 +58,22 @@ def finite_validity(spark, sf_dir):
     return q._rounded(rules.validity(df, "x", F.col("odd")), ["std"], 6)
 
 
-def _evaluate(spark, sf_dir):
-    forward = crosssec.forward_return(q._bars(spark, sf_dir), 5).select(*KEY, F.round("forward_return", 8).alias("forward_return"))
-
-    def evaluate(values):
-        scored = values.join(forward, KEY).withColumn("factor_value", F.round(finite(F.col("factor_value")), 8))
-        return crosssec.fast_screen(scored.repartition("formula", "trade_date"))
-
-    return evaluate
-
-
 def factor_store_screen(spark, sf_dir):
     """A screen of three formulas, then one of four that are partly the same: what the second one answers, and from where."""
-    bars = checkpointed(q._bars(spark, sf_dir))
+    bars = q._rounded(crosssec.forward_return(q._bars(spark, sf_dir), 5), ["forward_return"])
     store = FactorStore(spark, _folder(spark, "factors"))
     panel = store.panel_hash(bars)
     known = {k: parse(t) for k, t in q.SCREENED.items() if k != "busy"}
-    settings = {"horizon": 5, "digits": 8}
-    store.results(bars, known, settings, _evaluate(spark, sf_dir), panel)
-    out = store.results(bars, {k: parse(t) for k, t in q.SCREENED.items()}, settings, _evaluate(spark, sf_dir), panel)
+
+    def screened(formulas):
+        """Forward returns lie beside the values; both are dealt out by date once, a row a key."""
+        return store.results(bars, formulas, {"horizon": 5, "digits": 8}, evaluate, panel, ("forward_return",), keep=True, deal="trade_date")
+
+    def evaluate(values):
+        return crosssec.fast_screen(values.withColumn("factor_value", F.round(finite(F.col("factor_value")), 8)))
+
+    screened(known)
+    out = screened({k: parse(t) for k, t in q.SCREENED.items()})
     return q._rounded(out, [c for c, t in out.dtypes if t == "double"], 6)
 
 

@@ -4,6 +4,9 @@ A value is named by the hash of its formula's canonical text and the hash of the
 a result also by the settings it was computed with. So the same formula is found again by any later
 plan or run, however it was written, and a panel that has changed finds nothing. Sub-formulas that
 look back over days are kept like formulas and spare their windows in formulas around them.
+
+Values that are computed together are one table with a row a key and a column a formula: a key is
+stored and shuffled once, not once a formula, and a reader scans only the columns it asks for.
 """
 
 from __future__ import annotations
@@ -14,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import features
 from panelforge.functions.formula import OPERATORS, Formula, columns
+from panelforge.lineage import own_shuffles
 from panelforge.schema import KEY
 from panelforge.sources.sinks import content_hash, stable_hash
 from panelforge.sources.versions import Versions
 
 #: What a formula can be computed from.
 INPUTS = ("close", "volume", "amount")
-_VALUES = "trade_date string, ts_code string, factor_value double, formula_hash string"
+#: Rows of a key and formula that a task should get.
+TASK_ROWS = 250_000
+_VALUES = "formula string, trade_date string, ts_code string, factor_value double"
 
 
 def named(f: Formula) -> str:
@@ -28,6 +34,24 @@ def named(f: Formula) -> str:
     return f.canonical().sha256()
 
 
+def _column(h: str) -> str:
+    return f"f_{h}"
+
+
+def _long(wide: DataFrame, names: dict[str, str], carry: tuple[str, ...], deal: str | None, rows: int | None = None) -> DataFrame:
+    """A row a key and formula, of columns by hash; ``names``: the hash of each formula.
+
+    Of ``rows`` keys as many are dealt to a task as become :data:`TASK_ROWS`, so that sorts behind
+    don't spill: by the bytes that are shuffled a task would get too many.
+    """
+    if deal and rows is None:
+        wide = wide.repartition(deal)
+    elif deal:
+        wide = wide.repartition(max(wide.sparkSession.sparkContext.defaultParallelism, -(-rows * len(names) // TASK_ROWS)), deal)
+    pairs = F.array(*[F.struct(F.lit(k).alias("formula"), F.col(_column(h)).alias("factor_value")) for k, h in names.items()])
+    return wide.select(*KEY, *carry, F.explode(pairs).alias("x")).select("x.formula", *KEY, "x.factor_value", *carry)
+
+
 def looks_back(f: Formula) -> list[Formula]:
     """Sub-formulas, the formula itself left out, whose operator needs earlier days."""
     out, seen = [], set()
@@ -57,14 +81,16 @@ class FactorStore(Versions):
     @staticmethod
     def panel_hash(bars: DataFrame) -> str:
         """Of what formulas can see; rows in any order. One scan."""
-        return content_hash(bars.select(*KEY, *INPUTS))
+        with own_shuffles(bars.sparkSession):
+            return content_hash(bars.select(*KEY, *INPUTS))
 
     def _kept(self, kind: str, panel: str) -> dict[str, dict]:
         return {k.removeprefix(f"{panel}/"): v for k, v in self.manifest().get(kind, {}).items() if k.startswith(f"{panel}/")}
 
-    def _keep(self, kind: str, panel: str, hashes: list[str], df: DataFrame) -> None:
-        """One staged table for all ``hashes``; of a hash that another writer has kept meanwhile, that writer's stays."""
-        entry, used = self.stage(df, "formula_hash"), False
+    def _keep(self, kind: str, panel: str, hashes: list[str], df: DataFrame, by: str | None = None) -> str:
+        """One staged table for all ``hashes``, and its path; of a hash that another writer has kept meanwhile, that writer's stays."""
+        with own_shuffles(self.spark):
+            entry, used = self.stage(df, by), False
 
         def make(parent: int):
             nonlocal used
@@ -82,6 +108,7 @@ class FactorStore(Versions):
         finally:
             if not used:
                 self.abort([entry])
+        return entry["path"]
 
     def _read(self, kept: dict[str, dict], hashes: list[str], schema: str) -> DataFrame:
         """Rows of these hashes: only their folders are read."""
@@ -94,23 +121,26 @@ class FactorStore(Versions):
         return out
 
     def _computed(self, bars: DataFrame, made: dict[str, Formula], given: dict[str, Formula], kept: dict[str, dict], carry: tuple[str, ...] = ()) -> DataFrame:
-        """Values of the formulas ``made``, long, in one plan; ``given`` are kept parts of theirs, ``carry`` columns of ``bars`` that go along."""
+        """A column for each of the formulas ``made``, in one plan; ``given`` are kept parts of theirs, ``carry`` columns of ``bars`` that go along."""
         needed = sorted({n for f in made.values() for n in f.features()})
         panel = features.compute(bars.select(*KEY, *INPUTS, *carry), needed).drop(*INPUTS)
         for h in given:
-            own = self._read(kept, [h], _VALUES).select(*KEY, F.col("factor_value").alias(f"p_{h}"))
+            own = self.spark.read.parquet(kept[h]["path"]).select(*KEY, F.col(_column(h)).alias(f"p_{h}"))
             panel = panel.join(own, KEY, "left")
-        wide = columns(panel, {f"f_{h}": f for h, f in made.items()}, {p.tree(): f"p_{h}" for h, p in given.items()})
-        pairs = F.array(*[F.struct(F.lit(h).alias("formula_hash"), F.col(f"f_{h}").alias("factor_value")) for h in made])
-        return wide.select(*KEY, *carry, F.explode(pairs).alias("x")).select(*KEY, *carry, "x.factor_value", "x.formula_hash")
+        wide = columns(panel, {_column(h): f for h, f in made.items()}, {p.tree(): f"p_{h}" for h, p in given.items()})
+        return wide.select(*KEY, *carry, *[F.col(_column(h)).cast("double").alias(_column(h)) for h in made])
 
-    def values(self, bars: DataFrame, formulas: dict[str, Formula], panel: str | None = None, parts: bool = True) -> DataFrame:
+    def values(self, bars: DataFrame, formulas: dict[str, Formula], panel: str | None = None, parts: bool = True, carry: tuple[str, ...] = (), deal: str | None = None) -> DataFrame:
         """``formula``, ``trade_date``, ``ts_code``, ``factor_value``: read where kept, else computed in one plan and kept.
 
-        ``panel``: the panel's hash, if known. ``parts``: whether sub-formulas are kept too.
+        ``panel``: the panel's hash, if known. ``parts``: whether sub-formulas are kept too. ``carry``:
+        columns of ``bars`` that go along; they lie beside what is computed now, what was kept before
+        is joined with ``bars``. ``deal``: a column by which keys are dealt out before they become a
+        row a formula.
         """
         panel = panel or self.panel_hash(bars)
-        kept = self._kept("values", panel)
+        kept = self._kept("columns", panel)
+        hashes = {k: named(f) for k, f in formulas.items()}
         wanted = {named(f): f.canonical() for f in formulas.values()}
         new = {h: f for h, f in wanted.items() if h not in kept}
         inner = {named(p): p for f in new.values() for p in looks_back(f)} if parts else {}
@@ -118,23 +148,32 @@ class FactorStore(Versions):
         made = new | {h: p for h, p in inner.items() if h not in kept}
         self.found = sorted(f.text() for h, f in wanted.items() if h in kept) + sorted(p.text() for p in given.values())
         self.computed = sorted(f.text() for f in made.values())
+        fresh = None
         if made:
-            long = self._computed(bars, made, given, kept)
-            self._keep("values", panel, list(made), long.repartition("formula_hash", F.col("ts_code")))
-            kept = self._kept("values", panel)
-        labels = self.spark.createDataFrame([(k, named(f)) for k, f in formulas.items()], "formula string, formula_hash string")
-        out = self._read(kept, list(wanted), _VALUES).join(F.broadcast(labels), "formula_hash")  # one row a formula
-        return out.select("formula", *KEY, "factor_value")
+            fresh = self._keep("columns", panel, list(made), self._computed(bars, made, given, kept, carry))
+            kept = self._kept("columns", panel)
+        by_path: dict[str, dict[str, str]] = {}
+        for k, h in hashes.items():
+            by_path.setdefault(kept[h]["path"], {})[k] = h
+        out = None
+        for path, names in by_path.items():
+            wide = self.spark.read.parquet(path).select(*KEY, *(carry if path == fresh else ()), *map(_column, sorted(set(names.values()))))
+            if carry and path != fresh:
+                wide = wide.join(bars.select(*KEY, *carry), KEY)
+            some = _long(wide, names, carry, deal, next(kept[h]["rows"] for h in names.values()))
+            out = some if out is None else out.unionByName(some)
+        return self.spark.createDataFrame([], _VALUES).join(bars.select(*KEY, *carry), KEY) if out is None else out
 
     def results(
         self, bars: DataFrame, formulas: dict[str, Formula], settings: dict, evaluate: Callable[[DataFrame], DataFrame], panel: str | None = None, carry: tuple[str, ...] | None = None,
+        keep: bool = False, deal: str | None = None,
     ) -> DataFrame:
         """What ``evaluate`` says about each formula, with ``from_store``: whether it was known before.
 
         ``evaluate`` takes the values of the formulas that aren't known and returns rows with their
         ``formula``; it is called once for all of them, and not at all if all are known. ``settings``
-        are what its answer depends on besides. With ``carry`` the values themselves aren't kept, and
-        these columns of ``bars`` go along with them.
+        are what its answer depends on besides. With ``carry`` these columns of ``bars`` go along with
+        the values, which aren't kept then unless ``keep`` says so. ``deal``: as in :meth:`values`.
         """
         panel = panel or self.panel_hash(bars)
         own = f"{panel}/{stable_hash(settings)}"
@@ -145,13 +184,14 @@ class FactorStore(Versions):
         known = sorted(h for h in first if h in kept)
         if new:
             labels = self.spark.createDataFrame([(k, hashes[k]) for k in new], "formula string, formula_hash string")
-            if carry is None:
-                values = self.values(bars, new, panel)
+            if carry is None or keep:
+                values = self.values(bars, new, panel, carry=carry or (), deal=deal)
             else:
                 self.computed = sorted(f.canonical().text() for f in new.values())
-                values = self._computed(bars, {hashes[k]: f.canonical() for k, f in new.items()}, {}, {}, carry).join(F.broadcast(labels), "formula_hash").drop("formula_hash")
+                wide = self._computed(bars, {hashes[k]: f.canonical() for k, f in new.items()}, {}, {}, carry)
+                values = _long(wide, {k: hashes[k] for k in new}, carry, deal)
             rows = evaluate(values).join(F.broadcast(labels), "formula").drop("formula")  # one row a formula
-            self._keep("results", own, [hashes[k] for k in new], rows)
+            self._keep("results", own, [hashes[k] for k in new], rows, "formula_hash")
             kept = self._kept("results", own)
         else:
             self.computed = []

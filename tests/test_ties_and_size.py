@@ -85,3 +85,49 @@ def test_a_screen_shuffles_a_row_a_key_and_bars_their_lines_once(spark):
         assert shuffles(q.tradability_case(spark, "/root/testdata/sf0.001")) == 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_stored_screen_keeps_and_shuffles_a_row_a_key(spark, tmp_path):
+    """Values are kept a row a key, dealt out once before they become a row a formula, and no shuffle files stay; bars and features share one shuffle."""
+    from pathlib import Path
+
+    from panelforge.functions import features
+    from panelforge.functions.formula import parse
+    from panelforge.operators import crosssec
+    from panelforge.sources.factor_store import FactorStore
+
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    bars = crosssec.forward_return(src.bars(spark, "/root/testdata/sf0.001"), 5)
+    store, seen = FactorStore(spark, f"{tmp_path}/f"), []
+
+    def evaluate(values):
+        seen.append((shuffles(crosssec.by_date(values)), sorted(map(tuple, values.select("formula", *src.KEY, "factor_value", "forward_return").collect()), key=str)))
+        return values.groupBy("formula").agg(F.count("*").alias("n"))
+
+    texts = {"a": "RET5", "b": "NEG(RET_STD20)", "c": "MUL(RET1,RET5)", "again": "MUL(RET5,RET1)"}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert shuffles(features.compute(bars, ["RET5", "RET_STD20"])) == 1
+        panel = store.panel_hash(bars)
+        made = lambda settings: store.results(bars, {k: parse(t) for k, t in texts.items()}, settings, evaluate, panel, ("forward_return",), keep=True, deal="trade_date").collect()
+        first = made({"v": 1})
+        kept = {(e["path"], e["rows"]) for e in store.manifest()["columns"].values()}
+        assert len(store.manifest()["columns"]) == 3 and [n for _, n in kept] == [bars.count()]  # one table, not a row a key and formula
+        second = made({"v": 2})  # the values are known, and go along with what the bars say
+        assert seen[0][0] == 1 and seen[0][1] == seen[1][1] and len(seen[0][1]) == 3 * bars.count() and sorted(r["formula"] for r in first) == sorted(texts) == sorted(r["formula"] for r in second)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    written = files()
+    store.results(bars, {"d": parse("ABS(RET5)")}, {"v": 1}, lambda values: values.repartition("formula").groupBy("formula").agg(F.count("*").alias("n")), panel, ("forward_return",), keep=True, deal="trade_date")
+    assert files() <= written and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_tasks_of_a_screen_get_so_many_rows_of_a_key_and_formula(spark):
+    """Twenty times as many rows are dealt to twenty tasks, however few bytes their keys have."""
+    from panelforge.sources import factor_store
+
+    wide = spark.createDataFrame([("20240101", "a", 1.0, 2.0)], "trade_date string, ts_code string, f_x double, f_y double")
+    long = factor_store._long(wide, {"x": "x", "y": "y"}, (), "trade_date", 10 * factor_store.TASK_ROWS)
+    assert long.rdd.getNumPartitions() == 20 and sorted(r["factor_value"] for r in long.collect()) == [1.0, 2.0]
