@@ -39,6 +39,22 @@ def test_lines_of_one_number_and_part_count_in_order_of_the_table(spark, tmp_pat
     assert [r[5:] for r in rows[:3]] == [("19960109", "19960109"), ("19960103", "19960103"), ("19960105", "19960105")] and [r[2] for r in rows[3:5]] == ["19960108", "19960108"]
 
 
+def test_lines_with_missing_values_count_as_in_sql(spark, tmp_path):
+    """Without a flag or a number a line is no trade; without a part it is counted, but never first or last; without a day it gives no reason."""
+    rows = [line(1, 1, 100.0, None, 2), line(1, 2, 110.0, "N", 4), line(2, 1, 100.0, "N", 2), line(2, None, 110.0, "N", 4), line(3, 1, 100.0, "N", 2, None), line(3, 1, 105.0, "N", 3), line(3, 2, 110.0, "N", 4, None)]
+    rows += [line(4, 1, 100.0, "R", 2, None), line(5, 2, 100.0, "R", 5), line(5, 2, 100.0, None, 6), line(5, 1, 100.0, "A", 6), line(7, 3, 100.0, "R", 9), line(None, 1, 100.0, "N", 2)]
+    rows += [(6, 1, 1, 1, 1.0, 100.0, 0.0, 0.05, "R", "O", None), line(6, 1, 100.0, "R", 7), (8, 7, 1, 1, 1.0, None, 0.0, None, "N", "O", None), line(8, 2, 100.0, "N", 7)]
+    spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 1, "F", 1.0) for k in (*range(1, 10), None)], ORDERS).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    names = ["window_id", "status", "failure_reason", "delayed_exit", "net_return", "actual_entry_date", "actual_exit_date"]
+    want = con.execute(f"select {', '.join(names)} from ({ORACLES['window_status']})").fetchall()
+    assert sorted(map(tuple, QUERIES["window_status"](spark, str(tmp_path)).select(names).collect()), key=str) == sorted(want, key=str)
+
+
 def test_rows_are_placed_by_file_and_row(spark, tmp_path):
     for i in (1, 0, 2):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/t/part={i}")
