@@ -45,7 +45,7 @@ def screen_verdicts(spark, sf_dir):
     df = columns(df, {k: parse(t) for k, t in texts.items()}).withColumn("wild", _wild(df, "RET5"))
     names = [*texts, "wild"]
     df = df.withColumns({n: F.round(finite(F.col(n)), 8) for n in names} | {"forward_return": F.round("forward_return", 8)})
-    out = crosssec.fast_screen(crosssec.long_form(df, names), 0.3, 0.0005, 0.01)
+    out = crosssec.screened(crosssec.by_date_wide(df, names), 0.3, 0.0005, 0.01)
     return q._rounded(out, [c for c, t in out.dtypes if t == "double"], 6)
 
 
