@@ -107,3 +107,22 @@ def test_five_hundred_columns_in_one_plan(spark):
     got = {(r["a"], r["b"]) for r in out.collect()}
     assert {("f0", "f300"), ("f0", "f100"), ("f5", "f405")} <= got  # equal but for their first rows
     assert all((int(a[1:]) - int(b[1:])) % 100 == 0 for a, b in got)
+
+
+def test_only_the_first_of_a_cluster_is_folded(spark):
+    """Correlations decide what the account fold gets: a formula's mirror image is a member and has no account."""
+    from panelforge.plans import queries, research
+
+    seen, fold = [], queries.backtest_accounts
+    queries.backtest_accounts = lambda spark, sf_dir, formulas=None, *a, **k: seen.append(sorted(formulas)) or fold(spark, sf_dir, formulas, *a, **k)
+    try:
+        out = research.research_pipeline(spark, "/root/testdata/sf0.001", {"against": "NEG(RET5)", "momentum": "RET5", "low_vol": "NEG(RET_STD20)", "empty": "DIV(RET1,SUB(RET5,RET5))"})
+        rows = {r["formula"]: r for r in out.collect()}
+    finally:
+        queries.backtest_accounts = fold
+    assert seen == [["low_vol", "momentum"]]
+    a, m, e = rows["against"], rows["momentum"], rows["empty"]
+    assert (a["pipeline_status"], a["representative"], a["closest"], a["closest_correlation"], a["total_return"], a["trade_count"], a["grade"]) == ("deduplicated_by_correlation", "momentum", "momentum", -1.0, None, None, "Rejected")
+    assert m["pipeline_status"] == "selected_for_full_backtest" and m["representative"] == "momentum" and m["total_return"] is not None and abs(rows["low_vol"]["closest_correlation"]) < 0.95
+    assert e["pipeline_status"] == "rejected" and e["representative"] is None and e["closest"] is None
+    assert [r["formula"] for r in research.research_pipeline(spark, "/root/testdata/sf0.001", {"empty": "DIV(RET1,SUB(RET5,RET5))"}).collect()] == ["empty"]
