@@ -111,16 +111,18 @@ def test_five_hundred_columns_in_one_plan(spark):
 
 def test_only_the_first_of_a_cluster_is_folded(spark):
     """Correlations decide what the account fold gets: a formula's mirror image is a member and has no account."""
+    from panelforge.functions import features as feat
     from panelforge.plans import queries, research
 
-    seen, fold = [], queries.backtest_accounts
+    seen, made, fold, compute = [], [], queries.backtest_accounts, feat.compute
+    feat.compute = lambda *a: made.append(a) or compute(*a)
     queries.backtest_accounts = lambda spark, sf_dir, formulas=None, *a, **k: seen.append(sorted(formulas)) or fold(spark, sf_dir, formulas, *a, **k)
     try:
         out = research.research_pipeline(spark, "/root/testdata/sf0.001", {"against": "NEG(RET5)", "momentum": "RET5", "low_vol": "NEG(RET_STD20)", "empty": "DIV(RET1,SUB(RET5,RET5))"})
         rows = {r["formula"]: r for r in out.collect()}
     finally:
-        queries.backtest_accounts = fold
-    assert seen == [["low_vol", "momentum"]]
+        queries.backtest_accounts, feat.compute = fold, compute
+    assert seen == [["low_vol", "momentum"]] and len(made) == 1  # features are made once for all stages
     a, m, e = rows["against"], rows["momentum"], rows["empty"]
     assert (a["pipeline_status"], a["representative"], a["closest"], a["closest_correlation"], a["total_return"], a["trade_count"], a["grade"]) == ("deduplicated_by_correlation", "momentum", "momentum", -1.0, None, None, "Rejected")
     assert m["pipeline_status"] == "selected_for_full_backtest" and m["representative"] == "momentum" and m["total_return"] is not None and abs(rows["low_vol"]["closest_correlation"]) < 0.95
