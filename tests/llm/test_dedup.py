@@ -249,3 +249,18 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert comp[20] == comp[21] == comp[0] == 0 and comp[13] == 12
     kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len({r["component"] for r in out}) <= len(kept) < len(rows) and list(kept[0].asDict()) == ["doc_id", "text", "source", "id"]
+
+
+def test_prefixes_by_words_and_no_names_without_a_merge(monkeypatch):
+    """Eight bytes at a time as one by one, zero bytes at the end too; names of windows are made only where suffix arrays are merged."""
+    draw = np.random.default_rng(3)
+    for n, letters in ((1, 1), (7, 1), (150, 1), (400, 2), (900, 3)):
+        text = np.concatenate([draw.integers(0, letters, n), np.zeros(9)]).astype(np.uint8)
+        sa, _ = suffix_dedup.suffix_array(text)
+        raw = text.tobytes()
+        shared = lambda i, j: next((k for k in range(50) if raw[i + k : i + k + 1] != raw[j + k : j + k + 1] or i + k >= len(raw)), 50)
+        assert suffix_dedup.common_prefixes(text, sa, 50).tolist() == [0, *[shared(i, j) for i, j in zip(sa, sa[1:])]]
+    texts, ids, keys = [b"a" * 60, b"a" * 55 + b"b" * 50], np.array([4, 2]), np.zeros(2, np.uint64)
+    merged = suffix_dedup.least_ids(texts, ids, keys, 50, shard_text=60)
+    monkeypatch.setattr(suffix_dedup, "_strings", None)
+    assert [o.tolist() for o in suffix_dedup.least_ids(texts, ids, keys, 50)] == [o.tolist() for o in merged]
